@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, urls, warc
+from . import mixing, neighbours, secrets, topk, urls, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -28,10 +32,25 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op6_mixing, op8_warc)}
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op5_exact_top_k, op6_mixing, op8_warc, op9_neighbours)}
+
+
+_OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+             AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+      FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
+"""
+
 _OP6 = r"""
 WITH d AS (
   SELECT source IS NULL AS mn, coalesce(source, '') AS ms, doc_id,
@@ -76,4 +95,4 @@ FROM d JOIN m USING (hex)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _OP6, "op8_warc": _OP8}
+    return {"op5_exact_top_k": _OP5, "op6_mixing": _OP6, "op8_warc": _OP8}
