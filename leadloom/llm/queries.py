@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neighbours, secrets, topk, urls, warc
+from . import mixing, neighbours, secrets, substring_dedup, topk, urls, warc
 from .common import table
 
 
@@ -36,8 +36,12 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op5_exact_top_k, op6_mixing, op8_warc, op9_neighbours)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op5_exact_top_k, op6_mixing, op8_warc, op9_neighbours, op10_suffix_dedup)}
 
 
 _OP5 = """
