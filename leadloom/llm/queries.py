@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neighbours, secrets, substring_dedup, topk, urls, warc
+from . import mixing, near_dups, neighbours, secrets, substring_dedup, topk, urls, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -41,7 +45,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op5_exact_top_k, op6_mixing, op8_warc, op9_neighbours, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_near_dups, op5_exact_top_k, op6_mixing, op8_warc, op9_neighbours, op10_suffix_dedup)}
 
 
 _OP5 = """
