@@ -38,15 +38,10 @@ PER_FILE = 4000
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Upper-case base 32 of SHA-1; every 5 hex digits make 4 characters."""
+    """Upper-case base 32 of SHA-1: 10 hex digits make 8 digits to the base 32, whose alphabet is then changed."""
     digest = F.sha1(payload)
-
-    def digit(i: Column) -> Column:
-        part = F.conv(F.substring(digest, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("long")
-        step = F.element_at(F.array(F.lit(32768), F.lit(1024), F.lit(32), F.lit(1)), (i % 4 + 1).cast("int"))
-        return F.substring(F.lit(BASE32), (F.floor(part / step) % 32 + 1).cast("int"), F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
+    parts = [F.lpad(F.conv(F.substring(digest, i, 10), 16, 32), 8, "0") for i in range(1, 40, 10)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _urn(page_id: Column, digest: Column) -> Column:
@@ -72,7 +67,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
     """One record per row of pages (page_id, url, html); date is that of the archive."""
     body = F.coalesce(pages["html"], F.lit(""))
     rows = pages.select("page_id", "url", body.alias("body"), base32_sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
-    again = revisits(rows.select("page_id", "digest", "n"), least)
+    again = revisits(durable(rows.select("page_id", "digest", "n"), "warc-headers"), least)
     rows = rows.join(again, ["page_id", "digest"], "left")
     is_old = F.col("refers_to").isNotNull()
     block = F.concat(F.lit(HTTP_HEAD), F.when(is_old, F.lit("")).otherwise(F.col("body")))
