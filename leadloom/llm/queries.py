@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dups, neighbours, secrets, substring_dedup, topk, urls, warc
+from . import mixing, near_dups, neighbours, quality, secrets, segmentation, substring_dedup, topk, urls, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -31,6 +35,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = segmentation.sample_segmentations(table(spark, sf_dir, "documents"), packed=True)
+    return got.select("doc_id", "sample", "n_pieces", "log_prob", "key", "inclusion", "round_trip", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archived_pages(table(spark, sf_dir, "pages"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
@@ -45,7 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_near_dups, op5_exact_top_k, op6_mixing, op8_warc, op9_neighbours, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_near_dups, op4_quality, op5_exact_top_k, op6_mixing, op7_segmentation, op8_warc, op9_neighbours, op10_suffix_dedup)}
 
 
 _OP5 = """
