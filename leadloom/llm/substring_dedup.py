@@ -39,13 +39,13 @@ from .anchors import CONTEXT, NEVER, SPREAD, WINDOW, anchors, buffers, gram_hash
 from .common import durable
 from .suffix_sort import deep_shallow
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE, COMMON_SHARE, COMMON_LEAST = 64, 0.01, 100
 ALL = (1 << (SPREAD + 1)) - 1
 
 _PACKED = "shard int, kind int, blob binary"
 _ASKED = "key long, id long, full array<int>, want array<int>"
-_MASKS = "key long, full array<int>, at array<int>, mask array<long>"
+_MASKS = "key long, id long, full array<int>, at array<int>, mask array<long>"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -60,23 +60,34 @@ def _numbers(blob: memoryview, n: int, count: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def pack(docs: np.ndarray, fields: list[tuple[np.ndarray, int]], extra: bytes = b"") -> bytes:
-    """docs: (rows, 2) of row key and id; fields: numbers and the bytes that each is given."""
-    table, place = np.unique(docs, axis=0, return_inverse=True)
-    head = np.array([len(docs), len(table)], "<i8").tobytes()
-    return b"".join([head, table.astype("<i8").tobytes(), _planes(place.ravel(), 4), *[_planes(x, n) for x, n in fields], extra])
+KEY_BYTES = 5
+
+
+def pack(docs: np.ndarray, place: np.ndarray, fields: list[tuple[np.ndarray, int]], extra: bytes = b"") -> bytes:
+    """docs: a table of (row key, id); place: each row's place in it; fields: numbers and the bytes that each is given.
+
+    Only the documents that occur are kept. Numbers go byte by byte, so ids that lie
+    close together and small positions compress.
+    """
+    own, at = np.unique(place, return_inverse=True)
+    head = np.array([len(place), len(own)], "<i8").tobytes()
+    table = _planes(docs[own, 0], KEY_BYTES) + _planes(docs[own, 1], 8)
+    return b"".join([head, table, _planes(at, 4), *[_planes(x, n) for x, n in fields], extra])
 
 
 def unpack(blob: bytes, widths: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], memoryview]:
     v = memoryview(blob)
-    count, rows = np.frombuffer(v, "<i8", 2)
-    at = 16 + 16 * rows
-    table = np.frombuffer(v[16:at], "<i8").reshape(-1, 2)
+    count, rows = (int(x) for x in np.frombuffer(v, "<i8", 2))
+    at = 16
+    table = []
+    for n in (KEY_BYTES, 8):
+        table.append(_numbers(v[at:], n, rows).astype("i8"))
+        at += n * rows
     out = []
     for n in (4, *widths):
         out.append(_numbers(v[at:], n, count))
         at += n * count
-    return table[out[0].astype(np.int64)], out[1:], v[at:]
+    return np.stack(table, axis=1)[out[0].astype(np.int64)], out[1:], v[at:]
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -87,14 +98,6 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lists(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
-    """(distinct keys, a list of each value for each, the first row of each); keys are put in order."""
-    o = np.argsort(key, kind="stable")
-    starts = np.flatnonzero(_firsts(key[o])) if len(o) else np.empty(0, np.int64)
-    offsets = pa.array(np.append(starts, len(o)).astype(np.int32))
-    return key[o][starts], [pa.ListArray.from_arrays(offsets, pa.array(v[o])) for v in values], o[starts]
-
-
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(x or "").encode() for x in batch.column("text").to_pylist()]
 
@@ -103,12 +106,12 @@ def _docs_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column("key").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)], axis=1)
 
 
-def _blobs(shard: np.ndarray, kind: int, docs: np.ndarray, fields: list[tuple[np.ndarray, int]], wide: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+def _blobs(shard: np.ndarray, kind: int, docs: np.ndarray, place: np.ndarray, fields: list[tuple[np.ndarray, int]], wide: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
     o = np.argsort(shard, kind="stable")
     starts = np.append(np.flatnonzero(_firsts(shard[o])), len(o)) if len(o) else [0]
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         own = o[a:b]
-        yield int(shard[own[0]]), kind, pack(docs[own], [(x[own], n) for x, n in fields], wide[own].tobytes() if wide is not None else b"")
+        yield int(shard[own[0]]), kind, pack(docs, place[own], [(x[own], n) for x, n in fields], wide[own].tobytes() if wide is not None else b"")
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -127,18 +130,18 @@ def _find(batches: Iterator[pa.RecordBatch], shards: int, common: np.ndarray) ->
         for buf, at, h, text, pos in anchors(_texts(batch)):
             h = h >> np.uint64(16)
             c = hash_at(words(buf), at - SPREAD, CONTEXT) >> np.uint64(24)
-            own = docs[text]
-            o = np.lexsort((pos, own[:, 1], c, h))
-            h, c, own, pos = h[o], c[o], own[o], pos[o]
+            ids = docs[text, 1]
+            o = np.lexsort((pos, ids, c, h))
+            h, c, text, ids, pos = h[o], c[o], text[o], ids[o], pos[o]
             new = _firsts(h, c)
-            least = own[np.flatnonzero(new), 1][np.cumsum(new) - 1] if len(new) else own[:, 1]
-            done = own[:, 1] > least
+            least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else ids
+            done = ids > least
             key = np.where(_common(h, common), mix(h ^ (c << np.uint64(8))), mix(h))
             shard = (key % np.uint64(shards)).astype(np.int64)
             go = ~done
-            rows = list(_blobs(shard[go], 0, own[go], [(h[go], 6), (c[go], 5), (pos[go], 4)]))
+            rows = list(_blobs(shard[go], 0, docs, text[go], [(h[go], 6), (c[go], 5), (pos[go], 4)]))
             if done.any():
-                rows += _blobs(np.full(int(done.sum()), int(shard[done][0])), 1, own[done], [(pos[done], 4)])
+                rows += _blobs(np.full(int(done.sum()), int(shard[done][0])), 1, docs, text[done], [(pos[done], 4)])
             yield _batch(rows)
 
 
@@ -173,9 +176,9 @@ def _settle(table: pa.Table, common: np.ndarray) -> pa.Table:
     pos = np.concatenate([pos[full], pos[want], done]).astype(np.int32)
     wanted = np.zeros(len(pos), bool)
     wanted[int(full.sum()) : int(full.sum()) + int(want.sum())] = True
-    o = np.argsort(docs[:, 0], kind="stable")
+    o = np.lexsort((docs[:, 0], docs[:, 1]))
     docs, pos, wanted = docs[o], pos[o], wanted[o]
-    at = np.flatnonzero(_firsts(docs[:, 0])) if len(o) else np.empty(0, "i8")
+    at = np.flatnonzero(_firsts(docs[:, 0], docs[:, 1])) if len(o) else np.empty(0, "i8")
 
     def lists(own: np.ndarray) -> pa.Array:
         before = np.append(0, np.cumsum(own))
@@ -200,30 +203,30 @@ def _cut(batches: Iterator[pa.RecordBatch], shards: int, common: np.ndarray) ->
             at, text, pos = map(np.concatenate, (at, text, pos))
             if not len(at):
                 continue
-            own, w = docs[text], words(buf)
+            w = words(buf)
             h = gram_hashes_at(buf, at)
             rows = []
             hot = _common(h, common)
             if not hot.all():
                 cold = ~hot
                 ctx = np.lib.stride_tricks.sliding_window_view(buf, CONTEXT)[at[cold] - SPREAD]
-                rows += _blobs((mix(h[cold]) % np.uint64(shards)).astype("i8"), 2, own[cold], [(h[cold], 6), (pos[cold], 4)], ctx)
+                rows += _blobs((mix(h[cold]) % np.uint64(shards)).astype("i8"), 2, docs, text[cold], [(h[cold], 6), (pos[cold], 4)], ctx)
             if hot.any():
                 n = np.array([len(t) for t in texts])[text[hot]]
                 start = pos[hot][:, None] - back
                 e, l = np.nonzero((start >= 0) & (start + WINDOW <= n[:, None]))
                 window = hash_at(w, at[hot][e] - back[l], WINDOW, 7)
-                ids, p = own[hot][e], pos[hot][e]
-                o = np.lexsort((ids[:, 1], window))
-                window, ids, p, l = window[o], ids[o], p[o], l[o]
+                who, p = text[hot][e], pos[hot][e]
+                o = np.lexsort((docs[who, 1], window))
+                window, who, p, l = window[o], who[o], p[o], l[o]
                 new = _firsts(window)
-                least = ids[np.flatnonzero(new), 1][np.cumsum(new) - 1]
+                least = docs[who[np.flatnonzero(new)], 1][np.cumsum(new) - 1]
                 mine = (mix(window) % np.uint64(shards)).astype("i8")
-                later = ids[:, 1] > least
+                later = docs[who, 1] > least
                 for kind, own_rows in ((3, ~later), (4, later)):
                     if own_rows.any():
                         fields = [(window[own_rows], 8), (p[own_rows], 4), (l[own_rows], 1)] if kind == 3 else [(p[own_rows], 4), (l[own_rows], 1)]
-                        rows += _blobs(mine[own_rows], kind, ids[own_rows], fields)
+                        rows += _blobs(mine[own_rows], kind, docs, who[own_rows], fields)
             yield _batch(rows)
 
 
@@ -274,7 +277,7 @@ def _sort(table: pa.Table) -> pa.Table:
                 to.append(x)
         else:
             d, (p, l), _ = unpack(blob, (4, 1))
-            done.append((d[:, 0], p, np.int64(1) << l.astype("i8")))
+            done.append((d, p, np.int64(1) << l.astype("i8")))
     docs, h, pos, ctx = map(np.concatenate, (docs, h, pos, ctx))
     found = window_groups(h, docs[:, 1], ctx) if len(h) else np.empty(0, "i8")
     wd, wh, wp, wl = map(np.concatenate, (wd, wh, wp, wl))
@@ -282,18 +285,20 @@ def _sort(table: pa.Table) -> pa.Table:
         o = np.lexsort((wd[:, 1], wh))
         new = _firsts(wh[o])
         later = o[wd[o, 1] > wd[o[np.flatnonzero(new)], 1][np.cumsum(new) - 1]]
-        done.append((wd[later, 0], wp[later], np.int64(1) << wl[later].astype("i8")))
+        done.append((wd[later], wp[later], np.int64(1) << wl[later].astype("i8")))
     some = found != 0
-    done.append((docs[some, 0], pos[some], found[some]))
-    key, at, mask = (np.concatenate(x) for x in zip(*done, strict=True))
-    o = np.lexsort((at, key))
-    key, at, mask = key[o], at[o], mask[o]
-    if len(key):  # one mask for each anchor
-        starts = np.flatnonzero(_firsts(key, at))
-        key, at, mask = key[starts], at[starts], np.bitwise_or.reduceat(mask, starts)
-    keys, (p, m), _ = _lists(key, at.astype(np.int32), mask.astype("i8"))
-    empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(keys) + 1, np.int32)), pa.array([], pa.int32()))
-    return pa.table([pa.array(keys), empty, p, m], names=["key", "full", "at", "mask"])
+    done.append((docs[some], pos[some], found[some]))
+    docs, at, mask = (np.concatenate(x) for x in zip(*done, strict=True))
+    o = np.lexsort((at, docs[:, 0], docs[:, 1]))
+    docs, at, mask = docs[o], at[o], mask[o]
+    if len(at):  # one mask for each anchor
+        starts = np.flatnonzero(_firsts(docs[:, 0], docs[:, 1], at))
+        docs, at, mask = docs[starts], at[starts], np.bitwise_or.reduceat(mask, starts)
+    first = np.flatnonzero(_firsts(docs[:, 0], docs[:, 1])) if len(at) else np.empty(0, "i8")
+    ends = pa.array(np.append(first, len(at)).astype(np.int32))
+    empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(first) + 1, np.int32)), pa.array([], pa.int32()))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(mask.astype("i8")))]
+    return pa.table([pa.array(docs[first, 0]), pa.array(docs[first, 1]), empty, *lists], names=["key", "id", "full", "at", "mask"])
 
 
 def removed_spans(n: int, full: np.ndarray, at: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
@@ -350,7 +355,7 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, common: np.nda
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with_text: also the bytes kept and the spans (start, end, ...)."""
     text = F.coalesce(documents["text"], F.lit(""))
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2 ** (8 * KEY_BYTES) - 1)))
     docs = keyed.filter("doc_id IS NOT NULL").select("key", F.col("doc_id").alias("id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(12, total // SHARD_BYTES)
@@ -359,13 +364,14 @@ def remove_repeats(documents: DataFrame, with_text: bool = False, common: np.nda
     found = docs.mapInArrow(lambda it: _find(it, shards, common), _PACKED)
     asked = durable(found.groupBy("shard").applyInArrow(lambda t: _settle(t, common), _ASKED), "repeats")
     by_row = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    want = asked.filter(F.size("want") > 0).groupBy("key").agg(F.first("id").alias("id"), by_row("want"))
-    source = keyed.select("key", "doc_id", "text")
+    row = ["key", "id"]  # the key only tells apart rows that share an id
+    want = asked.filter(F.size("want") > 0).groupBy(*row).agg(by_row("want"))
+    source = keyed.select("key", F.col("doc_id").alias("id"), "text")
     # a left join first, so that both joins with the texts can read one shuffle of them
-    cut = source.join(want, "key", "left").filter("id IS NOT NULL").select("key", "id", "text", "want").mapInArrow(lambda it: _cut(it, shards, common), _PACKED)
+    cut = source.join(want, row, "left").filter("want IS NOT NULL").select(*row, "text", "want").mapInArrow(lambda it: _cut(it, shards, common), _PACKED)
     masks = cut.groupBy("shard").applyInArrow(_sort, _MASKS)
     nothing = [F.array().cast("array<int>").alias("at"), F.array().cast("array<long>").alias("mask")]
-    both = asked.filter(F.size("full") > 0).select("key", "full", *nothing).unionByName(masks)
-    removed = both.groupBy("key").agg(by_row("full"), by_row("at"), by_row("mask"))
-    out = source.join(removed, "key", "left").select("doc_id", "text", "full", "at", "mask")
+    both = asked.filter(F.size("full") > 0).select(*row, "full", *nothing).unionByName(masks)
+    removed = both.groupBy(*row).agg(by_row("full"), by_row("at"), by_row("mask"))
+    out = source.join(removed, row, "left").select(F.col("id").alias("doc_id"), "text", "full", "at", "mask")
     return out.mapInArrow(lambda it: _apply(it, with_text), _RESULT + (", kept binary, spans array<long>" if with_text else ""))
