@@ -12,11 +12,12 @@ sets' registers agree about as often as the sets do.
 3. A pair's similarity is estimated by maximum likelihood from how many registers are
    greater, less and equal, given both sizes. Pairs more than MARGIN standard errors
    under the threshold go.
-4. Pairs are verified on full sets, best estimates first, and joined to components;
-   pairs inside one component need no test.
-5. In buckets that still hold several components, pairs across components are
-   estimated in blocks and verified as well, so that no pair that shares a bucket and
-   could add a link is left out.
+4. Each node's best pair is verified on full sets, and verified pairs are joined to
+   components. In most groups this leaves one component.
+5. In buckets that still hold several components, all pairs across them are compared in
+   blocks, each pair in the first bucket that it shares: by the estimate, then on full
+   sets, until a block has nothing left to join. So every pair that shares a bucket is
+   either inside one component or has been tested.
 
 Two sets of similarity 0.85 share no bucket with probability (1 - 0.85^6)^32 < 3e-7.
 
@@ -46,7 +47,8 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 RATE, BASE = 20.0, 1.1
 MARGIN = 5.0
-SLICE = 2048
+SURELY_LESS = 0.5  # with fewer registers alike no estimate comes near the threshold
+SLICE = 1024
 WORDS_KEPT = 500_000
 
 _RNG = np.random.default_rng(31)
@@ -148,7 +150,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(node), BANDS, ROWS)
         packed = (s.astype(np.uint64) << (np.arange(ROWS, dtype=np.uint64) * np.uint64(8))).sum(axis=2)
         key = mix(packed * _M1 + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2)
-        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], names=["key", "node"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(node))
+        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(node, BANDS))], names=["key", "band", "node"])
 
 
 def _compare(s1: np.ndarray, s2: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -183,30 +186,54 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(node, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
 
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How much of each of the others is in one; all are ordered."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    sizes = np.array([len(x) for x in others])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one bucket's slices in different components, by blocks; those that the estimate keeps."""
-    side = table.column("side").to_numpy()
-    node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-    s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in left:
-        r = right[(label[right] != label[i]) & (node[right] != node[i])]
-        r = r[np.minimum(n[r], n[i]) * LEAST_SHARE[1] >= np.maximum(n[r], n[i]) * LEAST_SHARE[0]]
-        if len(r):
-            j = _compare(s[i][None], s[r], np.full(len(r), n[i]), n[r])
-            r, j = r[j >= least_estimate()], j[j >= least_estimate()]
-            out.append((np.minimum(node[i], node[r]), np.maximum(node[i], node[r]), j))
-    a, b, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
-    return pa.table([pa.array(a), pa.array(b), pa.array(j)], names=["a", "b", "est"])
-
-
-def _relabel(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    both = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
+    """Links between components in one bucket (or one pair of its slices), enough to join all that can be joined."""
+    most, of = LEAST_SHARE
+    order = np.argsort(table.column("node").to_numpy(), kind="stable")
+    side, node, label, n = (table.column(c).to_numpy()[order] for c in ("side", "node", "label", "n"))
+    band = int(table.column("band")[0].as_py())
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)[order]
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    sets = [sets[i] for i in order]
+    names, part = np.unique(label, return_inverse=True)
+    parent = np.arange(len(names))
+    largest = np.bincount(part).argmax()
+    diagonal = not (side == 1).any()
+    left = np.flatnonzero(side == 0)
+    left = np.concatenate([left[part[left] != largest], left[part[left] == largest]])
+    right = left if diagonal else np.flatnonzero(side == 1)
+    out: list[tuple[int, int]] = []
+    for turn, i in enumerate(left):
+        r = right[turn + 1 :] if diagonal else right
+        r = r[parent[part[r]] != parent[part[i]]]
+        r = r[np.minimum(n[r], n[i]) * of >= np.maximum(n[r], n[i]) * most]
+        if not len(r):
+            continue
+        same = sketch[r] == sketch[i]
+        new = ~same[:, : band * ROWS].reshape(len(r), band, ROWS).all(axis=2).any(axis=1) if band else np.ones(len(r), bool)
+        r = r[new & (same.sum(axis=1) >= SURELY_LESS * REGISTERS)]
+        if not len(r):
+            continue
+        j = _compare(sketch[i][None], sketch[r], np.full(len(r), n[i]), n[r])
+        r = r[np.argsort(-j, kind="stable")[: int((j >= least_estimate()).sum())]]
+        while len(r):
+            now, r = r[:32], r[32:]
+            c = _common(sets[i], [sets[k] for k in now])
+            for k in now[of * c >= most * (n[now] + n[i] - c)]:
+                if parent[part[k]] != parent[part[i]]:
+                    out.append((node[i], node[k]))
+                    parent[parent == parent[part[k]]] = parent[part[i]]
+            r = r[parent[part[r]] != parent[part[i]]]
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = sigs.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     first = named.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = durable(first, "nodes")
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
+    bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, band int, node long")
     pivots = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("p")).filter("c > 1")
     members = durable(bands.join(pivots.select("key", "c", F.col("p.node").alias("pivot")), "key"), "members")
     labels = _link(rows, nodes, members)
@@ -231,48 +258,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _link(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(node, label) of all nodes that have a link."""
-    spark = rows.sparkSession
     sized = lambda i: nodes.select(F.col("node").alias("ab"[i]), F.col("n").alias(f"n{i + 1}"), F.col("sketch").alias(f"s{i + 1}"))
-    pairs = members.filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    left = durable(pairs.join(sized(0), "a").join(sized(1), "b").mapInArrow(_estimate, "a long, b long, est double"), "pairs")
-    needed = members.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id")), "node")
+    pairs = members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    likely = pairs.join(sized(0), "a").join(sized(1), "b").mapInArrow(_estimate, "a long, b long, est double")
+    best = durable(likely.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "best")
+    needed = durable(members.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id")), "node"), "needed")
     texts = rows.join(needed.select("doc_id").distinct(), "doc_id").select("text")
     sets = durable(texts.mapInArrow(_sets, "node long, hashes binary").join(needed.select("node"), "node").dropDuplicates(["node"]), "sets")
-
-    def verified(some: DataFrame) -> DataFrame:
-        x = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        return durable(some.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean"), "verified")
-
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    tested = links
-    for turn in range(3):  # one pair for each node first; the last turn takes all that are left
-        if left.isEmpty():
-            break
-        now = durable(left.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "turn") if turn < 2 else left.select("a", "b")
-        got = verified(now)
-        tested = tested.union(got.select("a", "b"))
-        links = links.union(got.filter("ok").select("a", "b"))
-        labels = components(links)
-        left = durable(_relabel(left.join(now, ["a", "b"], "left_anti"), labels), "left")
-    # buckets with several components: pairs that have no pivot in them
-    own = members.join(labels, "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label"))
-    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n_all")).filter("lo < hi AND n_all > 2").select("key")
-    own = durable(own.join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node"), "mixed")
-    if not own.isEmpty():
-        parts = F.ceil(F.col("c") / SLICE).cast("int")
-        mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-        every = F.explode(F.sequence(F.lit(0), parts - 1))
-        one = own.select("key", mine.alias("i"), every.alias("j"), F.lit(0).alias("side"), "node", "label", "n", "sketch")
-        two = own.select("key", every.alias("i"), mine.alias("j"), F.lit(1).alias("side"), "node", "label", "n", "sketch")
-        dealt = one.filter("i <= j").union(two.filter("i <= j"))
-        more = dealt.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long, est double").select("a", "b").distinct()
-        got = verified(more.join(tested, ["a", "b"], "left_anti"))
-        new = got.filter("ok").select("a", "b")
-        if not new.isEmpty():
-            labels = components(links.union(new))
-    return labels
+    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    tested = best.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean")
+    links = durable(tested.filter("ok").select("a", "b"), "links")
+    labels = components(links)
+    own = durable(members.join(labels, "node", "left").select("key", "band", "node", "c", F.coalesce("label", "node").alias("label")), "labelled")
+    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    own = own.join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
+    parts = F.ceil(F.col("c") / SLICE).cast("int")
+    own = own.withColumn("mine", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    # slice i meets every slice j from i on; on the diagonal it is there once
+    turns = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda t: F.struct(F.least("mine", t).alias("i"), F.greatest("mine", t).alias("j"), F.when(F.col("mine") <= t, 0).otherwise(1).alias("side"))))
+    dealt = own.select("key", "band", "node", "label", "n", "sketch", "hashes", turns.alias("t")).select("*", "t.i", "t.j", "t.side").drop("t")
+    # few bytes but much work: so many tasks that Spark's sizing by bytes does not lump them
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = durable(dealt.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_across, "a long, b long"), "across")
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
