@@ -31,9 +31,6 @@ MOST_COPIES = 3
 BINS = 65536
 SEED = 20
 
-_ALL = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -56,19 +53,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     cap / weight, so the fixed point is found with running sums over that order.
     """
     order = W.orderBy("mix_null", "mix_source")
+    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     s = sizes.groupBy("mix_null", "mix_source").agg(F.sum("size").alias("source_size"))
     place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
     s = s.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
     by_ratio = W.orderBy(F.col("cap") / F.col("w"), "mix_null", "mix_source")
     s = (
-        s.withColumn("total", F.sum("source_size").over(_ALL).cast("double"))
+        s.withColumn("total", F.sum("source_size").over(every).cast("double"))
         .withColumn("cap_before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("w_from", F.sum("w").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("full", (F.col("total") - F.col("cap_before")) * F.col("w") >= F.col("cap") * F.col("w_from"))
     )
-    s = s.withColumn("free_words", F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(_ALL), F.lit(0.0)))
-    s = s.withColumn("free_w", F.sum(F.when(~F.col("full"), F.col("w"))).over(_ALL))
+    s = s.withColumn("free_words", F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(every), F.lit(0.0)))
+    s = s.withColumn("free_w", F.sum(F.when(~F.col("full"), F.col("w"))).over(every))
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * F.col("free_words") / F.col("free_w")))
     s = s.withColumn("target", target)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
