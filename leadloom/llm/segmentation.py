@@ -7,15 +7,17 @@ distinct chunk of a batch (an array trie finds its edges, a backward pass the to
 weight from each place on). An edge's conditional log probability is then its own plus
 the weight after it less the weight before it.
 
-Segmentations come out of a top-down perturbed search (A*): a subtree's key is the
-largest Gumbel-perturbed log probability in it. A node's best child keeps the node's
-key, and its siblings get keys conditioned to lie below it. The agenda of a text holds
-the siblings left along every path taken; the largest is descended next, its prefix
-kept and all after it drawn afresh. So the k segmentations are a sample of k without
-replacement with keys in order, and the key of the best subtree that is left is the
-threshold for their inclusion scores, 1 - exp(-exp(log probability - threshold)).
-Descents run over all texts of a slice at once. Noise is a hash of the row's key,
-sample, chunk and edge, so results do not depend on batches or partitions.
+Segmentations come out of a perturbed A* search over the lattice. A region's key is the
+largest Gumbel-perturbed log probability in it: a Gumbel variate at the region's log
+probability, held below the key of the region that it was split from. The agenda holds,
+for each segmentation found, what branches off its path. The best region is opened: the
+place where it leaves the path, and the branch, are drawn by their probabilities, and
+the rest is drawn edge by edge, which is how the largest of a region is distributed. So
+the k segmentations are a sample of k without replacement with keys in order, and the
+key of what is left is the threshold for their inclusion scores,
+1 - exp(-exp(log probability - threshold)). Paths of all texts of a slice are followed
+at once. Noise is a hash of the row's key, sample, chunk and place, so results do not
+depend on batches or partitions.
 
 The scores of a BPE model are ranks of merges; its pieces weigh as words do in text,
 1 / (rank + RANK_SHIFT). Those of a unigram model (by_rank=False) keep their scores.
@@ -35,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +49,8 @@ RANK_SHIFT = 10.0
 SPACE, LITERAL = "▁", "\ud800"  # a lone surrogate stands for a literal ▁: no text holds one
 SLICE = 20_000
 LONG = 64
+BLOCK = 2 << 20
 SLOTS = 1 << 19
-EARLY, NEAR_TIE = 24, 7.0
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -160,10 +163,10 @@ class Lattice:
             n += 1
             piece = v.piece_at[state]
             some = piece >= 0
-            found.append((at[some], np.full(int(some.sum()), n), piece[some]))
+            found.append((at[some], np.full(int(some.sum()), n), piece[some]))  # long pieces, the likely ones, come first at a place
             more = at + n < end[at]
             at, state = at[more], state[more]
-        start, length, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        start, length, piece = (np.concatenate(x) for x in zip(*found[::-1], strict=True)) if found else (np.empty(0, np.int64),) * 3
         covered = np.zeros(len(chars), bool)
         covered[start[length == 1]] = True
         bare = np.flatnonzero(~covered)
@@ -206,132 +209,94 @@ class Lattice:
             xs = [w[e] + (after[self.target[e]] if self.target[e] < end[p] else 0.0) for e in range(self.first[p], self.first[p + 1])]
             top = max(xs)
             beta[p] = after[p] = top + math.log(sum(math.exp(x - top) for x in xs))
+        self.own = own
         self.cond = w + np.where(self.target < end[own], after[np.minimum(self.target, len(chars))], 0.0) - beta[own]
+        total = np.cumsum(np.exp(self.cond))
+        self.up_to = total - np.append(0.0, total)[self.first[own]]
+        self.up_to[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = 2.0  # the last edge of a place takes what is left
         self.end = self.off[1:]
 
 
-def gumbel(key: np.ndarray) -> np.ndarray:
-    u = ((mix(key * _M3 + _M2) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
-    return -np.log(-np.log(u))
+def uniform(key: np.ndarray) -> np.ndarray:
+    """52 bits in (0, 1)."""
+    return ((mix(key * _M3 + _M2) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def below(key: np.ndarray, own: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """A sibling's key: ``own``, which lies ``gap`` < 0 under its node's largest, moved under the node's key."""
-    with np.errstate(divide="ignore", over="ignore"):
-        v = key - own + np.log(-np.expm1(gap))
-        return key - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
+def held_gumbel(log_p: float, most: float, u: float) -> float:
+    """A Gumbel variate at log_p, conditioned to lie below ``most``."""
+    return -float(np.logaddexp(-most, math.log(-math.log(u)) - log_p))
 
 
-@dataclass
-class Drawn:
-    """Segmentations of some texts: edges in order, and the k best siblings left, by text."""
-
-    doc: np.ndarray
-    edge: np.ndarray
-    word: np.ndarray  # number of each edge's chunk
-    log_p: np.ndarray  # of each text
-    left_key: np.ndarray  # (texts, k) and what each stands for
-    left_word: np.ndarray
-    left_edge: np.ndarray
-    left_log_p: np.ndarray  # up to and with that edge
-
-
-def _descend(lat: Lattice, seeds: np.ndarray, doc: np.ndarray, chunk: np.ndarray, word: np.ndarray, start: np.ndarray, key: np.ndarray, log_p: np.ndarray, sample: int, k: int) -> Drawn:
-    """Follow best children from ``start`` of each (doc, word) to the end of its chunk.
-
-    doc, chunk, word and start are in order of text; key and log_p are those of each text's subtree.
-    """
-    texts = len(seeds)
-    log_p = log_p.copy()
-    left = [np.full((texts, k), -np.inf), np.zeros((texts, k), np.int64), np.zeros((texts, k), np.int64), np.zeros((texts, k))]
-    taken: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(0, len(doc), SLICE):
-        d, c, at = doc[a : a + SLICE], chunk[a : a + SLICE], start[a : a + SLICE].copy()
-        noise = mix(seeds[d] + np.uint64((sample + 1) * int(_M1) % 2**64) + word[a : a + SLICE].astype(np.uint64) * _M3)
-        end, so_far = lat.end[c], np.zeros(len(d))
-        path: list[tuple[np.ndarray, np.ndarray]] = []
-        sib: list[tuple[np.ndarray, ...]] = []
+def _follow(lat: Lattice, noise: np.ndarray, chunk: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, edge) of paths drawn from each start to the end of its chunk, in order."""
+    who, edges = [], []
+    for a in range(0, len(chunk), SLICE):
+        at, end, off = start[a : a + SLICE].copy(), lat.end[chunk[a : a + SLICE]], lat.off[chunk[a : a + SLICE]]
         go = np.flatnonzero(at < end)
+        path: list[tuple[np.ndarray, np.ndarray]] = []
         while len(go):
-            first = lat.first[at[go]]
-            counts = lat.first[at[go] + 1] - first
-            best = first.copy()
-            many = np.flatnonzero(counts > 1)
-            if len(many):
-                own, n = go[many], counts[many]
-                e = _ranges(first[many], n)
-                who = np.repeat(own, n)
-                x = lat.cond[e] + gumbel(noise[who] + (e - np.repeat(lat.off[c[own]], n)).astype(np.uint64) * _M1)
-                heads = np.cumsum(n) - n
-                top = np.maximum.reduceat(x, heads)
-                gap = x - np.repeat(top, n)
-                hit = np.flatnonzero(gap == 0)
-                hit = hit[np.append(True, who[hit][1:] != who[hit][:-1])]
-                best[many] = e[hit]
-                rest = np.ones(len(e), bool)
-                rest[hit] = False
-                sib.append((who[rest], e[rest], so_far[who[rest]], x[rest], gap[rest]))
-            so_far[go] += lat.cond[best]
-            path.append((go, best))
-            at[go] = lat.target[best]
+            place = at[go]
+            e = lat.first[place]
+            u = uniform(noise[a + go] + (place - off[go]).astype(np.uint64) * _M1)
+            on = np.flatnonzero(u >= lat.up_to[e])
+            while len(on):
+                e[on] += 1
+                on = on[u[on] >= lat.up_to[e[on]]]
+            path.append((go, e))
+            at[go] = lat.target[e]
             go = go[at[go] < end[go]]
-        before = np.cumsum(so_far) - so_far
-        first_of = np.append(True, d[1:] != d[:-1])
-        before += log_p[d] - np.repeat(before[first_of], np.diff(np.append(np.flatnonzero(first_of), len(d))))
-        if sib:
-            who, e, pre, x, gap = (np.concatenate(z) for z in zip(*sib, strict=True))
-            pre = before[who] + pre
-            own, of = pre + x, d[who]
-            # a key is at least min(node's, own) - log 2, and at most own + NEAR_TIE unless the gap is tiny
-            least = [z.copy() for z in left[:1]]
-            early = np.flatnonzero(word[a + who] < word[a:][first_of.nonzero()[0]][np.cumsum(first_of) - 1][who] + EARLY)
-            _keep_best(least, of[early], np.minimum(key[of[early]], own[early]) - math.log(2), k=k)
-            some = np.flatnonzero((gap > -math.exp(-NEAR_TIE)) | (own + NEAR_TIE + 1e-3 >= least[0][of, -1]))
-            who, e, pre, of = who[some], e[some], pre[some], of[some]
-            _keep_best(left, of, below(key[of], own[some], gap[some]), word[a + who], e, pre + lat.cond[e], k=k)
-        np.add.at(log_p, d, so_far)
-        who, e = (np.concatenate(z) for z in zip(*path, strict=True)) if path else (np.empty(0, np.int64),) * 2
-        o = np.argsort(who, kind="stable")
-        taken.append((a + who[o], e[o]))
-    who, e = (np.concatenate(z) for z in zip(*taken, strict=True)) if taken else (np.empty(0, np.int64),) * 2
-    return Drawn(doc[who], e, word[who], log_p, *left)
-
-
-def _keep_best(left: list[np.ndarray], doc: np.ndarray, key: np.ndarray, *of_key: np.ndarray, k: int) -> None:
-    """Put the k largest keys of each text into ``left``, beside those it holds."""
-    live = np.arange(len(doc))
-    for _ in range(k):
-        if not len(live):
-            return
-        top = np.full(len(left[0]), -np.inf)
-        np.maximum.at(top, doc[live], key[live])
-        hit = live[(key[live] == top[doc[live]]) & (key[live] > left[0][doc[live], -1])]
-        hit = hit[np.unique(doc[hit], return_index=True)[1]]
-        if not len(hit):
-            return
-        d = doc[hit]
-        for to, x in zip(left, (key, *of_key), strict=True):
-            to[d, -1] = x[hit]
-        turn = np.argsort(-left[0][d], axis=1, kind="stable")
-        for to in left:
-            to[d] = np.take_along_axis(to[d], turn, 1)
-        dropped = np.zeros(len(doc), bool)
-        dropped[hit] = True
-        live = live[~dropped[live]]
-
-
-def _flat_ids(v: Vocabulary, lat: Lattice, edges: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, text of each)."""
+        if path:
+            w, e = (np.concatenate(z) for z in zip(*path, strict=True))
+            o = np.argsort(w, kind="stable")
+            who.append(a + w[o])
+            edges.append(e[o])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(who), np.concatenate(edges)) if who else (none, none)
+
+
+class _Path:
+    """One segmentation of a text, and what branches off it from its first free step on."""
+
+    __slots__ = ("edge", "word", "log_p", "before", "mass", "gone")
+
+    def __init__(self, lat: Lattice, edge: np.ndarray, word: np.ndarray, free: int) -> None:
+        self.edge, self.word = edge, word
+        step = lat.cond[edge]
+        total = np.cumsum(step)
+        self.log_p = float(total[-1]) if len(total) else 0.0
+        self.before = total - step
+        self.mass = np.exp(self.before) * -np.expm1(np.minimum(step, 0.0))
+        self.mass[:free] = 0.0
+        self.gone: dict[int, list[int]] = {}
+
+    def leave(self, lat: Lattice, u: float, v: float) -> tuple[int, int]:
+        """(step, edge) of a branch drawn by probability, which is then no longer part of what is left."""
+        cum = np.cumsum(self.mass)
+        t = min(int(np.searchsorted(cum, u * cum[-1], side="right")), len(cum) - 1)
+        while self.mass[t] <= 0 and t:
+            t -= 1
+        own = lat.own[self.edge[t]]
+        gone = [int(self.edge[t]), *self.gone.get(t, [])]
+        rest = np.array([e for e in range(lat.first[own], lat.first[own + 1]) if e not in gone])
+        p = np.cumsum(np.exp(lat.cond[rest] - lat.cond[rest].max()))
+        e = int(rest[min(int(np.searchsorted(p, v * p[-1], side="right")), len(rest) - 1)])
+        self.gone.setdefault(t, []).append(e)
+        last = len(rest) == 1
+        self.mass[t] = 0.0 if last else max(0.0, self.mass[t] - math.exp(self.before[t] + lat.cond[e]))
+        return t, e
+
+
+def _flat_ids(v: Vocabulary, lat: Lattice, edges: np.ndarray) -> np.ndarray:
     piece = lat.piece[edges]
-    if not (piece < 0).any():
-        return piece, doc
-    n = np.ones(len(piece), np.int64)
-    size = np.array([len(s) for s in lat.spelled])
-    n[piece < 0] = size[-1 - piece[piece < 0]]
+    spelled = piece < 0
+    if not spelled.any():
+        return piece
+    n, size = np.ones(len(piece), np.int64), np.array([len(s) for s in lat.spelled])
+    n[spelled] = size[-1 - piece[spelled]]
     flat = v.byte_ids[np.frombuffer(b"".join(lat.spelled), np.uint8)]
     out = np.repeat(piece, n)
-    out[out < 0] = flat[_ranges((np.cumsum(size) - size)[-1 - piece[piece < 0]], n[piece < 0])]
-    return out, np.repeat(doc, n)
+    out[out < 0] = flat[_ranges((np.cumsum(size) - size)[-1 - piece[spelled]], n[spelled])]
+    return out
 
 
 class _Numbers(dict):
@@ -367,69 +332,59 @@ def _sample_some(v: Vocabulary, lat: Lattice, keys: Sequence[int], words: list[n
     chunk = np.concatenate(words[a:b]) if m else np.empty(0, np.int64)
     with np.errstate(over="ignore"):
         seeds = mix(np.array([x & (2**64 - 1) for x in keys[a:b]], np.uint64) + np.uint64(seed) * _M2)
+        draws = [uniform(seeds + np.uint64(j)) for j in range(1 + 4 * (k + 1))]
     doc = np.repeat(np.arange(m), size)
     word = np.arange(len(chunk)) - base[doc]
-    root = gumbel(seeds)
-    drawn = [_descend(lat, seeds, doc, chunk, word, lat.off[chunk], root, np.zeros(m), 0, k)]
-    got_key, got_p = [root], [drawn[0].log_p]
-    ids = [_by_text(*_flat_ids(v, lat, drawn[0].edge, drawn[0].doc), m)]
-    paths = [drawn[0]]
+
+    def noise(at: np.ndarray, sample: int) -> np.ndarray:
+        return mix(seeds[doc[at]] + np.uint64((sample + 1) * int(_M1) % 2**64) + word[at].astype(np.uint64) * _M3)
+
+    every = np.arange(len(chunk))
+    who, edge = _follow(lat, noise(every, 0), chunk, lat.off[chunk])
+    cuts = np.searchsorted(doc[who], np.arange(m + 1))
+    found: list[list[_Path]] = [[_Path(lat, edge[cuts[i] : cuts[i + 1]], word[who[cuts[i] : cuts[i + 1]]], 0)] for i in range(m)]
+    got_key = [[-math.log(-math.log(draws[0][i]))] for i in range(m)]
+    threshold = [-math.inf] * m
     for s in range(1, k + 1):
-        # the agenda: the best subtree left by any path so far
-        left = np.stack([d.left_key[:, 0] for d in paths], axis=1)
-        src = left.argmax(axis=1)
-        key = left[np.arange(m), src]
-        if s == k:
+        branch: list[tuple[int, int, int, int]] = []
+        for i in range(m):
+            if len(found[i]) < s:
+                continue
+            masses = [float(p.mass.sum()) for p in found[i]]
+            total = sum(masses)
+            if total <= 0:
+                continue
+            u = [float(draws[4 * s - 3 + j][i]) for j in range(4)]
+            key = held_gumbel(math.log(total), got_key[i][-1], u[0])
+            if s == k:
+                threshold[i] = key
+                continue
+            j, left = 0, u[1] * total
+            while j < len(masses) - 1 and (left >= masses[j] or masses[j] <= 0):
+                left -= masses[j]
+                j += 1
+            while masses[j] <= 0:
+                j -= 1
+            t, e = found[i][j].leave(lat, u[2], u[3])
+            branch.append((i, j, t, e))
+            got_key[i].append(key)
+        if s == k or not branch:
             break
-        live = np.flatnonzero(np.isfinite(key))
-        where, edge, p = (np.array([getattr(paths[src[i]], c)[i, 0] for i in live], kind) for c, kind in (("left_word", np.int64), ("left_edge", np.int64), ("left_log_p", float)))
-        for i in live:
-            d = paths[src[i]]
-            for c, fill in (("left_key", -np.inf), ("left_word", 0), ("left_edge", 0), ("left_log_p", 0.0)):
-                x = getattr(d, c)
-                x[i, :-1] = x[i, 1:]
-                x[i, -1] = fill
-        # what is drawn afresh: the rest of the chunk that parts, then all chunks after it
-        rest = np.zeros(m, np.int64)
-        rest[live] = size[live] - where
-        at = _ranges((base + size - rest)[live], rest[live])
+        # the rest of the chunk that parts, then all chunks after it
+        at = np.concatenate([np.arange(base[i] + found[i][j].word[t], base[i] + size[i]) for i, j, t, _ in branch])
         start = lat.off[chunk[at]]
-        heads = np.cumsum(rest[live]) - rest[live]
-        start[heads] = lat.target[edge]
-        log_p = np.zeros(m)
-        log_p[live] = p
-        new = _descend(lat, seeds, doc[at], chunk[at], word[at], start, key, log_p, s, k)
-        new.log_p[np.isinf(key)] = -np.inf
-        # its whole path: that of its source up to the edge, the edge, and what was drawn
-        edges, docs, nums = [], [], []
-        by_doc = [(d, np.searchsorted(d.doc, np.arange(m + 1))) for d in [*paths, new]]
-        starts_of = np.zeros(m, np.int64)
-        starts_of[live] = np.array([lat.first.searchsorted(e, side="right") - 1 for e in edge], np.int64)
-        for j, i in enumerate(live):
-            d, cuts = by_doc[src[i]]
-            own, num = d.edge[cuts[i] : cuts[i + 1]], d.word[cuts[i] : cuts[i + 1]]
-            keep = (num < where[j]) | ((num == where[j]) & (lat.target[own] <= starts_of[i]))
-            d2, cuts2 = by_doc[-1]
-            tail = slice(cuts2[i], cuts2[i + 1])
-            edges += [own[keep], edge[j : j + 1], d2.edge[tail]]
-            nums += [num[keep], where[j : j + 1], d2.word[tail]]
-            docs.append(np.full(int(keep.sum()) + 1 + cuts2[i + 1] - cuts2[i], i))
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        new.edge, new.word, new.doc = join(edges), join(nums), join(docs)
-        paths.append(new)
-        got_key.append(key)
-        got_p.append(new.log_p)
-        ids.append(_by_text(*_flat_ids(v, lat, new.edge, new.doc), m))
+        rest = np.array([size[i] - found[i][j].word[t] for i, j, t, _ in branch])
+        start[np.cumsum(rest) - rest] = lat.target[np.array([e for _, _, _, e in branch])]
+        who, edge = _follow(lat, noise(at, s), chunk[at], start)
+        cuts = np.searchsorted(who, np.append(0, np.cumsum(rest)))
+        for (i, j, t, e), x, y in zip(branch, cuts[:-1], cuts[1:], strict=True):
+            p = found[i][j]
+            found[i].append(_Path(lat, np.concatenate([p.edge[:t], [e], edge[x:y]]), np.concatenate([p.word[:t], [p.word[t]], word[at[who[x:y]]]]), t + 1))
     for i in range(m):
-        for s in range(len(ids)):
-            if np.isfinite(got_p[s][i]):
-                p = min(0.0, float(got_p[s][i]))
-                inclusion = -math.expm1(-math.exp(min(700.0, p - key[i]))) if np.isfinite(key[i]) else 1.0
-                yield a + i, s, ids[s][i], p, float(got_key[s][i]), inclusion
-
-
-def _by_text(ids: np.ndarray, doc: np.ndarray, m: int) -> list[np.ndarray]:
-    return np.split(ids, np.searchsorted(doc, np.arange(1, m))) if m else []
+        for s, p in enumerate(found[i]):
+            log_p = min(0.0, p.log_p)
+            inclusion = -math.expm1(-math.exp(min(700.0, log_p - threshold[i]))) if math.isfinite(threshold[i]) else 1.0
+            yield a + i, s, _flat_ids(v, lat, p.edge), log_p, got_key[i][s], inclusion
 
 
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, key double, inclusion double, round_trip boolean, ids {}"
@@ -437,20 +392,29 @@ SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, key double, i
 
 def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, k: int, seed: int, packed: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, doc_ids, keys = (batch.column(c).to_pylist() for c in ("text", "doc_id", "key"))
-        rows = list(sample_batch(v, keys, texts, k, seed))
-        whole = [(t or "").encode() for t in texts]
-        got = [r[2] for r in rows]
-        if packed:
-            ids = pa.array([x.astype("<u4" if len(v.raw) > 65536 else "<u2").tobytes() for x in got], pa.binary())
-        else:
-            flat = np.concatenate(got).astype(np.int32) if got else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in got])).astype(np.int32)), pa.array(flat))
-        cols = [
-            pa.array([doc_ids[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(x) for x in got], pa.int64()),
-            *[pa.array([r[j] for r in rows], pa.float64()) for j in (3, 4, 5)], pa.array([v.decode(r[2]) == whole[r[0]] for r in rows], pa.bool_()), ids,
-        ]
-        yield pa.record_batch(cols, names=["doc_id", "sample", "n_pieces", "log_prob", "key", "inclusion", "round_trip", "ids"])
+        # lattices and results of some BLOCK characters at a time
+        size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        block = size // BLOCK
+        for own in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(block)) + 1):
+            if len(own):
+                yield _encode_block(batch.slice(own[0], len(own)), v, k, seed, packed)
+
+
+def _encode_block(batch: pa.RecordBatch, v: Vocabulary, k: int, seed: int, packed: bool) -> pa.RecordBatch:
+    texts, doc_ids, keys = (batch.column(c).to_pylist() for c in ("text", "doc_id", "key"))
+    width = "<u4" if len(v.raw) > 65536 else "<u2"
+    rows, got = [], []
+    for i, s, ids, log_p, key, inclusion in sample_batch(v, keys, texts, k, seed):
+        rows.append((doc_ids[i], s, len(ids), log_p, key, inclusion, v.decode(ids) == (texts[i] or "").encode()))
+        got.append(ids.astype(width).tobytes() if packed else ids.astype(np.int32))
+    cols = zip(*rows, strict=True) if rows else [()] * 7
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+    if packed:
+        last = pa.array(got, pa.binary())
+    else:
+        ends = np.append(0, np.cumsum([len(x) for x in got])).astype(np.int32)
+        last = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.empty(0, np.int32)))
+    return pa.record_batch([*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], last], names=["doc_id", "sample", "n_pieces", "log_prob", "key", "inclusion", "round_trip", "ids"])
 
 
 def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, seed: int = SEED, packed: bool = False, by_rank: bool = True) -> DataFrame:
