@@ -50,6 +50,7 @@ MARGIN = 5.0
 SURELY_LESS = 0.5  # with fewer registers alike no estimate comes near the threshold
 SLICE = 1024
 WORDS_KEPT = 500_000
+SMALL_SIDE = 500_000
 
 _RNG = np.random.default_rng(31)
 _MUL = _RNG.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -150,8 +151,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(node), BANDS, ROWS)
         packed = (s.astype(np.uint64) << (np.arange(ROWS, dtype=np.uint64) * np.uint64(8))).sum(axis=2)
         key = mix(packed * _M1 + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2)
-        band = np.tile(np.arange(BANDS, dtype=np.int32), len(node))
-        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(node, BANDS))], names=["key", "band", "node"])
+        key = key // np.uint64(BANDS) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)  # a key tells its band
+        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], names=["key", "node"])
 
 
 def _compare(s1: np.ndarray, s2: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -199,7 +200,7 @@ def _across(table: pa.Table) -> pa.Table:
     most, of = LEAST_SHARE
     order = np.argsort(table.column("node").to_numpy(), kind="stable")
     side, node, label, n = (table.column(c).to_numpy()[order] for c in ("side", "node", "label", "n"))
-    band = int(table.column("band")[0].as_py())
+    band = table.column("key")[0].as_py() % BANDS
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)[order]
     sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
     sets = [sets[i] for i in order]
@@ -243,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = sigs.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     first = named.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = durable(first, "nodes")
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, band int, node long")
+    bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
     pivots = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("p")).filter("c > 1")
     members = durable(bands.join(pivots.select("key", "c", F.col("p.node").alias("pivot")), "key"), "members")
     labels = _link(rows, nodes, members)
@@ -263,20 +264,23 @@ def _link(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     likely = pairs.join(sized(0), "a").join(sized(1), "b").mapInArrow(_estimate, "a long, b long, est double")
     best = durable(likely.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "best")
     needed = durable(members.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id")), "node"), "needed")
-    texts = rows.join(needed.select("doc_id").distinct(), "doc_id").select("text")
+    ids = needed.select("doc_id").distinct()
+    if needed.count() <= SMALL_SIDE:  # 8 bytes each; beyond that the texts are shuffled
+        ids = F.broadcast(ids)
+    texts = rows.join(ids, "doc_id").select("text")
     sets = durable(texts.mapInArrow(_sets, "node long, hashes binary").join(needed.select("node"), "node").dropDuplicates(["node"]), "sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     tested = best.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean")
     links = durable(tested.filter("ok").select("a", "b"), "links")
     labels = components(links)
-    own = durable(members.join(labels, "node", "left").select("key", "band", "node", "c", F.coalesce("label", "node").alias("label")), "labelled")
+    own = durable(members.join(labels, "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     own = own.join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
     parts = F.ceil(F.col("c") / SLICE).cast("int")
     own = own.withColumn("mine", F.pmod(F.xxhash64("node"), parts).cast("int"))
     # slice i meets every slice j from i on; on the diagonal it is there once
     turns = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda t: F.struct(F.least("mine", t).alias("i"), F.greatest("mine", t).alias("j"), F.when(F.col("mine") <= t, 0).otherwise(1).alias("side"))))
-    dealt = own.select("key", "band", "node", "label", "n", "sketch", "hashes", turns.alias("t")).select("*", "t.i", "t.j", "t.side").drop("t")
+    dealt = own.select("key", "node", "label", "n", "sketch", "hashes", turns.alias("t")).select("*", "t.i", "t.j", "t.side").drop("t")
     # few bytes but much work: so many tasks that Spark's sizing by bytes does not lump them
     tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = durable(dealt.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_across, "a long, b long"), "across")
