@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,11 +108,12 @@ def _docs_of(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _blobs(shard: np.ndarray, kind: int, docs: np.ndarray, place: np.ndarray, fields: list[tuple[np.ndarray, int]], wide: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
-    o = np.argsort(shard, kind="stable")
+    """Packed rows of each shard, ordered by the first field; wide rows of bytes are compressed, as those of one gram are much alike."""
+    o = np.lexsort((fields[0][0], shard))
     starts = np.append(np.flatnonzero(_firsts(shard[o])), len(o)) if len(o) else [0]
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         own = o[a:b]
-        yield int(shard[own[0]]), kind, pack(docs, place[own], [(x[own], n) for x, n in fields], wide[own].tobytes() if wide is not None else b"")
+        yield int(shard[own[0]]), kind, pack(docs, place[own], [(x[own], n) for x, n in fields], zstandard.compress(wide[own].tobytes(), 3) if wide is not None else b"")
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -269,7 +271,7 @@ def _sort(table: pa.Table) -> pa.Table:
     for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
         if kind == 2:
             d, (a, p), rest = unpack(blob, (6, 4))
-            for to, x in ((docs, d), (h, a), (pos, p), (ctx, np.frombuffer(rest, np.uint8).reshape(-1, CONTEXT))):
+            for to, x in ((docs, d), (h, a), (pos, p), (ctx, np.frombuffer(zstandard.decompress(rest), np.uint8).reshape(-1, CONTEXT))):
                 to.append(x)
         elif kind == 3:
             d, fields, _ = unpack(blob, (8, 4, 1))
