@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from leadloom.llm import mixing, near_dups, quality, secrets, segmentation
 from leadloom.llm.common import durable, table
 
+#: Word shingles that two documents share to be near copies here; op3 has its own threshold.
+NEAR_SHARE = (80, 100)
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.one_of_each(docs)
+    return near_dups.one_of_each(docs, NEAR_SHARE)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

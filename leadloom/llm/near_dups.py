@@ -19,7 +19,9 @@ sets' registers agree about as often as the sets do.
    sets, until a block has nothing left to join. So every pair that shares a bucket is
    either inside one component or has been tested.
 
-Two sets of similarity 0.85 share no bucket with probability (1 - 0.85^6)^32 < 3e-7.
+The threshold is a parameter, 0.85 for op3 and 0.80 in the pipeline. Two sets of
+similarity 0.85 share no bucket with probability (1 - 0.85^6)^32 < 3e-7, two of
+similarity 0.80 with (1 - 0.80^6)^32, about 6e-5. The bands are not made for less.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing.
 Rows without id are never linked; their component is null and they are kept. Rows that
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -124,8 +127,8 @@ def likely_similarity(n1: np.ndarray, n2: np.ndarray, more: np.ndarray, less: np
     return (lo + hi) / 2
 
 
-def least_estimate() -> float:
-    t = LEAST_SHARE[0] / LEAST_SHARE[1]
+def least_estimate(least_share: tuple[int, int]) -> float:
+    t = least_share[0] / least_share[1]
     return t - MARGIN * (t * (1 - t) / REGISTERS) ** 0.5
 
 
@@ -159,18 +162,18 @@ def _compare(s1: np.ndarray, s2: np.ndarray, n1: np.ndarray, n2: np.ndarray) ->
     return likely_similarity(n1.astype(float), n2.astype(float), (s1 > s2).sum(axis=-1), (s1 < s2).sum(axis=-1))
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _estimate(batches: Iterator[pa.RecordBatch], least_share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         s1, s2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("s1", "s2"))
         j = _compare(s1, s2, batch.column("n1").to_numpy(), batch.column("n2").to_numpy())
-        keep = pa.array(j >= least_estimate())
+        keep = pa.array(j >= least_estimate(least_share))
         yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(j).filter(keep)], names=["a", "b", "est"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    most, of = LEAST_SHARE
+def _verify(batches: Iterator[pa.RecordBatch], least_share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    most, of = least_share
     for batch in batches:
         ok = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -195,9 +198,9 @@ def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _across(table: pa.Table, least_share: tuple[int, int]) -> pa.Table:
     """Links between components in one bucket (or one pair of its slices), enough to join all that can be joined."""
-    most, of = LEAST_SHARE
+    most, of = least_share
     order = np.argsort(table.column("node").to_numpy(), kind="stable")
     side, node, label, n = (table.column(c).to_numpy()[order] for c in ("side", "node", "label", "n"))
     band = table.column("key")[0].as_py() % BANDS
@@ -224,7 +227,7 @@ def _across(table: pa.Table) -> pa.Table:
         if not len(r):
             continue
         j = _compare(sketch[i][None], sketch[r], np.full(len(r), n[i]), n[r])
-        r = r[np.argsort(-j, kind="stable")[: int((j >= least_estimate()).sum())]]
+        r = r[np.argsort(-j, kind="stable")[: int((j >= least_estimate(least_share)).sum())]]
         while len(r):
             now, r = r[:32], r[32:]
             c = _common(sets[i], [sets[k] for k in now])
@@ -237,8 +240,8 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, least_share: tuple[int, int] = LEAST_SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text); sets of least_share or more are linked."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     sigs = durable(rows.mapInArrow(_sign, _SIGS), "sigs")
     named = sigs.filter("node IS NOT NULL AND doc_id IS NOT NULL")
@@ -247,7 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
     pivots = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("p")).filter("c > 1")
     members = durable(bands.join(pivots.select("key", "c", F.col("p.node").alias("pivot")), "key"), "members")
-    labels = _link(rows, nodes, members)
+    labels = _link(rows, nodes, members, least_share)
     least = nodes.select("node", "least")
     of_label = labels.join(least, "node").groupBy("label").agg(F.min("least").alias("component"))
     moved = durable(labels.join(of_label, "label").select("node", "component"), "components")
@@ -257,11 +260,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _link(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+def _link(rows: DataFrame, nodes: DataFrame, members: DataFrame, least_share: tuple[int, int]) -> DataFrame:
     """(node, label) of all nodes that have a link."""
     sized = lambda i: nodes.select(F.col("node").alias("ab"[i]), F.col("n").alias(f"n{i + 1}"), F.col("sketch").alias(f"s{i + 1}"))
     pairs = members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    likely = pairs.join(sized(0), "a").join(sized(1), "b").mapInArrow(_estimate, "a long, b long, est double")
+    likely = pairs.join(sized(0), "a").join(sized(1), "b").mapInArrow(partial(_estimate, least_share=least_share), "a long, b long, est double")
     best = durable(likely.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "best")
     needed = durable(members.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id")), "node"), "needed")
     ids = needed.select("doc_id").distinct()
@@ -270,7 +273,7 @@ def _link(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     texts = rows.join(ids, "doc_id").select("text")
     sets = durable(texts.mapInArrow(_sets, "node long, hashes binary").join(needed.select("node"), "node").dropDuplicates(["node"]), "sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    tested = best.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean")
+    tested = best.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verify, least_share=least_share), "a long, b long, ok boolean")
     links = durable(tested.filter("ok").select("a", "b"), "links")
     labels = components(links)
     own = durable(members.join(labels, "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label")), "labelled")
@@ -283,15 +286,15 @@ def _link(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     dealt = own.select("key", "node", "label", "n", "sketch", "hashes", turns.alias("t")).select("*", "t.i", "t.j", "t.side").drop("t")
     # few bytes but much work: so many tasks that Spark's sizing by bytes does not lump them
     tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = durable(dealt.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_across, "a long, b long"), "across")
+    more = durable(dealt.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, least_share), "a long, b long"), "across")
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, least_share: tuple[int, int] = LEAST_SHARE) -> DataFrame:
     """docs without near duplicates: the rows with the smallest id of each component, once; rows without id stay."""
     from pyspark.sql import Window as W
 
-    judged = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    judged = near_duplicates(docs, least_share).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     known = docs.filter("doc_id IS NOT NULL").join(judged, "doc_id", "left_semi")
     once = known.withColumn("nd_place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())))
     return once.filter("nd_place = 1").drop("nd_place").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -20,7 +20,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), (85, 100))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

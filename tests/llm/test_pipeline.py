@@ -26,3 +26,14 @@ def test_stages(spark, tmp_path):
     assert all("abcdefgh12345" not in (r.text or "") for r in kept["secrets"]) and all(r.n_chars == len(r.text) for r in kept["secrets"] if r.text is not None)
     assert ids["mixing"] <= ids["secrets"] and all(r.round_trip for r in kept["segments"]) and len(kept["segments"]) == len(kept["mixing"])
     assert near_dups.LEAST_SHARE == (85, 100) and secrets.redact(None) is None
+
+
+def test_near_dups_stage_has_its_own_threshold(spark):
+    words = [f"w{i}" for i in range(100)]
+    copy = words[:91] + [f"v{i}" for i in range(9)]  # 87 of 105 shingles in common: 0.829
+    other = words[:88] + [f"u{i}" for i in range(12)]  # 84 of 108: 0.778
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1}
+    assert {r.component_id for r in near_dups.near_duplicates(docs).collect()} == {1, 2}
+    docs = spark.createDataFrame([(1, " ".join(words)), (3, " ".join(other))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
