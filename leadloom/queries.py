@@ -472,6 +472,22 @@ def relative_time_size(spark, d):
     return e.select("event_id", size.alias("size"))
 
 
+_NOWS = L.Literal("k int, now string", (1, "2024-01-15 12:00:00"), (2, "2024-06-01 00:00:00"), (3, "2026-03-01 00:00:00"), (4, "2023-08-01 00:00:00"), (5, "2021-01-01 00:00:00"))
+_UNITS = (("second", 60, 1), ("minute", 3600, 60), ("hour", 86_400, 3600), ("day", 2_592_000, 86_400), ("month", 31_536_000, 2_592_000))
+_NAMED = {"day": ("yesterday", "today", "tomorrow"), "month": ("last month", "this month", "next month"), "year": ("last year", "this year", "next year"), "hour": (None, "this hour", None), "minute": (None, "this minute", None), "second": (None, "now", None)}
+
+
+@query(f"""WITH {_NOWS.sql('w')}, e AS (SELECT event_id, k, date_diff('second', now::TIMESTAMP, ts) AS s FROM events, w),
+u AS (SELECT *, CASE {" ".join(f"WHEN abs(s) < {below} THEN '{n}'" for n, below, _ in _UNITS)} ELSE 'year' END AS unit,
+ floor(s / (CASE {" ".join(f"WHEN abs(s) < {below} THEN {by}" for _, below, by in _UNITS)} ELSE 31536000 END)::DOUBLE + 0.5::DOUBLE)::BIGINT AS n FROM e)
+SELECT event_id, k::INTEGER AS k, CASE WHEN s IS NULL THEN '—' {" ".join(f"WHEN unit = '{n}' AND n = {i - 1} THEN '{x}'" for n, xs in _NAMED.items() for i, x in enumerate(xs) if x)}
+ WHEN n < 0 THEN -n || ' ' || unit || CASE WHEN n = -1 THEN '' ELSE 's' END || ' ago' ELSE 'in ' || n || ' ' || unit || CASE WHEN n = 1 THEN '' ELSE 's' END END AS said FROM u""")
+def relative_time_all(spark, d):
+    """Every event against a now inside the events' range, and against nows months and years after and before it."""
+    e = _t(spark, d, "events").select("event_id", "ts").join(F.broadcast(_NOWS.df(spark)), F.lit(True))
+    return e.select("event_id", "k", scoring.relative_time(F.col("ts"), F.col("now").cast("timestamp")).alias("said"))
+
+
 # --- page evidence -------------------------------------------------------
 
 _NOISE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"

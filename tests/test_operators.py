@@ -202,3 +202,25 @@ def test_run_cursor(spark):
     r = reads.run_cursor(L.RUNS.df(spark)).first()
     assert (r.already_running, r.after) == (True, 904)
     assert reads.newest_run(L.RUNS.df(spark), 1000).first().state == "queued" and reads.newest_run(L.RUNS.df(spark), 902).first().run_id == 905
+
+
+def test_relative_time_of_every_event_by_brute_force(spark, tmp_path):
+    from datetime import UTC, datetime, timedelta
+    from math import floor
+
+    now = datetime(2024, 1, 15, 12, tzinfo=UTC)
+    gaps = [sign * x for x in (0, 29, 59, 60, 90, 3599, 3600, 5400, 86_399, 86_400, 129_600, 2_591_999, 2_592_000, 3_900_000, 31_535_999, 31_536_000, 50_000_000) for sign in (1, -1)]
+    rows = [(i, now + timedelta(seconds=g)) for i, g in enumerate(gaps)] + [(99, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+
+    def plain(s):
+        if s is None:
+            return "—"
+        unit, by = next(((u, b) for u, below, b in (("second", 60, 1), ("minute", 3600, 60), ("hour", 86_400, 3600), ("day", 2_592_000, 86_400), ("month", 31_536_000, 2_592_000)) if abs(s) < below), ("year", 31_536_000))
+        n = floor(s / by + 0.5)
+        own = {("second", 0): "now", ("day", -1): "yesterday", ("day", 1): "tomorrow", ("month", -1): "last month", ("month", 1): "next month", ("year", -1): "last year", ("year", 1): "next year"}
+        some = f"{abs(n)} {unit}{'' if abs(n) == 1 else 's'}"
+        return own.get((unit, n)) or (f"{some} ago" if n < 0 else f"in {some}")
+
+    got = Q.queries()["relative_time_all"](spark, str(tmp_path)).filter("k = 1").collect()
+    assert {r.event_id: r.said for r in got} == {i: plain(g) for i, g in enumerate(gaps)} | {99: "—"} and len(got) == len(rows)
