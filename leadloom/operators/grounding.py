@@ -34,6 +34,19 @@ def overlap(claim: Column, support: Column) -> Column:
     return F.size(F.filter(told, lambda t: F.array_contains(have, t))) / F.nullif(F.size(told), F.lit(0)).cast("double")
 
 
+def overlaps(claims: DataFrame, supports: DataFrame) -> DataFrame:
+    """item_id, doc_id, share of every claim (item_id, claim) with every support (doc_id, support), as ``overlap`` has it.
+
+    The texts meet through the tokens that they share; a pair without any has 0. Ids are keys.
+    """
+    told = claims.select("item_id", F.transform(content_tokens(F.col("claim")), stem).alias("told"))
+    have = supports.select("doc_id", F.explode(F.array_distinct(F.transform(content_tokens(F.col("support")), stem))).alias("token"))
+    times = told.select("item_id", F.explode("told").alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
+    hits = have.join(times, "token").groupBy("item_id", "doc_id").agg(F.sum("times").alias("found"))
+    pairs = told.select("item_id", F.size("told").alias("n")).crossJoin(supports.select("doc_id")).join(hits, ["item_id", "doc_id"], "left")
+    return pairs.select("item_id", "doc_id", (F.coalesce("found", F.lit(0)) / F.nullif(F.col("n"), F.lit(0)).cast("double")).alias("share"))
+
+
 def _plain(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")
 

@@ -267,6 +267,13 @@ def grounding_overlap(spark, d):
     return b.join(F.broadcast(s), F.lit(True)).select("item_id", "doc_id", grounding.overlap(F.col("claim"), F.col("support")).alias("share"))
 
 
+@query(f"""WITH b AS (SELECT item_id, {_TOK.replace('{c}', 'text')} AS told FROM benchmark), s AS (SELECT doc_id, list_distinct({_TOK.replace('{c}', 'text')}) AS have FROM documents)
+SELECT item_id, doc_id, len(list_filter(told, lambda t: list_contains(have, t))) / nullif(len(told), 0)::DOUBLE AS share FROM b, s""")
+def grounding_overlap_all(spark, d):
+    """How far each benchmark passage is borne out by each document, all of them."""
+    return grounding.overlaps(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("claim")), _t(spark, d, "documents").select("doc_id", F.col("text").alias("support")))
+
+
 @query(None)
 def claim_grounding(spark, d):
     return grounding.ground(L.CLAIMS.df(spark)).select("id", "ungrounded")

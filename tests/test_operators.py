@@ -224,3 +224,13 @@ def test_relative_time_of_every_event_by_brute_force(spark, tmp_path):
 
     got = Q.queries()["relative_time_all"](spark, str(tmp_path)).filter("k = 1").collect()
     assert {r.event_id: r.said for r in got} == {i: plain(g) for i, g in enumerate(gaps)} | {99: "—"} and len(got) == len(rows)
+
+
+def test_every_document_meets_every_claim(spark, tmp_path):
+    claims = [(1, "Blue shirts and blue shoes"), (2, "the of"), (3, "gold rings"), (4, None)]
+    docs = [(i, ("blue shirt", "shoe of gold", "nothing here", "", None)[i % 5]) for i in range(15, 40)]
+    spark.createDataFrame(claims, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.queries()["grounding_overlap_all"](spark, str(tmp_path)).collect()
+    share = {1: (0.75, 0.25, 0, 0, 0), 2: (None,) * 5, 3: (0, 0.5, 0, 0, 0), 4: (None,) * 5}
+    assert {(r.item_id, r.doc_id): r.share for r in got} == {(c, i): share[c][i % 5] for c, _ in claims for i, _ in docs} and len(got) == len(claims) * len(docs)
