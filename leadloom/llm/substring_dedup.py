@@ -20,6 +20,9 @@ Grams that a sample of documents shows to be very common are spread: step 2 by w
 context, step 3 by window, on hashes of its bytes. The sample decides only which way a
 gram goes, not what is found. Shards grow in number with the bytes of input.
 
+Equal contexts are told by their gram (48 bits) and a hash of all 64 bits, mixed
+otherwise; m contexts at one gram give about m^2 / 2^65 false copies.
+
 Null texts are empty. Rows without id are left as they are and are no source. Rows of
 one id never match one another; rows that repeat id and text get equal results. Texts
 under WINDOW bytes have nothing to remove. Extra columns are ignored.
@@ -131,17 +134,17 @@ def _find(batches: Iterator[pa.RecordBatch], shards: int, common: np.ndarray) ->
         docs = _docs_of(batch)
         for buf, at, h, text, pos in anchors(_texts(batch)):
             h = h >> np.uint64(16)
-            c = hash_at(words(buf), at - SPREAD, CONTEXT) >> np.uint64(24)
+            c = hash_at(words(buf), at - SPREAD, CONTEXT)
             ids = docs[text, 1]
             o = np.lexsort((pos, ids, c, h))
             h, c, text, ids, pos = h[o], c[o], text[o], ids[o], pos[o]
             new = _firsts(h, c)
             least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else ids
             done = ids > least
-            key = np.where(_common(h, common), mix(h ^ (c << np.uint64(8))), mix(h))
+            key = np.where(_common(h, common), mix(h ^ mix(c)), mix(h))
             shard = (key % np.uint64(shards)).astype(np.int64)
             go = ~done
-            rows = list(_blobs(shard[go], 0, docs, text[go], [(h[go], 6), (c[go], 5), (pos[go], 4)]))
+            rows = list(_blobs(shard[go], 0, docs, text[go], [(h[go], 6), (c[go], 8), (pos[go], 4)]))
             if done.any():
                 rows += _blobs(np.full(int(done.sum()), int(shard[done][0])), 1, docs, text[done], [(pos[done], 4)])
             yield _batch(rows)
@@ -157,7 +160,7 @@ def _settle(table: pa.Table, common: np.ndarray) -> pa.Table:
             done_docs.append(d)
             done_pos.append(p)
         else:
-            d, (a, b, p), _ = unpack(blob, (6, 5, 4))
+            d, (a, b, p), _ = unpack(blob, (6, 8, 4))
             for to, x in ((docs, d), (h, a), (c, b), (pos, p)):
                 to.append(x)
     docs, h, c, pos = map(np.concatenate, (docs, h, c, pos))

@@ -13,6 +13,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,3 +389,16 @@ def test_long_texts_in_pieces(monkeypatch):
     whole = [(int(h), int(p)) for _, _, hs, _, ps in anchors.anchors([text]) for h, p in zip(hs, ps, strict=True)]
     monkeypatch.setattr(anchors, "PIECE", 700)
     assert sorted((int(h), int(p)) for _, _, hs, _, ps in anchors.anchors([text]) for h, p in zip(hs, ps, strict=True)) == sorted(whole)
+
+
+def test_contexts_with_the_same_high_bits_of_hash_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = bytes(rng.integers(97, 123, 64, dtype=np.uint8))
+    texts = [bytes(rng.integers(97, 123, 200, dtype=np.uint8)) + shared + bytes(rng.integers(97, 123, 200, dtype=np.uint8)) for _ in range(40)]
+    real = substring_dedup.hash_at
+    monkeypatch.setattr(substring_dedup, "hash_at", lambda *a: real(*a) & np.uint64(0xFFFFFF))  # 40 high bits alike
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array([t.decode() for t in texts])], names=["key", "id", "text"])
+    none = np.empty(0, "u8")
+    found = pa.Table.from_batches(list(substring_dedup._find(iter([batch]), 1, none)))
+    got = substring_dedup._settle(found, none).to_pylist()
+    assert any(r["want"] for r in got) and not any(r["full"] for r in got)
