@@ -7,15 +7,14 @@ distinct chunk of a batch (an array trie finds its edges, a backward pass the to
 weight from each place on). An edge's conditional log probability is then its own plus
 the weight after it less the weight before it.
 
-Segmentations come out of a perturbed A* search over the lattice. A region's key is the
-largest Gumbel-perturbed log probability in it: a Gumbel variate at the region's log
-probability, held below the key of the region that it was split from. The agenda holds,
-for each segmentation found, what branches off its path. The best region is opened: the
-place where it leaves the path, and the branch, are drawn by their probabilities, and
-the rest is drawn edge by edge, which is how the largest of a region is distributed. So
-the k segmentations are a sample of k without replacement with keys in order, and the
-key of what is left is the threshold for their inclusion scores,
-1 - exp(-exp(log probability - threshold)). Paths of all texts of a slice are followed
+Segmentations come out top-down, without an A* agenda of regions. What branches off the
+paths found so far keeps its mass. Each step draws one key for all the mass that is left,
+a Gumbel variate at its log held below the key before, then by mass the path that is left,
+the place and the branch; the rest is drawn edge by edge. That is how the largest key of a
+search over separate regions, and where it lies, are distributed. So the k segmentations
+are a sample of k without replacement with keys in order, and the key of what is left is
+the threshold for their inclusion scores, 1 - exp(-exp(log probability - threshold)).
+Paths of all texts of a slice are followed
 at once. Noise is a hash of the row's key, sample, chunk and place, so results do not
 depend on batches or partitions.
 
