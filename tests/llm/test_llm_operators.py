@@ -316,11 +316,31 @@ def test_segmentation_round_trip(spark, vocabulary):
     assert {(r.doc_id, r.sample, tuple(r.ids)) for r in segmentation.sample_segmentations(df.repartition(5), k=2).collect()} == {(r.doc_id, r.sample, tuple(r.ids)) for r in rows}
 
 
-def test_slices_do_not_matter(monkeypatch, vocabulary):
-    args = (vocabulary, [1, 2], [prose(1, 500), prose(2, 30)], 3)
-    whole = [(r[0], r[1], r[2].tolist(), round(r[4], 9)) for r in segmentation.sample_batch(*args)]
-    monkeypatch.setattr(segmentation, "SLICE", 64)
-    assert [(r[0], r[1], r[2].tolist(), round(r[4], 9)) for r in segmentation.sample_batch(*args)] == whole
+def test_blocks_and_forgotten_lattices_do_not_matter(monkeypatch, vocabulary):
+    args = (vocabulary, list(range(40)), [prose(i % 7, 60 + i) for i in range(40)], 3)
+    whole = [(r[0], r[1], r[2].tolist(), r[3:]) for r in segmentation.sample_batch(*args)]
+    monkeypatch.setattr(segmentation, "BLOCK", 900)
+    book = segmentation.Book(vocabulary, kept=1500)
+    assert [(r[0], r[1], r[2].tolist(), r[3:]) for r in segmentation.sample_batch(*args, book=book)] == whole
+
+
+def test_chunks_with_one_hash_are_told_apart(monkeypatch, vocabulary):
+    texts = [prose(i, 40) for i in range(6)]
+    want = [r[2].tolist() for r in segmentation.sample_batch(vocabulary, range(6), texts, 2)]
+    real = segmentation.mix
+    book = segmentation.Book(vocabulary)
+    monkeypatch.setattr(segmentation, "mix", lambda x: real(x) if book.salt else real(x) & np.uint64(3))
+    book.look_up(texts)
+    assert book.salt == 1
+    monkeypatch.setattr(segmentation, "mix", real)
+    assert [r[2].tolist() for r in segmentation.sample_batch(vocabulary, range(6), texts, 2, book=book)] == want
+
+
+def test_segmentation_of_nothing_and_of_clashing_columns(spark):
+    assert segmentation.sample_segmentations(empty(spark)).count() == 0
+    rows = [(1, "some words", 5, 6), (None, "x", 5, 6), (1, "some words", 5, 6)]
+    got = segmentation.sample_segmentations(spark.createDataFrame(rows, "doc_id long, text string, key long, sample long"), packed=True).collect()
+    assert {r.doc_id for r in got} == {1, None} and all(r.round_trip for r in got) and len({bytes(r.ids) for r in got if r.doc_id == 1}) == 2
 
 
 # --- 8 -------------------------------------------------------------------
