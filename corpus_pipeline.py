@@ -4,7 +4,7 @@ quality     rows that the quality network rejects go
 near_dups   of each class of near duplicates the row with the smallest id stays
 secrets     secrets in texts are replaced by their kind, and n_chars follows
 mixing      sources are mixed to their target weights; a row occurs as often as it is taken
-segments    each text is encoded as sampled SentencePiece segmentations
+segments    each text is encoded as two sampled SentencePiece segmentations
 
 Every stage works on all that the one before it kept, and all but the last return the
 columns of documents. Rows that the mix repeats are encoded each time they occur.
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return segmentation.sample_segmentations(docs, k=1, packed=True)
+    return segmentation.sample_segmentations(docs, packed=True)
 
 
 STAGES = [
