@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,17 +39,6 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """mapInArrow over batches that are bounded in bytes too, unless the session bounds them otherwise.
-
-    Batches of rows alone would put thousands of very long texts into one.
-    """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name)) > BATCH_BYTES:
-        conf.set(name, BATCH_BYTES)
-    return df.mapInArrow(f, schema)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
