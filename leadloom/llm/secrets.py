@@ -1,16 +1,25 @@
 """Secret scans by assignment-aware lexing.
 
-Source and configuration syntax is parsed into (target name, literal) pairs:
-``name = "x"``, ``name: x``, ``"name": "x"``, ``NAME=x``, ``name := 'x'``, ``name => "x"``,
-with ``+``-joined string literals. A right-hand side that is a plain identifier is
-replaced by the constant assigned to that name earlier in the text (followed through
-chains), and the span reported is that of the constant. A literal's score is the
-weight of its target's most sensitive name part, scaled by the literal's length and
-character entropy, with placeholders scored 0.
+Source and configuration syntax is parsed into (target name, literal) pairs: ``name = "x"``,
+``name: x``, ``"name": "x"``, ``NAME=x``, ``name := 'x'``, ``name => "x"``, ``--name x``,
+``<name>x</name>``. A literal is a quoted or triple-quoted string, several of them joined by
+``+`` or by standing side by side (over lines and comments, in parentheses or after a
+backslash too), or a bare word up to white space or punctuation. A right-hand side that
+is a plain identifier is replaced by the constant assigned to that name, the last one
+before it or else the first one after it, followed through chains; the span reported is
+that of the constant. A literal's score is the weight of its target's most sensitive name
+part, scaled by the literal's length and character entropy, with placeholders scored 0.
 
 Three fixed patterns (assign, access, hex) are always reported; the lexer adds spans
 of kind ``lexed`` where they do not overlap one of those. Offsets are code points, end
-exclusive. Null text is empty and has no spans; whole texts are scanned, however long.
+exclusive. Whole texts are scanned, in time proportional to their length whatever they
+hold: a name is tried only where none of its characters stands before it, and repeats do
+not give back what they took.
+
+Null text is empty and has no spans; an empty table gives no rows. Rows are scanned one
+by one, so repeated rows get equal results and null ids keep theirs. Columns other than
+doc_id and text are ignored by scan_secrets, whatever their names; redact_secrets keeps
+them.
 """
 
 from __future__ import annotations
@@ -18,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,21 +51,26 @@ PLACEHOLDERS = {"none", "null", "true", "false", "changeme", "example", "placeho
 LEAST_SCORE = 0.45
 LEAST_CHARS = 8
 
-_PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=q)[\x20\t]*(?::=|=>|=(?![=~])|:(?![:/]))[\x20\t]*"""
-    r"""(?:(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?P<more>(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))*)|(?P<bare>[^\s"',;{}()\[\]]+))""",
-    re.A,
+_TARGET = re.compile(
+    r"(?<![A-Za-z0-9_.$-])(?:"
+    r"-*+(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*+)[\"']?[\x20\t]*+(?:::=|:=|=>|=(?![=~])|:(?![:/]))"
+    r"|--(?P<flag>[A-Za-z][A-Za-z0-9_-]*+)[\x20\t]++(?![-:=])"
+    r"|<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]*+)>(?=[^<>\s]++</))"
 )
-_QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'")
-_IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_.]*\Z", re.A)
+_STRING = re.compile(r"[A-Za-z]{0,2}(?:\"\"\"(?P<t1>(?:[^\"\\]|\\.|\"(?!\"\"))*+)\"\"\"|'{3}(?P<t2>(?:[^'\\]|\\.|'(?!'{2}))*+)'{3}|\"(?P<s1>(?:[^\"\\\n]|\\.)*+)\"|'(?P<s2>(?:[^'\\\n]|\\.)*+)')", re.S)
+_BARE = re.compile(r"[^\s\"',;{}()\[\]<>]++")
+_OPEN = re.compile(r"[\x20\t]*+(?:\\\r?\n\s*+)?(?:(\()\s*+)?")
+_GAP = re.compile(r"(?:[\x20\t]++|\\\r?\n)*+")
+_WIDE_GAP = re.compile(r"(?:\s++|\\\r?\n|(?:\#|//)[^\n]*+)*+")
+_IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*\Z", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of the fixed patterns, ordered."""
     out = []
-    low = text.lower() if len(text) < 1 << 20 else None
-    if low is None or any(w in low for w in WORDS_OF_ASSIGN):
+    low = text.lower()
+    if any(w in low for w in WORDS_OF_ASSIGN):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
@@ -78,31 +94,70 @@ def literal_score(name: str, literal: str) -> float:
     return weight * min(1.0, n / 16 + 0.5) * min(1.0, entropy / 3.0)
 
 
-def lex(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) of each assignment, in order of text; only lines with : or = are read."""
-    for m in _PAIR.finditer(text):
-        if m["str"] is None:
-            yield m["name"], m["bare"], m.start("bare"), m.end("bare"), False
+def _value(text: str, at: int) -> tuple[str, int, int, bool] | None:
+    """(literal, start, end, quoted) of what stands at a place, joined strings as one."""
+    m = _OPEN.match(text, at)
+    wide, at = m[1] is not None, m.end()
+    parts, start, end = [], 0, 0
+    while m := _STRING.match(text, at):
+        g = m.lastgroup
+        start = start if parts else m.start(g)
+        parts.append(m[g])
+        end, at = m.end(g), m.end()
+        gap = _WIDE_GAP.match(text, at).end() if wide else _GAP.match(text, at).end()
+        plus = gap if wide else _WIDE_GAP.match(text, at).end()  # a + may lead the next line
+        if text.startswith("+", plus):
+            at = _WIDE_GAP.match(text, plus + 1).end()
+        elif gap > at:
+            at = gap
         else:
-            whole = m["str"] + m["more"]
-            yield m["name"], "".join(a or b for a, b in _QUOTED.findall(whole)), m.start("str") + 1, m.start("str") + len(whole) - 1, True
+            break
+    if parts:
+        return "".join(parts), start, end, True
+    m = _BARE.match(text, at)
+    return (m[0], m.start(), m.end(), False) if m else None
+
+
+def lex(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    """(name, literal, start, end, quoted) of each assignment, in order of text."""
+    at = 0
+    while m := _TARGET.search(text, at):
+        at = m.end()
+        if got := _value(text, at):
+            yield m["name"] or m["flag"] or m["tag"], *got
+            at = got[1] if got[3] else got[2]  # what is quoted may hold assignments itself
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach LEAST_SCORE, constants propagated."""
-    if "=" not in text and ":" not in text:
+    if not any(x in text for x in ("=", ":", "--", "</")):
         return []
-    known: dict[str, tuple[str, int, int]] = {}
-    found = set()
-    for name, literal, start, end, quoted in lex(text):
-        value = (literal, start, end)
-        if not quoted:
-            value = known.get(literal, value)
-            if value[1] == start and _IDENT.match(literal) and not any(c.isdigit() for c in literal):
-                continue  # an identifier or a plain word without a known constant
-        known[name] = value
-        if literal_score(name, value[0]) >= LEAST_SCORE:
-            found.add(value[1:])
+    pairs = list(lex(text))
+    first: dict[str, int] = {}
+    for i, (name, *_) in enumerate(pairs):
+        first.setdefault(name, i)
+    last: dict[str, int] = {}
+    refers = []  # to the assignment whose value an identifier stands for
+    for i, (name, literal, _, _, quoted) in enumerate(pairs):
+        refers.append(i if quoted else last.get(literal, first.get(literal, i)))
+        last[name] = i
+    found, value = set(), [-1] * len(pairs)  # the assignment with the literal, -2 for a circle
+    for i, (name, *_) in enumerate(pairs):
+        way, j = [], i
+        while value[j] == -1 and refers[j] != j:
+            value[j] = -2
+            way.append(j)
+            j = refers[j]
+        root = j if value[j] == -1 else value[j]
+        for k in [*way, j]:
+            value[k] = root
+        if root < 0:
+            continue
+        _, literal, start, end, quoted = pairs[root]
+        if not quoted and _IDENT.match(literal) and not any(c.isdigit() for c in literal):
+            continue  # an identifier or a plain word without a known constant
+        if literal_score(name, literal) >= LEAST_SCORE:
+            found.add((start, end))
     return sorted(found)
 
 
@@ -113,7 +168,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = base_spans(text)
     more = lexed_spans(text)
     if more:
-        more = [(a, 3, b) for a, b in more if not any(a < e and s < b for s, _, e in base)]
+        starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max, initial=0))
+        more = [(a, 3, b) for a, b in more if ends[bisect_left(starts, b)] <= a]  # no base span that starts before b ends after a
     return base, sorted(base + more)
 
 
