@@ -47,12 +47,72 @@ def test_urls(spark):
     assert got[6][2:] == ("example.com/de/", "block") and got[7][2:] == ("org/fr/", "allow") and got[8][2:] == (None, "allow")
 
 
-def test_templates_generalise_and_reject(spark):
-    rows = [(f"/{lang}/item/{i}", label) for lang, label in (("ads", 1), ("news", 0), ("blog", 0)) for i in range(30)] + [("/ads/item/x9", None), ("/news/item/x9", None)]
-    got = {(r.shape, r.template): (r.t_rows, r.t_blocked) for r in urls.path_templates(spark.createDataFrame([("h", p, v) for p, v in rows], "host string, path string, label int")).collect()}
-    assert any(s.startswith("ads/") and b == 30 for (s, _), (_, b) in got.items())
-    blocked = {t for (s, t), (_, b) in got.items() if b}
-    assert not blocked & {t for (s, t) in got if s.startswith("news/")}  # ads is not merged with what is labelled otherwise
+def brute_templates(rows):
+    """{(host, segments): template} by plain recursion, and each template's (rows, labelled, blocked)."""
+    from pyspark.sql import SparkSession
+
+    of, stats = {}, {}
+    shape = lambda segs: re.sub("[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", "/".join(segs)))
+    shapes = sorted({shape(segs[d:]) for _, segs, _ in rows for d in range(len(segs) + 1)})
+    spark = SparkSession.active()
+    bucket = {r.s: r.b for r in spark.createDataFrame([(x,) for x in shapes], "s string").select("s", F.pmod(F.xxhash64("s"), F.lit(urls.SUFFIX_BUCKETS)).alias("b")).collect()}
+
+    def chi(part, pool):
+        n, pool_n = sum(part.values()), sum(pool.values())
+        return sum((part[c] - n * pool[c] / pool_n) ** 2 / (n * pool[c] / pool_n) for c in pool if n * pool[c])
+
+    def grow(own, d, prefix):
+        ends = [r for r in own if len(r[1]) == d]
+        own = [r for r in own if len(r[1]) > d]
+        of.update({(r[0], r[1]): prefix for r in ends})
+        if len({r[1] for r in own}) == 1:
+            of[own[0][0], own[0][1]] = prefix + "/" + "/".join(own[0][1][d:])
+        elif own:
+            kids = {}
+            for r in own:
+                kids.setdefault(r[1][d], []).append(r)
+            after = lambda rs: Counter(bucket[shape(r[1][d + 1 :])] for r in rs)
+            labels = lambda rs: Counter(r[2] for r in rs if r[2] is not None)
+            variable = len(kids) >= 5 and 2 * sum(len(k) == 1 for k in kids.values()) >= len(own)
+            stars = [s for s, k in kids.items() if len(kids) > 1 and (variable or len(k) >= 5 and chi(after(k), after(own)) < 24.32 and chi(labels(k), labels(own)) < 10.83)]
+            if stars:
+                grow([r for s in stars for r in kids[s]], d + 1, prefix + "/*")
+            for s in kids.keys() - set(stars):
+                grow(kids[s], d + 1, prefix + "/" + s)
+
+    for host in {r[0] for r in rows}:
+        grow([r for r in rows if r[0] == host], 0, "")
+    for h, segs, label in rows:
+        x = stats.setdefault((h, of[h, segs]), [0, 0, 0])
+        x[0] += 1
+        x[1] += label is not None
+        x[2] += label == 1
+    return of, stats
+
+
+def test_templates_agree_with_plain_recursion(spark):
+    g = np.random.default_rng(4)
+    paths = []
+    for host in ("a", "b", "c"):
+        for _ in range(150):
+            kind = g.integers(0, 7)
+            x = int(g.integers(0, 40))
+            paths.append((host, [f"/ads/item/{x}", f"/news/{x}.html", f"/blog/item/{x}/", f"/shop/item/{x}", f"/u/{x}/posts/{x % 3}", "/", f"/é/ü{x}/" + "deep/" * int(g.integers(0, 12))][kind], [1, 0, None, None, None, None, 1][kind] if host != "c" else None))
+    paths += paths[:20] + [("a", "/once/" + "x/" * 400, None), ("", "", None)]
+    want, stats = brute_templates([(h, tuple(x for x in p.split("/") if x), v) for h, p, v in paths])
+    got = urls.path_templates(spark.createDataFrame(paths, "host string, path string, label int")).collect()
+    assert {(r.host, tuple(x for x in r.shape.split("/") if x)): r.template for r in got} == want and len(got) == len(want)
+    assert all(stats[r.host, r.template] == [r.t_rows, r.t_labelled, r.t_blocked] for r in got)
+    assert any("*" in t for t in want.values())
+
+
+def test_templates_decide_for_urls_without_a_rule(spark):
+    rows = [(i, f"http://h{i % 2}.example.com/{lang}/{i}", 0) for i in range(400) for lang in ("de", "en")] + [(i, f"http://x.org/{lang}/{i}", 0) for i in range(50) for lang in ("fr", "es")] + [(1000, "http://h0.example.com/about/us/now", 0)]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, template long")).collect()
+    said = {(r.host, r.path.split("/")[1], r.rule is None): r.verdict for r in got}
+    assert said["h0.example.com", "en", True] == "block" and said["x.org", "es", True] == "allow" and said["h0.example.com", "about", True] == "allow"
+    none = urls.filter_urls(spark.createDataFrame([], "page_id long, url string"))
+    assert none.count() == 0 and none.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
 
 
 # --- 2 -------------------------------------------------------------------
@@ -82,6 +142,50 @@ def test_constants_are_followed():
     assert [SECRETS[8][a:b] for a, b in secrets.lexed_spans(SECRETS[8])] == ["Zx9_kLmN0pQr"]
     assert secrets.lexed_spans("the key: is under the mat. token = undefined") == []
     assert secrets.redact('a token = "abcdefgh1" b') == 'a [secret:assign]" b'
+    assert secrets.lexed_spans("salt = a1\na1 = a2\na2 = a1\n") == []  # a circle
+
+
+def test_lexed_spans_of_written_code():
+    """Statements are written with the spans that they must give."""
+    g = np.random.default_rng(8)
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    value = lambda: "x7" + "".join(g.choice(letters, 14))
+    for _ in range(60):
+        text, want, constants = "", set(), {}
+        for n in range(25):
+            v, w = value(), value()
+            name = str(g.choice(["private_key", "authSalt", "bearer", "cookie"]))
+            plain = str(g.choice(["colour", "title", "width"]))
+            kind = int(g.integers(0, 13))
+            before, literal, after, hit = [
+                (f'{name} = "', v, '"\n', True), (f"  {name}: ", v, "\n", True), (f'"{name}": "', v, '",\n', True), (f"<{name}>", v, f"</{name}>\n", True), (f"run --{name} ", v, " now\n", True),
+                (f"<x {name}='", v, "'/>\n", True), (f"{name} = ('", f"{v}' # first\n   '{w}", "')\n", True), (f'{name} := "', f'{v}"\n  + "{w}', '"\n', True), (f'{name} = r"""', v, '"""\n', True),
+                (f"{plain} = '", v, "'\n", False), (f"# {name} = ", v, " # old\n", True), (f"const{n} = '", v, "'\n", None), (f"{name} = const{int(g.integers(0, 25))}\n", "", "", None),
+            ][kind]
+            at = len(text) + len(before)
+            text += before + literal + after
+            if hit:
+                want.add((at, at + len(literal)))
+            elif kind == 11:
+                constants[f"const{n}"] = (at, at + len(literal))
+        want |= {constants[c] for c in re.findall(r"= (const\d+)\n", text) if c in constants}
+        assert set(secrets.lexed_spans(text)) == want
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + " x=1", 'x="' * 200_000, "\\\"x='" * 200_000, "-" * 1_000_000, "token" + " " * 1_000_000 + "<a>" * 100_000, "a = 'x'\n# c\n" * 60_000])
+def test_scans_take_time_in_proportion(text):
+    import time
+
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 20  # a scan that is quadratic would take hours
+
+
+def test_secret_scans_keep_rows_and_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefghi", 5), (1, "token=abcdefghi", 5), (None, None, 6), (3, "x" * 300_000 + " token=abcdefghi", 7)], "doc_id long, text string, spans long")
+    got = secrets.scan_secrets(df).collect()
+    assert Counter(r.n_assign for r in got) == Counter({1: 3, 0: 1}) and len({r.spans for r in got if r.doc_id == 1}) == 1
+    assert secrets.redact_secrets(df).columns == df.columns and Counter(r.spans for r in secrets.redact_secrets(df).collect()) == Counter({5: 2, 6: 1, 7: 1})
 
 
 # --- 3 -------------------------------------------------------------------
