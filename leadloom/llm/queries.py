@@ -70,7 +70,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 _OP6 = r"""
 WITH d AS (
-  SELECT source IS NULL AS mn, coalesce(source, '') AS ms, doc_id,
+  SELECT source IS NULL AS mn, coalesce(source, '') AS ms, doc_id, coalesce(doc_id, -9223372036854775808) AS did,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':20'), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
@@ -83,19 +83,26 @@ s2 AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total,
 s3 AS (SELECT *, (total - cap_before) * w >= cap * w_from AS is_full FROM s2),
 s4 AS (SELECT *, total - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0) AS free_words,
          sum(CASE WHEN NOT is_full THEN w END) OVER () AS free_w FROM s3),
-s5 AS (SELECT *, CASE WHEN is_full THEN cap ELSE least(cap, w * free_words / free_w) END AS target FROM s4),
-s6 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM s5),
-s7 AS (SELECT *, least(floor(ratio), 3)::BIGINT AS whole FROM s6),
-s AS (SELECT mn, ms, source_size, target, whole, ratio - whole AS p, target - whole * source_size AS rest FROM s7),
-r AS (SELECT d.*, s.p, s.rest, s.source_size, s.target, s.whole, (u / (1::DOUBLE - u)) / (p / (1::DOUBLE - p)) AS q
-      FROM d JOIN s USING (mn, ms)),
-v AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN q / (1::DOUBLE + q) END AS v, coalesce(doc_id, -9223372036854775808) AS did FROM r),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY mn, ms, v IS NULL ORDER BY v, did ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS up_to FROM v),
-f AS (SELECT mn, ms, v AS fv, did AS fd, row_number() OVER (PARTITION BY mn, ms ORDER BY v, did) AS k
-      FROM c WHERE v IS NOT NULL AND up_to + size / 2::DOUBLE > rest)
+s AS (SELECT mn, ms, source_size, CASE WHEN is_full THEN cap ELSE least(cap, w * free_words / free_w) END AS target FROM s4),
+c0 AS (SELECT mn, ms, length(bin(size)) // 2 AS k, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL),
+c1 AS (SELECT *, (1::BIGINT << k::INTEGER)::BIGINT AS m FROM c0 JOIN s USING (mn, ms)),
+c2 AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY mn, ms ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS above,
+         (sum(m * words) OVER (PARTITION BY mn, ms ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS mw_from FROM c1),
+c3 AS (SELECT *, (target - 3::DOUBLE * above) * m >= 3::DOUBLE * mw_from AS is_full FROM c2),
+c4 AS (SELECT *, target - 3::DOUBLE * coalesce(sum(CASE WHEN is_full THEN words END) OVER (PARTITION BY mn, ms), 0)::DOUBLE AS over_words,
+         (sum(CASE WHEN NOT is_full THEN m * words END) OVER (PARTITION BY mn, ms))::DOUBLE AS free_mw FROM c3),
+c5 AS (SELECT *, CASE WHEN is_full THEN 3::DOUBLE ELSE least(3::DOUBLE, over_words * m / free_mw) END AS copies FROM c4),
+c6 AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p FROM c5),
+c AS (SELECT mn, ms, k, whole, p, target - (sum(whole * words) OVER (PARTITION BY mn, ms))::DOUBLE AS rest FROM c6),
+r AS (SELECT d.*, c.whole, c.p, c.rest, CASE WHEN p > 0 AND p < 1 THEN (u / (1::DOUBLE - u)) / (p / (1::DOUBLE - p)) END AS q
+      FROM d LEFT JOIN c ON d.mn = c.mn AND d.ms = c.ms AND d.size > 0 AND length(bin(d.size)) // 2 = c.k),
+v AS (SELECT *, q / (1::DOUBLE + q) AS v FROM r),
+g AS (SELECT mn, ms, v, did, sum(size)::DOUBLE AS n, any_value(rest) AS rest FROM v WHERE v IS NOT NULL GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY mn, ms ORDER BY v, did ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS up_to FROM g),
+f AS (SELECT mn, ms, v AS fv, did AS fd, row_number() OVER (PARTITION BY mn, ms ORDER BY v, did) AS place FROM o WHERE up_to + n / 2::DOUBLE > rest)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN v IS NOT NULL AND (fv IS NULL OR v < fv OR (v = fv AND did < fd)) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM v LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (mn, ms)
+       (size * coalesce(whole + CASE WHEN v IS NOT NULL AND (fv IS NULL OR v < fv OR (v = fv AND did < fd)) THEN 1 ELSE 0 END, 1))::BIGINT AS taken
+FROM v JOIN s USING (mn, ms) LEFT JOIN (SELECT * FROM f WHERE place = 1) USING (mn, ms)
 """
 
 _OP8 = """

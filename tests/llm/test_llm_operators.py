@@ -365,6 +365,37 @@ def test_mixing_targets_and_taken_words(spark):
     assert mixing.mixed_sizes(empty(spark)).count() == 0
 
 
+def test_inclusion_follows_each_documents_own_probability(spark):
+    g = np.random.default_rng(6)
+    rows = [(i, "w " * (3 if i % 2 else 60), "x", "a" if i < 2400 else "b", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOCS)
+    plan = {(r.mix_source, r.k): r for r in mixing.mixing_plan(df)[1].collect()}
+    got = mixing.mixed_sizes(df).collect()
+    for source, k, size in (("a", 1, 3), ("a", 3, 60), ("b", 1, 3), ("b", 3, 60)):
+        own = [r.taken // r.size for r in got if r.size == size and (r.doc_id < 2400) == (source == "a")]
+        p = plan[source, k]
+        assert abs(np.mean(own) - (p.whole + p.p)) < 0.06 and set(own) <= {p.whole, p.whole + 1}
+    assert plan["a", 3].whole + plan["a", 3].p == pytest.approx(min(3, 4 * (plan["a", 1].whole + plan["a", 1].p)))  # by their measures
+    ids = {r.doc_id for r in got if r.taken} ^ {r.doc_id for r in mixing.mixed_sizes(df, seed=int(g.integers(100, 200))).collect() if r.taken}
+    assert ids
+
+
+def test_mixing_with_many_sources_repeats_and_clashing_names(spark):
+    rows = [(i % 40, "w " * (i % 9), f"s{i % 60}", 0, 0, 0.5, "r") for i in range(900)] + [(7, "w w w", "s1", 0, 0, 0.5, "r")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k long, size long, u double, row string")
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += len(r[1].split())
+    got = mixing.mixed_sizes(df.repartition(3)).collect()
+    want = brute_targets(dict(sizes))
+    assert len(got) == len(rows) and sum({(r.source_size, round(r.target, 6)): 0 for r in got}.values()) == 0
+    assert {(sizes[s], round(t, 6)) for s, t in want.items()} == {(r.source_size, round(r.target, 6)) for r in got}
+    assert len({r.taken for r in got if r.doc_id == 7 and r.size == 3 and r.source_size == sizes["s1"]}) == 1
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r.taken for r in got)
+    assert mixing.mixed_documents(empty(spark)).count() == 0
+
+
 # --- 7 -------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
