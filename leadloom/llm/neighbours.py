@@ -1,70 +1,135 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Every tree gives a vector a string of BITS bits, the sides of seeded random planes
-through the shard's mean, and is a sorted array of those strings. A query descends
-each tree to its longest matching prefix and then ascends all trees at once, one bit
-at a time, until the union of the ranges with that prefix holds enough candidates:
-LEAST rows or SHARE of the shard, whichever is more. Candidates are ranked by exact
-distance in double precision on the original vectors.
-
-Every row is indexed. Each shard of some thousand rows has a forest of its own, and a
-query searches them all; ``vectors`` tells how they meet. Zero vectors take no part;
-see ``vectors`` for nulls, repeated rows and ties. Extra columns are ignored.
+through its shard's mean, and is a sorted array of those strings. The forest of a shard is
+built once and kept beside its vectors.
+
+A query descends each tree to its longest matching prefixes, up to the first whose ranges
+hold FIRST rows for each that is asked for, and takes from those that most trees hold a
+first bound for the kth distance (or the better one that other shards have given). Then it ascends all trees at once to shorter prefixes, for more
+candidates. Two vectors at an angle t share a bit with probability 1 - t / pi, so at the
+bound's angle the number of trees whose prefix range holds a row is binomial; rows that
+fewer trees hold than it has with probability EXPECTED are no candidates. The prefix
+length is the one at which the ranges and the candidates that independent rows would give
+cost least. Candidates are ranked by exact distance in double precision, on the original
+vectors. So close neighbours are found among few candidates, and more are looked at where
+the kth neighbour is hardly nearer than the rest; see the README for figures.
+
+Every row is indexed; a query searches all shards. Zero vectors take no part; see
+``vectors`` for nulls, repeated rows, ties, empty tables and partitioning.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vectors import search
 
-TREES, BITS, SEED = 48, 24, 9
-SHARE, LEAST = 0.4, 1024
+TREES, BITS, SEED = 96, 16, 9
+EXPECTED = 0.8
+FIRST = 64  # so many rows for each that is asked for in the ranges from which the first bound is taken
+#: What a row costs in a prefix range, in multiplications.
+RANGE_COST = 4.0
+
+_CHOOSE = np.array([math.lgamma(TREES + 1) - math.lgamma(j + 1) - math.lgamma(TREES - j + 1) for j in range(TREES + 1)])
 
 
-def strings(x: np.ndarray, mean: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
+def strings(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """(trees, rows) of hash strings, as integers whose leading bits are the prefix."""
-    planes = np.random.default_rng(SEED).normal(size=(x.shape[1], trees * bits))
-    side = ((x - mean) @ planes > 0).reshape(len(x), trees, bits)
-    return (side @ (1 << np.arange(bits - 1, -1, -1, dtype="i8"))).T
+    planes = np.random.default_rng(SEED).normal(size=(x.shape[1], TREES * BITS))
+    side = ((x - mean) @ planes > 0).reshape(len(x), TREES, BITS)
+    return (side @ (1 << np.arange(BITS - 1, -1, -1, dtype="i4"))).T.astype("i4")
+
+
+def plant(x: np.ndarray) -> bytes:
+    """The forest of a shard: its mean, sorted strings and their rows; zero vectors are left out."""
+    x = x.astype("f8")
+    rows = np.flatnonzero(np.any(x != 0, axis=1))
+    mean = x[rows].mean(axis=0) if len(rows) else np.zeros(x.shape[1])
+    code = strings(x[rows], mean)
+    order = np.argsort(code, axis=1, kind="stable")
+    return mean.tobytes() + np.take_along_axis(code, order, 1).astype("u2").tobytes() + rows[order].astype("i4").tobytes()
+
 
+def at_least(p: np.ndarray) -> np.ndarray:
+    """(probabilities, TREES + 1): that so many trees or more succeed."""
+    p = np.clip(p, 1e-300, 1 - 1e-16)[:, None]
+    j = np.arange(TREES + 1)
+    pmf = np.exp(_CHOOSE + j * np.log(p) + (TREES - j) * np.log1p(-p))
+    return np.cumsum(pmf[:, ::-1], axis=1)[:, ::-1]
 
-def forest_search(qids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int, share: float = SHARE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, id, distance) of each query's k nearest among the candidates of these rows."""
+
+_LENGTHS = np.arange(BITS + 1)
+_BY_CHANCE = at_least(0.5**_LENGTHS)
+
+
+def ascent(bit: float, dim: int, expected: float = EXPECTED) -> tuple[int, int]:
+    """(prefix length, trees) for rows that share a bit with this probability; (0, 0) is every row."""
+    need = np.count_nonzero(at_least(bit**_LENGTHS) >= expected, axis=1) - 1
+    cost = TREES * 0.5**_LENGTHS * RANGE_COST + dim * _BY_CHANCE[_LENGTHS, need]
+    cost[need < 1] = np.inf
+    cost[0] = dim
+    n = int(np.argmin(cost))
+    return (n, int(need[n])) if n else (0, 0)
+
+
+def _near(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(((y[rows] - x) ** 2).sum(axis=1))
+
+
+def forest_search(qids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, extra: bytes, k: int, at_most: np.ndarray, expected: float = EXPECTED, looked: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, id, distance) of each query's k nearest among the candidates of this shard; ``looked`` gets numbers of candidates."""
     x, y = x.astype("f8"), y.astype("f8")
-    some = np.any(y != 0, axis=1)
-    ids, y, asked = ids[some], y[some], np.any(x != 0, axis=1)
-    if not len(ids):
+    dim = y.shape[1]
+    n = (len(extra) - 8 * dim) // (6 * TREES)
+    mean = np.frombuffer(extra, "f8", dim)
+    arrays = np.frombuffer(extra, "u2", n * TREES, 8 * dim).reshape(TREES, n).astype("i4")
+    order = np.frombuffer(extra, "i4", n * TREES, 8 * dim + 2 * n * TREES).reshape(TREES, n)
+    if not n or not len(x):
         return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "f8")
-    mean = y.mean(axis=0)
-    code, ask = strings(y, mean), strings(x, mean)
-    order = np.argsort(code, axis=1, kind="stable")
-    arrays = np.take_along_axis(code, order, 1)
-    need = min(len(ids), max(least, int(share * len(ids)), k))
-    own = np.isin(qids, ids).astype("i8")
-    lo, hi = np.empty((2, BITS + 1, len(x), TREES), "i8")
+    ask = strings(x, mean)
+    lo, hi = np.empty((2, BITS + 1, len(x), TREES), "i4")
     for t in range(TREES):
         for up in range(BITS + 1):
             first = (ask[t] >> up) << up
-            lo[up, :, t], hi[up, :, t] = np.searchsorted(arrays[t], first), np.searchsorted(arrays[t], first + (1 << up))
-    in_all = (hi - lo).sum(axis=2)
-    out = []
-    for q in np.flatnonzero(asked):
-        for up in range(int(np.argmax(in_all[:, q] >= need)), BITS + 1):
-            seen = np.zeros(len(ids), bool)
-            for t in range(TREES):
-                seen[order[t, lo[up, q, t] : hi[up, q, t]]] = True
-            if np.count_nonzero(seen) >= min(len(ids), need + own[q]):
-                break
-        c = np.flatnonzero(seen & (ids != qids[q]))
-        d = np.sqrt(((y[c] - x[q]) ** 2).sum(axis=1))
-        if len(c) > k:  # with all that tie with the kth
-            keep = d <= np.partition(d, k - 1)[k - 1]
-            c, d = c[keep], d[keep]
-        best = np.lexsort((ids[c], d))[:k]
-        out.append((np.full(len(best), q), ids[c[best]], d[best]))
+            lo[BITS - up, :, t], hi[BITS - up, :, t] = np.searchsorted(arrays[t], first), np.searchsorted(arrays[t], first + (1 << up))
+    in_all = (hi - lo).sum(axis=2, dtype="i8")
+    size, length = np.sqrt(((y - mean) ** 2).sum(axis=1)), np.sqrt(((x - mean) ** 2).sum(axis=1))
+    typical, out = float(np.sqrt((size[order[0]] ** 2).mean())), []
+    for q in np.flatnonzero(np.any(x != 0, axis=1)):
+        own = ids == qids[q]
+        ranges = lambda at: np.concatenate([order[t, a:b] for t, (a, b) in enumerate(zip(lo[at, q].tolist(), hi[at, q].tolist(), strict=True)) if b > a])  # noqa: B023, E731
+        bound, of = float(at_most[q]), typical
+        rows, dist = np.empty(0, "i8"), np.empty(0)
+        deep = BITS - int(np.argmax(in_all[::-1, q] >= FIRST * k))
+        if in_all[deep, q] >= FIRST * k:  # down to the longest prefixes that hold some rows, and those in most trees
+            rows, trees = np.unique(ranges(deep), return_counts=True)
+            rows = rows[np.argsort(-trees, kind="stable")[: FIRST // 4 * k + 1]]
+            rows = rows[~own[rows]]
+            dist = _near(x[q], y, rows)
+            if len(rows) >= k:
+                best = np.argpartition(dist, k - 1)[:k]
+                if dist[best].max() <= bound:
+                    bound, of = float(dist[best].max()), float(np.sqrt((size[rows[best]] ** 2).mean()))
+        at, need = 0, 0
+        if np.isfinite(bound) and length[q] > 0 and of > 0:
+            cosine = (length[q] ** 2 + of**2 - bound**2) / (2 * length[q] * of)
+            at, need = ascent(1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi, dim, expected)
+        held = np.bincount(ranges(at), minlength=len(ids)) >= need if at else np.bincount(order[0], minlength=len(ids)) > 0
+        held[rows] = False
+        held &= ~own
+        more = np.flatnonzero(held)
+        if looked is not None:
+            looked.append(len(rows) + len(more))
+        rows, dist = np.append(rows, more), np.append(dist, _near(x[q], y, more))
+        near = dist <= at_most[q]
+        rows, dist = rows[near], dist[near]
+        best = np.lexsort((ids[rows], dist))[:k]
+        out.append((np.full(len(best), q), ids[rows[best]], dist[best]))
     if not out:
         return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "f8")
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
@@ -73,5 +138,5 @@ def forest_search(qids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarra
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found, by Euclidean distance."""
     kind = "f8" if "double" in vectors.schema["embedding"].dataType.simpleString() else "f4"
-    out = search(vectors, is_query, k, kind, "double", lambda c: c.asc(), forest_search)
+    out = search(vectors, is_query, k, kind, "double", False, forest_search, plant)
     return out.select("query_id", "rank", "vec_id", F.col("score"))

@@ -1,14 +1,19 @@
-"""What both vector searches share: packing vectors into shards and pairing shards with queries.
+"""What both vector searches share: an index of shards that stays in place, and passes of queries over it.
 
-Vectors are packed, some thousand to a row, and written once. The candidates are dealt
-into shards of about SHARD rows and the queries into chunks of about CHUNK; every
-(chunk, shard) pair is one small group that yields each query's best rows of that
-shard, and a window over those picks the best of all. So each query meets all rows, in
-blocks, nothing is broadcast, and no task holds more than one shard and one chunk.
+Vectors are dealt in ranges of their ids (rows of one id by their place in the input, so a
+repeated id is dealt too), some SHARD to an index row, and written once; that is the only
+shuffle of vectors. Queries go over the index in chunks of at most CHUNK_BYTES: a pilot
+pass over the first shard of each length tells how good a query's kth row is at least,
+then the other shards are searched with that bound, which tightens from shard to shard
+within a task. Only rows that reach the bound leave a task, and a window over them picks the best
+of all. So each query meets all rows, in blocks; what is sent to tasks is bounded by the
+chunk, and what is shuffled by what reaches the bounds.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor
 do null ids. Vectors of different lengths are never compared. A row never meets rows of
-its own id; repeated (id, vector) rows are one query but as many candidates.
+its own id; repeated (id, vector) rows are one query but as many candidates. An empty
+table gives no rows. Columns other than vec_id and embedding are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -23,77 +28,128 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-SHARD, CHUNK, PACK = 8192, 1024, 1024
+SHARD = 8192
+CHUNK_BYTES = 8 << 20
 
-PACKED = "dim int, n int, pack long, qkeys binary, ids binary, data binary"
+PACKED = "dim int, n int, low long, bytes long, qkeys binary, ids binary, data binary, extra binary"
 FOUND = "qkey long, query_id long, vec_id long, score {}"
+COLUMNS = ["dim", "n", "low", "bytes", "qkeys", "ids", "data", "extra"]
 
 
-def _packer(dtype: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _packer(dtype: str, rows: int, build: Callable[[np.ndarray], bytes]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            by: dict[int, list[int]] = {}
-            lengths = rows["v"].map(len).to_numpy()
-            for at in range(len(rows)):
-                by.setdefault(int(lengths[at]), []).append(at)
-            out = []
-            for dim, own in by.items():
-                x = np.stack(rows["v"].to_numpy()[own]).astype("f8")
+        kept: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+        def made(dim: int, most: int) -> Iterator[pd.DataFrame]:
+            """Full packs of a length, and with most 0 what is left."""
+            keys, ids, x = (np.concatenate(z) for z in zip(*kept[dim], strict=True))
+            at = 0
+            while len(ids) - at >= max(1, most):
+                own = slice(at, at + rows)
+                at += rows
+                yield pd.DataFrame([(dim, len(ids[own]), int(ids[own][0]), x[own].nbytes + 16 * len(ids[own]), keys[own].tobytes(), ids[own].tobytes(), x[own].tobytes(), build(x[own]))], columns=COLUMNS)
+            kept[dim] = [(keys[at:], ids[at:], x[at:])]
+
+        for batch in batches:
+            lengths = batch["v"].map(len).to_numpy()
+            for dim in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == dim)
+                x = np.stack(batch["v"].to_numpy()[own]).astype("f8")
                 good = np.isfinite(x).all(axis=1)
-                ids, keys = rows["vec_id"].to_numpy(dtype="i8")[own][good], rows["qkey"].to_numpy(dtype="i8")[own][good]
-                x = x[good].astype(dtype)
-                order = np.argsort(ids, kind="stable")
-                for a in range(0, len(order), PACK):
-                    o = order[a : a + PACK]
-                    out.append((dim, len(o), int(keys[o].sum()), keys[o].tobytes(), ids[o].tobytes(), x[o].tobytes()))
-            if out:
-                yield pd.DataFrame(out, columns=["dim", "n", "pack", "qkeys", "ids", "data"])
+                kept.setdefault(dim, []).append((batch["qkey"].to_numpy(dtype="i8")[own][good], batch["vec_id"].to_numpy(dtype="i8")[own][good], x[good].astype(dtype)))
+                if sum(len(z[1]) for z in kept[dim]) >= rows:
+                    yield from made(dim, rows)
+        for dim in kept:
+            yield from made(dim, 0)
 
     return pack
 
 
-def packed(vectors: DataFrame, dtype: str, what: str) -> DataFrame:
-    """Valid vectors in packed rows; vectors has vec_id and embedding."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
-    rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
-    return durable(rows.withColumn("qkey", F.xxhash64("vec_id", "v")).mapInPandas(_packer(dtype), PACKED), what)
+def packed(vectors: DataFrame, dtype: str, what: str, build: Callable[[np.ndarray], bytes] = lambda x: b"", rows: int = SHARD) -> DataFrame:
+    """Valid vectors, ``rows`` to a row in ranges of their ids, with what is built from each pack."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
+    v = v.filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
+    v = v.withColumns({"qkey": F.xxhash64("vec_id", "v"), "turn": F.monotonically_increasing_id()})
+    parts = max(1, -(-v.count() // rows))
+    order = [F.size("v"), "vec_id", "turn"]
+    dealt = v.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return durable(dealt.select("vec_id", "v", "qkey").mapInPandas(_packer(dtype, rows, build), PACKED), what)
 
 
-def unpack(rows: pd.DataFrame, dim: int, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query keys, ids, vectors) of some packed rows."""
-    def join(c: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(rows[c]), dtype=kind)
+def unpack(row, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query keys, ids, vectors) of a packed row."""
+    return np.frombuffer(row.qkeys, "i8"), np.frombuffer(row.ids, "i8"), np.frombuffer(row.data, dtype).reshape(-1, row.dim)
 
-    return join("qkeys", "i8"), join("ids", "i8"), join("data", dtype).reshape(-1, dim)
 
+def search(vectors: DataFrame, is_query: Column, k: int, dtype: str, score: str, best_first: bool, in_shard: Callable, build: Callable[[np.ndarray], bytes] = lambda x: b"") -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of each query; best_first: greater scores are better.
 
-def _dealt(rows: DataFrame, of: int, name: str) -> tuple[DataFrame, int]:
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, -(-total // of))
-    return rows.withColumn(name, F.pmod(F.xxhash64("pack", F.md5("ids")), F.lit(parts)).cast("int")), parts
-
-
-def search(vectors: DataFrame, is_query: Column, k: int, dtype: str, score: str, better: Callable[[Column], Column], in_shard: Callable) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of each query.
-
-    in_shard(query ids, query vectors, ids, vectors, k) returns (query index, vec_id, score) arrays.
+    in_shard(query ids, query vectors, ids, vectors, extra, k, bound) returns arrays (query
+    index, vec_id, score) that hold all rows whose score reaches the bound, or the k best of them.
     """
-    queries = vectors.filter(is_query).dropDuplicates(["vec_id", "embedding"])
-    cands, shards = _dealt(packed(vectors, dtype, "vectors"), SHARD, "shard")
-    asked, chunks = _dealt(packed(queries, dtype, "queries"), CHUNK, "chunk")
-    left = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = cands.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def pair(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        names = ["qkey", "query_id", "vec_id", "score"]
-        if not len(q) or not len(c):
-            return pd.DataFrame({n: np.empty(0, "f8" if n == "score" and score == "double" else "i8") for n in names})
-        qkeys, qids, x = unpack(q, key[0], dtype)
-        _, ids, y = unpack(c, key[0], dtype)
-        at, found, scores = in_shard(qids, x, ids, y, k)
-        return pd.DataFrame({"qkey": qkeys[at], "query_id": qids[at], "vec_id": found, "score": scores})
-
-    keys = ["dim", "chunk", "shard"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, FOUND.format(score))
-    best = W.partitionBy("qkey", "query_id").orderBy(better(F.col("score")), "vec_id")
+    index = packed(vectors, dtype, "index", build)
+    asked = packed(vectors.filter(is_query).dropDuplicates(["vec_id", "embedding"]), dtype, "queries", rows=1024)
+    first = index.groupBy("dim").agg(F.min("low").alias("low"))
+    pilot, others = (index.join(first, ["dim", "low"], how) for how in ("left_semi", "left_anti"))
+    sign = 1 if best_first else -1
+
+    def scan(chunk: list, bounds: list[np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asks = [(row.dim, *unpack(row, dtype), bound.copy()) for row, bound in zip(chunk, bounds, strict=True)]
+            for shards in batches:
+                for shard in shards.itertuples():
+                    _, ids, y = unpack(shard, dtype)
+                    for dim, qkeys, qids, x, bound in asks:
+                        if dim == shard.dim:
+                            at, found, scores = in_shard(qids, x, ids, y, shard.extra, k, bound)
+                            yield pd.DataFrame({"qkey": qkeys[at], "query_id": qids[at], "vec_id": found, "score": scores})
+                            _tighten(bound, at, scores, k, sign)
+
+        return run
+
+    schema, found = FOUND.format(score), []
+    for chunk in _chunks(asked):
+        bounds = [np.full(row.n, -np.inf if best_first else np.inf) for row in chunk]
+        found.append(durable(pilot.mapInPandas(scan(chunk, bounds), schema), "pilot"))
+        seen = found[-1].toPandas()  # some k rows for each query of the chunk
+        for row, bound in zip(chunk, bounds, strict=True):
+            keys, ids, _ = unpack(row, dtype)
+            at = pd.Series(np.arange(row.n), index=pd.MultiIndex.from_arrays([keys, ids]))
+            own = seen[pd.MultiIndex.from_frame(seen[["qkey", "query_id"]]).isin(at.index)]
+            if len(own):
+                _tighten(bound, at.loc[list(zip(own["qkey"], own["query_id"], strict=True))].to_numpy(), own["score"].to_numpy(), k, sign)
+        found.append(durable(others.mapInPandas(scan(chunk, bounds), schema), "found"))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {score}")
+    near = found[0]
+    for more in found[1:]:
+        near = near.unionByName(more)
+    best = W.partitionBy("qkey", "query_id").orderBy(F.desc("score") if best_first else F.asc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _chunks(asked: DataFrame) -> Iterator[list]:
+    """Packs of queries, brought to the driver some CHUNK_BYTES at a time."""
+    places = asked.select("dim", "low", "bytes").withColumn("file", F.input_file_name()).distinct().orderBy("dim", "low", "file").collect()  # one short row for each 1,024 queries
+    turn, size = [], 0
+    for i, p in enumerate(places):
+        turn, size = [*turn, p], size + p.bytes
+        if size >= CHUNK_BYTES or i == len(places) - 1:
+            wanted = F.lit(False)
+            for q in turn:
+                wanted = wanted | ((F.col("dim") == q.dim) & (F.col("low") == q.low) & (F.input_file_name() == q.file))
+            yield asked.filter(wanted).collect()
+            turn, size = [], 0
+
+
+def _tighten(bound: np.ndarray, at: np.ndarray, scores: np.ndarray, k: int, sign: int) -> None:
+    """Raise bounds (lower them, with sign -1) to the kth of the scores found for each query."""
+    if not len(at):
+        return
+    order = np.lexsort((-sign * scores.astype("f8"), at))
+    at, scores = at[order], scores[order]
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    count = np.diff(np.append(start, len(at)))
+    full = start[count >= k]
+    kth = scores[full + k - 1].astype("f8")
+    bound[at[full]] = np.maximum(bound[at[full]], kth) if sign > 0 else np.minimum(bound[at[full]], kth)

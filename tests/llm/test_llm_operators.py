@@ -300,23 +300,52 @@ def test_neighbours_recall_and_ties(spark):
     for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
     assert set(got) == {0, 100, 200} and all([k for k, _, _ in sorted(v)] == list(range(1, 11)) for v in got.values())
+    hit = 0
     for q, v in got.items():
         d = np.sqrt(((x.astype("f8") - x[q].astype("f8")) ** 2).sum(axis=1))
         true = sorted((d[i], i) for i in range(300) if i != q)[:10]
-        assert [(s, i) for _, s, i in sorted(v)] == true  # so few rows are all candidates
+        hit += len({i for _, i in true} & {i for _, _, i in v})
+        assert all(s == d[i] for _, s, i in v) and [(s, i) for _, s, i in sorted(v)] == sorted((s, i) for _, s, i in v)
+    assert hit >= 27
 
 
-def test_forest_recall_on_a_shard():
+def test_forest_recall_and_candidates():
     g = np.random.default_rng(1)
-    x = g.normal(size=(4000, 16)) + 3 * g.normal(size=(10, 16))[g.integers(0, 10, 4000)]
-    ids, q = np.arange(4000), np.arange(0, 4000, 100)
-    at, found, _ = neighbours.forest_search(ids[q], x[q], ids, x, 10)
+    x = g.normal(size=(4000, 16)) + 12 * g.normal(size=(60, 16))[g.integers(0, 60, 4000)]
+    ids, q, looked = np.arange(4000), np.arange(0, 4000, 100), []
+    at, found, _ = neighbours.forest_search(ids[q], x[q], ids, x, neighbours.plant(x), 10, np.full(len(q), np.inf), looked=looked)
     hit = 0
     for j, i in enumerate(q):
         d = ((x - x[i]) ** 2).sum(axis=1)
         d[i] = np.inf
         hit += len(set(np.argsort(d)[:10]) & set(found[at == j]))
-    assert hit / (10 * len(q)) >= 0.9
+    assert hit / (10 * len(q)) >= 0.9 and sum(looked) < 0.1 * 4000 * len(q)  # groups that are apart are found without looking at the rest
+
+
+def test_blocks_are_left_where_bounds_allow_it():
+    g = np.random.default_rng(2)
+    x = np.repeat(g.normal(size=(32, 16)), 128, axis=0) + 0.05 * g.normal(size=(4096, 16))
+    ids, scored = np.arange(4096), []
+    q = np.arange(0, 4096, 50)
+    at, found, got = topk.block_search(ids[q], x[q], ids, x, b"", 5, np.full(len(q), -np.inf), scored)
+    z = np.floor(x * 256)
+    for j, i in enumerate(q):
+        s = (z @ z[i]).astype(int)
+        assert list(zip(-got[at == j], found[at == j], strict=True)) == sorted((-s[c], c) for c in range(4096) if c != i)[:5]
+    assert sum(scored) < 0.2 * 4096 * len(q)
+
+
+def test_searches_in_several_shards_and_chunks(spark, monkeypatch):
+    from leadloom.llm import vectors as shared
+
+    df, _ = vectors(spark)
+    one = {r.query_id: [] for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    whole = sorted(map(tuple, topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    monkeypatch.setattr(shared, "SHARD", 64)
+    monkeypatch.setattr(shared.packed, "__defaults__", (shared.packed.__defaults__[0], 64))
+    monkeypatch.setattr(shared, "CHUNK_BYTES", 1)
+    assert sorted(map(tuple, topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect())) == whole and one
+    assert neighbours.nearest(df, F.col("vec_id") % 100 == 0).groupBy("query_id").count().filter("count = 10").count() == 3
 
 
 def test_vector_searches_of_nothing(spark):
