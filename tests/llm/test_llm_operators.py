@@ -6,6 +6,7 @@ empty tables, and extra columns whose names clash with its own.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -522,6 +523,22 @@ def test_archives_round_trip(spark):
     assert warc.archived_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_archives_of_awkward_payloads(spark, monkeypatch, small):
+    monkeypatch.setattr(warc, "SMALL", small)
+    texts = ["a\r\n", "\r\n", "\r\n\r\n", "\r\n\r\n\r\n", "b\r\n\r\n\r\n\r", "\r", "\n", "", "x" * 3_000_000, "é\r\n\r\né"]
+    rows = [(i, f"http://h/{i}", t, 1) for i, t in enumerate(texts * 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long").repartition(3)
+    path = fresh_path(spark, "warc-test")
+    warc.write_archives(pages, path, per_file=4)
+    got = {r.page_id: r for r in warc.read_archives(spark, path, with_payload=True).collect()}
+    n = len(texts)
+    assert len(got) == 2 * n and all(bytes(got[i].payload) == texts[i % n].encode() for i in got)
+    assert all((got[i].record_type, got[i].refers_to) == (("revisit", i + n) if i < n else ("response", None)) for i in got)
+    kinds = Counter(h["WARC-Type"] for f in spark.read.format("binaryFile").load(path).select("content").collect() for h, _ in warc.parse_records(gzip.decompress(f.content).removesuffix(b"\r\n\r\n").split(b"\r\n\r\n")))
+    assert kinds == Counter(response=n, revisit=n, warcinfo=1)
+
+
 # --- 10 ------------------------------------------------------------------
 
 def brute_removed(rows):
