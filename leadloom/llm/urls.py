@@ -92,9 +92,11 @@ def path_templates(urls: DataFrame) -> DataFrame:
             F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum(F.col("lab") - F.col("blk")).alias("keep"), F.sum("blk").alias("blk"),
             *[F.sum(F.when(F.col("bucket") == i, F.col("n")).otherwise(0)).alias(f"b{i}") for i in range(SUFFIX_BUCKETS)],
         )
+        branch = durable(branch, "url-branches")
         node = branch.groupBy("host", "tmpl").agg(
             F.count("*").alias("kids"), F.sum("paths").alias("all_paths"), F.sum((F.col("n") == 1).cast("int")).alias("singles"), *[F.sum(c).alias(f"pool_{c}") for c in sums]
         )
+        node = durable(node, "url-nodes")  # so that the join reads plain tables, whose hot keys Spark can split
         variable = (F.col("kids") >= LEAST_KIDS) & (F.col("singles") >= UNSEEN * F.col("pool_n"))
         alike = (F.col("n") >= TESTED) & (_chi(sums[4:], "n", "pool_n") < CHI_SUFFIX) & (_chi(sums[2:4], "lab", "pool_lab") < CHI_LABEL)
         goes = F.when((F.col("kids") > 1) & (variable | alike), "*").otherwise(F.col("seg"))
