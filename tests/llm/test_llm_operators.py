@@ -229,6 +229,31 @@ def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert sorted((r.doc_id or -1) for r in kept) == [-1, 1]
 
 
+def test_blocks_join_what_pivots_leave(spark, monkeypatch):
+    """Many overlapping groups around the threshold, in blocks of a few nodes."""
+    rows, g = [], np.random.default_rng(9)
+    for base in range(2):
+        words = prose(70 + base, 200).split()
+        for k in range(40):
+            w = list(words)
+            for at in g.choice(len(w), int(g.integers(2, 6)), replace=False):
+                w[at] = f"new{base}{k}{at}"
+            rows.append((100 * base + k, " ".join(w)))
+    monkeypatch.setattr(near_dups, "SLICE", 4)
+    got = near_dups.near_duplicates(docs_of(spark, rows)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_one_of_each_with_repeats_and_clashing_names(spark):
+    long = prose(3, 30_000)
+    rows = [(1, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "a b c d e f", 2), (3, "x y", 3), (3, "x z", 4), (3, "x y", 3), (4, long, 5), (5, long + " end", 6), (None, None, 7), (None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nd_place long").withColumn("row", F.lit(1)).withColumn("node", F.lit(2))
+    got = near_dups.one_of_each(df)
+    assert got.columns == df.columns and Counter(r.doc_id for r in got.collect()) == Counter({1: 1, 3: 1, 4: 1, None: 2})
+    none = df.limit(0)
+    assert near_dups.one_of_each(none).count() == 0
+
+
 def test_registers_merge_and_estimate():
     g = np.random.default_rng(0)
     x, y = g.integers(0, 2**63, 900).astype(np.uint64), g.integers(0, 2**63, 100).astype(np.uint64)
