@@ -146,20 +146,30 @@ def has_price_markup(markup: Column) -> Column:
     return markup.rlike(fixed.PRICE) | any_of(markup, fixed.PRICE_MARKUP)
 
 
-def industry_scores(visible: Column, path: Column, meta: Column) -> list[tuple[str, Column]]:
-    """Keyword hits of each industry; path and meta count double. Each keyword is counted on its own, as they overlap."""
-    def hits(word: str) -> Column:
-        p = rf"\b{word}\b"
-        count = lambda c: F.coalesce(F.regexp_count(c, F.lit(p)), F.lit(0))
-        return count(visible) + F.lit(2) * (count(path) + count(meta))
+def _any_word(words: list[str]) -> str:
+    """A pattern for whole words, by their first letter, so that few alternatives are tried at a place."""
+    rest = {c: "|".join(w[1:] for w in words if w[0] == c) for c in sorted({w[0] for w in words})}
+    return rf"\b(?:{'|'.join(f'{c}(?:{more})' for c, more in rest.items())})\b"
 
-    return [(name, sum((hits(w) for w in words[1:]), hits(words[0]))) for name, words in fixed.INDUSTRIES]
+
+#: Keywords of one token cannot overlap each other, nor can those of several; so each kind is found in one pass.
+_KEYWORDS = sorted(w for _, words in fixed.INDUSTRIES for w in words)
+_KEYWORD_PASSES = [_any_word([w for w in _KEYWORDS if w.isalnum() == single]) for single in (True, False)]
+
+
+def keyword_hits(c: Column) -> Column:
+    """All industry keywords in a text, as often as they occur; a keyword inside a longer one counts too."""
+    return F.concat(*[F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(0)) for p in _KEYWORD_PASSES])
 
 
 def industry(visible: Column, path: Column | None = None, meta: Column | None = None) -> Column:
-    """The industry of most hits, the earlier on ties, ``general`` without hits."""
-    none = F.lit("")
-    scored = industry_scores(visible, none if path is None else F.lower(path), none if meta is None else F.lower(meta))
-    ranked = F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, (n, s) in enumerate(scored)])
-    best = F.array_max(ranked)
-    return F.when(best["score"] > 0, best["name"]).otherwise("general")
+    """The industry of most keyword hits, the earlier on ties, ``general`` without hits; path and meta count double."""
+    hits = F.concat(keyword_hits(visible), *[F.flatten(F.array_repeat(keyword_hits(F.lower(c)), 2)) for c in (path, meta) if c is not None])
+
+    def best(found: Column) -> Column:
+        count = lambda words: F.size(F.filter(found, lambda x: x.isin(*words)))
+        counts = [F.struct(count(words).alias("score"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, (n, words) in enumerate(fixed.INDUSTRIES)]
+        return F.array_max(F.array(*counts))
+
+    top = F.element_at(F.transform(F.array(hits), best), 1)  # inside a lambda, so that the hits are found once
+    return F.when(top["score"] > 0, top["name"]).otherwise("general")
