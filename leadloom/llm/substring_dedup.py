@@ -16,12 +16,15 @@ smaller id is removed; strings are judged on the input. Matches never cross docu
    l in common; all but the smallest id of each group are removed.
 4. What is removed is gathered by row and applied to the text.
 
-Grams that a sample of documents shows to be very common are spread: step 2 by whole
-context, step 3 by window, on hashes of its bytes. The sample decides only which way a
-gram goes, not what is found. Shards grow in number with the bytes of input.
+Grams that COMMON_LEAST documents of a sample of one in SAMPLE hold (about 6,400 of all;
+of those the COMMON_MOST most frequent, so the list is bounded) are spread: step 2 by whole
+context, step 3 by window, on 88 bits of hash of its bytes. The limit is a number, not a
+share, so a shard's work at one gram does not grow with the corpus. The sample decides only
+which way a gram goes, not what is found. Shards grow in number with the bytes of input.
 
 Equal contexts are told by their gram (48 bits) and a hash of all 64 bits, mixed
-otherwise; m contexts at one gram give about m^2 / 2^65 false copies.
+otherwise; m contexts at one gram give about m^2 / 2^65 false copies, m windows of common
+grams about m^2 / 2^89.
 
 Null texts are empty. Rows without id are left as they are and are no source. Rows of
 one id never match one another; rows that repeat id and text get equal results. Texts
@@ -44,7 +47,7 @@ from .common import durable
 from .suffix_sort import deep_shallow
 
 SHARD_BYTES = 4 << 20
-SAMPLE, COMMON_SHARE, COMMON_LEAST = 64, 0.01, 100
+SAMPLE, COMMON_LEAST, COMMON_MOST = 64, 100, 1_000_000
 ALL = (1 << (SPREAD + 1)) - 1
 
 _PACKED = "shard int, kind int, blob binary"
@@ -221,16 +224,17 @@ def _cut(batches: Iterator[pa.RecordBatch], shards: int, common: np.ndarray) ->
                 start = pos[hot][:, None] - back
                 e, l = np.nonzero((start >= 0) & (start + WINDOW <= n[:, None]))
                 window = hash_at(w, at[hot][e] - back[l], WINDOW, 7)
+                more = hash_at(w, at[hot][e] - back[l], WINDOW, 8) >> np.uint64(40)
                 who, p = text[hot][e], pos[hot][e]
-                o = np.lexsort((docs[who, 1], window))
-                window, who, p, l = window[o], who[o], p[o], l[o]
-                new = _firsts(window)
+                o = np.lexsort((docs[who, 1], more, window))
+                window, more, who, p, l = window[o], more[o], who[o], p[o], l[o]
+                new = _firsts(window, more)
                 least = docs[who[np.flatnonzero(new)], 1][np.cumsum(new) - 1]
                 mine = (mix(window) % np.uint64(shards)).astype("i8")
                 later = docs[who, 1] > least
                 for kind, own_rows in ((3, ~later), (4, later)):
                     if own_rows.any():
-                        fields = [(window[own_rows], 8), (p[own_rows], 4), (l[own_rows], 1)] if kind == 3 else [(p[own_rows], 4), (l[own_rows], 1)]
+                        fields = [(window[own_rows], 8), (more[own_rows], 3), (p[own_rows], 4), (l[own_rows], 1)] if kind == 3 else [(p[own_rows], 4), (l[own_rows], 1)]
                         rows += _blobs(mine[own_rows], kind, docs, who[own_rows], fields)
             yield _batch(rows)
 
@@ -269,7 +273,7 @@ def window_groups(gram: np.ndarray, ids: np.ndarray, contexts: np.ndarray) -> np
 def _sort(table: pa.Table) -> pa.Table:
     """Step 3b: masks of the windows of each anchor that start in a smaller id too."""
     docs, h, pos, ctx = [np.empty((0, 2), "i8")], [np.empty(0, "u8")], [np.empty(0, "u8")], [np.empty((0, CONTEXT), np.uint8)]
-    wd, wh, wp, wl = [np.empty((0, 2), "i8")], [np.empty(0, "u8")], [np.empty(0, "u8")], [np.empty(0, "u8")]
+    wd, wh, wm, wp, wl = [np.empty((0, 2), "i8")], *([np.empty(0, "u8")] for _ in range(4))
     done = []
     for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
         if kind == 2:
@@ -277,18 +281,18 @@ def _sort(table: pa.Table) -> pa.Table:
             for to, x in ((docs, d), (h, a), (pos, p), (ctx, np.frombuffer(zstandard.decompress(rest), np.uint8).reshape(-1, CONTEXT))):
                 to.append(x)
         elif kind == 3:
-            d, fields, _ = unpack(blob, (8, 4, 1))
-            for to, x in zip((wd, wh, wp, wl), (d, *fields), strict=True):
+            d, fields, _ = unpack(blob, (8, 3, 4, 1))
+            for to, x in zip((wd, wh, wm, wp, wl), (d, *fields), strict=True):
                 to.append(x)
         else:
             d, (p, l), _ = unpack(blob, (4, 1))
             done.append((d, p, np.int64(1) << l.astype("i8")))
     docs, h, pos, ctx = map(np.concatenate, (docs, h, pos, ctx))
     found = window_groups(h, docs[:, 1], ctx) if len(h) else np.empty(0, "i8")
-    wd, wh, wp, wl = map(np.concatenate, (wd, wh, wp, wl))
+    wd, wh, wm, wp, wl = map(np.concatenate, (wd, wh, wm, wp, wl))
     if len(wh):
-        o = np.lexsort((wd[:, 1], wh))
-        new = _firsts(wh[o])
+        o = np.lexsort((wd[:, 1], wm, wh))
+        new = _firsts(wh[o], wm[o])
         later = o[wd[o, 1] > wd[o[np.flatnonzero(new)], 1][np.cumsum(new) - 1]]
         done.append((wd[later], wp[later], np.int64(1) << wl[later].astype("i8")))
     some = found != 0
@@ -341,8 +345,8 @@ def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][:keep], names=names[:keep])
 
 
-def common_grams(docs: DataFrame, share: float = COMMON_SHARE, least: int = COMMON_LEAST) -> np.ndarray:
-    """Grams that anchor at least ``share`` of a sample of documents; at most its anchors a document / share."""
+def common_grams(docs: DataFrame, least: int = COMMON_LEAST, most: int = COMMON_MOST) -> np.ndarray:
+    """Grams that anchor at least ``least`` documents of a sample, the ``most`` most frequent."""
     sample = docs.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SAMPLE)) == 0)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +355,8 @@ def common_grams(docs: DataFrame, share: float = COMMON_SHARE, least: int = COMM
                 pairs = np.unique(np.stack([(h >> np.uint64(16)).astype("i8"), text], axis=1), axis=0)
                 yield pa.record_batch([pa.array(pairs[:, 0])], names=["h"])
 
-    n = sample.count()
-    rows = sample.mapInArrow(grams, "h long").groupBy("h").count().filter(F.col("count") >= max(least, share * n)).select("h").collect()
+    counts = sample.mapInArrow(grams, "h long").groupBy("h").count().filter(F.col("count") >= least)
+    rows = counts.orderBy(F.desc("count"), "h").limit(most).select("h").collect()
     return np.sort(np.array([r.h for r in rows], "u8"))
 
 
