@@ -3,17 +3,20 @@
 A text's UTF-8 bytes are read in chunks of CHUNK bytes that overlap by half. First-layer
 filters have a weight for each place and byte, and one for how many of the chunk's
 bytes repeat what stood up to LAGS bytes before (a 4-byte equality, computed beside the
-bytes). Second-layer filters read SPAN neighbouring chunks. Each is max-pooled over the
-whole document, however long, and a logistic unit combines the maxima.
+bytes; the README has figures without it). Second-layer filters read SPAN neighbouring
+chunks. Each is max-pooled over the whole document, however long, and a logistic unit
+combines the maxima.
 
-The network is fitted on at most TRAIN_ROWS labelled rows of each class, chosen by a
-hash of the text's id, with at most TRAIN_CHARS characters of each, from a hashed place
-on. Scores are made from the text alone.
+The network is fitted on whole texts of at most TRAIN_ROWS labelled rows of each class,
+chosen by a hash of the text's id, and of those on as many as hold TRAIN_BYTES in that
+order; of rows that share an id the one whose text has the least hash counts. A step keeps
+no more than what gave a maximum. Scores are made from the text alone.
 
 Null texts are empty. An empty text gets the score of a network that sees only padding.
 Without labels of both classes the score is the smoothed share of label 1. Labels that
-are null or not 0 or 1 are ignored, repeated labels count once for each row. Extra
-columns are ignored.
+are null or not 0 or 1 are ignored, repeated ones count once. Repeated rows get equal
+scores, null ids keep theirs, and an empty table gives no rows. Extra columns are ignored,
+whatever their names; good_documents keeps them.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK, STEP, SPAN, STRIDE = 16, 8, 4, 2
@@ -33,7 +37,7 @@ LAGS = 32
 FILTERS, SECOND = 16, 16
 PAD = 64  # after each document: more than FIELD and than LAGS + 4
 PIECE = 1 << 20
-TRAIN_ROWS, TRAIN_CHARS = 800, 16384
+TRAIN_ROWS, TRAIN_BYTES = 800, 64 << 20
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 8, 200, 32, 4e-3, 1e-4, 4
 THRESHOLD = 0.3
 FOLDS = 5
@@ -134,39 +138,38 @@ def pooled(net: Net, texts: Sequence[bytes]) -> np.ndarray:
 
 def scores(net: Net, texts: Sequence[bytes]) -> np.ndarray:
     z = pooled(net, texts).astype(np.float64) @ net.u.astype(np.float64) + float(net.d[0])
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    return np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6)  # what stands beside a text in a batch moves the last digits of a sum
 
 
 def _gradients(net: Net, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     """Of the mean log loss; a maximum passes its gradient to the place that gave it."""
-    best, where = np.zeros((len(texts), SECOND), np.float32), np.full((len(texts), SECOND), -1)
-    kept = list(buffers(texts, most=1 << 30))
-    assert len(kept) == 1
-    buf, doc, first, end = kept[0]
-    one, count = first_layer(net, buf)
-    two = second_layer(net, one)
-    for i, a, b in zip(doc, first, end, strict=True):
-        at = two[a:b].argmax(axis=0)
-        top = two[a + at, np.arange(SECOND)]
-        more = top > best[i]
-        best[i][more], where[i][more] = top[more], (a + at)[more]
+    best, some = np.zeros((len(texts), SECOND), np.float32), np.zeros((len(texts), SECOND), bool)
+    wide = np.zeros((len(texts), SECOND, SPAN, FILTERS), np.float32)  # what the place that gave it saw of the first layer, and its bytes and repeat counts
+    seen, again = np.zeros((len(texts), SECOND, FIELD), np.uint8), np.zeros((len(texts), SECOND, SPAN), np.float32)
+    for buf, doc, first, end in buffers(texts):
+        one, count = first_layer(net, buf)
+        two = second_layer(net, one)
+        for i, a, b in zip(doc, first, end, strict=True):
+            at = a + two[a:b].argmax(axis=0)
+            top = two[at, np.arange(SECOND)]
+            g = np.flatnonzero((top > best[i]) | ~some[i])
+            best[i, g], some[i, g] = top[g], True
+            chunks = at[g][:, None] * STRIDE + np.arange(SPAN)
+            wide[i, g], again[i, g] = one[chunks], count[chunks]
+            seen[i, g] = buf[at[g][:, None] * EACH + np.arange(FIELD)]
     p = 1 / (1 + np.exp(-(best @ net.u + net.d)))
     dz = ((p - y) / len(y)).astype(np.float32)
-    i, g = np.nonzero(where >= 0)
-    at, d2 = where[i, g], dz[i] * net.u[g]
-    wide = np.stack([one[at * STRIDE + s] for s in range(SPAN)], axis=1).reshape(len(at), -1)
+    i, g = np.nonzero(best > 0)
+    d2 = dz[i] * net.u[g]
+    wide, seen, again = wide[i, g], seen[i, g], again[i, g]
     dv, dc = np.zeros_like(net.v), np.bincount(g, d2, SECOND).astype(np.float32)
-    np.add.at(dv.T, g, wide * d2[:, None])
-    d1 = (net.v.T[g] * d2[:, None]).reshape(len(at), SPAN, FILTERS)
-    dw, dr, db = np.zeros_like(net.w), np.zeros_like(net.r), np.zeros_like(net.b)
+    np.add.at(dv.T, g, wide.reshape(len(i), -1) * d2[:, None])
+    d1 = (net.v.T[g] * d2[:, None]).reshape(len(i), SPAN, FILTERS) * (wide > 0)
+    dw = np.zeros_like(net.w)
     for s in range(SPAN):
-        t = at * STRIDE + s
-        x = d1[:, s] * (one[t] > 0)
-        db += x.sum(axis=0)
-        dr += (x * count[t][:, None]).sum(axis=0)
         for k in range(CHUNK):
-            np.add.at(dw[k], buf[t * STEP + k], x)
-    return [dw, dr, db, dv, dc, best.T @ dz, np.array([dz.sum()], np.float32)]
+            np.add.at(dw[k], seen[:, s * STEP + k], d1[:, s])
+    return [dw, (d1 * again[:, :, None]).sum(axis=(0, 1)), d1.sum(axis=(0, 1)), dv, dc, best.T @ dz, np.array([dz.sum()], np.float32)]
 
 
 def fit(texts: Sequence[bytes], labels: Sequence[int], epochs: int = EPOCHS, seed: int = SEED) -> Net:
@@ -195,16 +198,17 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Net | float:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Net | float:
     """A network from the labelled rows that are not held out, or a constant where a class is missing."""
-    marked = labels.filter("quality IN (0, 1)").select("doc_id", "quality").filter(fold(F.col("doc_id")) != 0)
+    marked = labels.filter("quality IN (0, 1)").select("doc_id", "quality").filter(fold(F.col("doc_id")) != 0).distinct()
     turn = F.xxhash64("doc_id", F.lit(SEED))
     chosen = marked.filter("quality = 0").orderBy(turn, "doc_id").limit(rows).union(marked.filter("quality = 1").orderBy(turn, "doc_id").limit(rows))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
-    text = F.substring(F.coalesce("text", F.lit("")), place, F.lit(TRAIN_CHARS))
     # at most twice TRAIN_ROWS keys, so they may go to every task
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text.alias("text")).limit(4 * rows).collect()
-    own.sort(key=lambda x: (x.doc_id, x.quality, x.text))
+    text = F.coalesce(docs["text"], F.lit(""))
+    own = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    up_to = F.sum(F.octet_length("text")).over(W.orderBy(turn, "doc_id", "quality"))  # over the chosen rows
+    own = own.withColumn("up_to", up_to).filter(F.col("up_to") <= most).collect()
+    own.sort(key=lambda x: (x.doc_id, x.quality))
     y = [x.quality for x in own]
     if len(set(y)) < 2:
         return (sum(y) + 1) / (len(y) + 2)

@@ -288,6 +288,62 @@ def test_long_texts_are_pooled_whole(monkeypatch):
     assert np.allclose(quality.pooled(net, [text, b"", b"a"]), whole, atol=1e-5)
 
 
+def plain_score(net, text):
+    """The network by loops over places."""
+    b = np.frombuffer(text, np.uint8)
+    places = max(1, -(-len(b) // quality.EACH))
+    byte = lambda j: int(b[j]) if 0 <= j < len(b) else 0
+    gram = lambda j: bytes(byte(j + m) for m in range(4))
+    again = lambda j: any(gram(j) == gram(j - lag) for lag in range(1, quality.LAGS + 1)) and gram(j) != b"\0\0\0\0"
+
+    def chunk(at):
+        z = net.b + sum(net.w[k, byte(at + k)] for k in range(quality.CHUNK)) + net.r * (sum(again(at + k) for k in range(quality.CHUNK)) / quality.CHUNK)
+        return np.maximum(z, 0)
+
+    top = np.zeros(quality.SECOND)
+    for p in range(places):
+        wide = np.concatenate([chunk(p * quality.EACH + s * quality.STEP) for s in range(quality.SPAN)])
+        top = np.maximum(top, wide @ net.v + net.c)
+    return 1 / (1 + np.exp(-(top @ net.u + net.d[0])))
+
+
+def test_scores_agree_with_plain_loops():
+    net = quality.fit([prose(i, 30).encode() if i % 2 else (b"spam! " * 30) for i in range(24)], [i % 2 for i in range(24)], epochs=2)
+    texts = [b"", b"a", prose(1, 40).encode(), "é日本 x".encode() * 9, b"line\nline\n" * 12, prose(2, 3).encode()]
+    assert np.allclose(quality.scores(net, texts), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_gradients_agree_with_differences(monkeypatch):
+    net, texts, y = quality.fresh_net(3), [prose(1, 20).encode(), b"x" * 90, prose(5, 60).encode()], np.array([1, 0, 1], np.float32)
+    loss = lambda: float(-np.mean(np.log(np.where(y == 1, s := 1 / (1 + np.exp(-(quality.pooled(net, texts).astype(float) @ net.u + net.d))), 1 - s))))
+    got = quality._gradients(net, texts, y)
+    for part, grad in zip(net.parts(), got, strict=True):
+        for at in np.argsort(-np.abs(grad.ravel()))[:3]:  # the largest
+            x = part.ravel()
+            old, step = x[at], 1e-3
+            x[at] = old + step
+            up = loss()
+            x[at] = old - step
+            down = loss()
+            x[at] = old
+            assert abs((up - down) / (2 * step) - grad.ravel()[at]) < 0.1 * abs(grad.ravel()[at]) + 1e-3
+    monkeypatch.setattr(quality, "PIECE", 128)
+    monkeypatch.setattr(quality.buffers, "__defaults__", (128,))
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(got, quality._gradients(net, texts, y), strict=True))
+
+
+def test_quality_of_nothing_repeats_and_clashing_names(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1)] * 5, "doc_id long, quality int")
+    rows = [(i, prose(i, 20) if i % 2 else "JUNK " * 20, 5) for i in range(60)] + [(3, prose(3, 20), 5)] * 30 + [(None, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score long").withColumn("quality", F.lit(7)).withColumn("held_out", F.lit(1))
+    got = quality.score_quality(df, labels).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 3}) == 1
+    again = quality.score_quality(df.repartition(5), labels).collect()
+    assert {(r.doc_id, round(r.score, 4)) for r in got} == {(r.doc_id, round(r.score, 4)) for r in again}
+    assert quality.good_documents(df, labels).columns == df.columns
+    assert quality.score_quality(empty(spark), labels).count() == 0
+
+
 # --- 5 and 9 -------------------------------------------------------------
 
 def vectors(spark, n=300, dim=8):
