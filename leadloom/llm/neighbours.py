@@ -21,6 +21,7 @@ Every row is indexed; a query searches all shards. Zero vectors take no part; se
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -38,10 +39,14 @@ RANGE_COST = 4.0
 _CHOOSE = np.array([math.lgamma(TREES + 1) - math.lgamma(j + 1) - math.lgamma(TREES - j + 1) for j in range(TREES + 1)])
 
 
+@functools.lru_cache(4)
+def _planes(dim: int) -> np.ndarray:
+    return np.random.default_rng(SEED).normal(size=(dim, TREES * BITS))
+
+
 def strings(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """(trees, rows) of hash strings, as integers whose leading bits are the prefix."""
-    planes = np.random.default_rng(SEED).normal(size=(x.shape[1], TREES * BITS))
-    side = ((x - mean) @ planes > 0).reshape(len(x), TREES, BITS)
+    side = ((x - mean) @ _planes(x.shape[1]) > 0).reshape(len(x), TREES, BITS)
     return (side @ (1 << np.arange(BITS - 1, -1, -1, dtype="i4"))).T.astype("i4")
 
 
@@ -92,22 +97,34 @@ def forest_search(qids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarra
     if not n or not len(x):
         return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "f8")
     ask = strings(x, mean)
-    lo, hi = np.empty((2, BITS + 1, len(x), TREES), "i4")
-    for t in range(TREES):
-        for up in range(BITS + 1):
-            first = (ask[t] >> up) << up
-            lo[BITS - up, :, t], hi[BITS - up, :, t] = np.searchsorted(arrays[t], first), np.searchsorted(arrays[t], first + (1 << up))
-    in_all = (hi - lo).sum(axis=2, dtype="i8")
+
+    @functools.cache
+    def level(at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, trees): where the range of each prefix of this length begins and ends; rows in all ranges of a query."""
+        first = (ask >> (BITS - at)) << (BITS - at)
+        lo, hi = (np.stack([np.searchsorted(arrays[t], first[t] + more) for t in range(TREES)], axis=1) for more in (0, 1 << (BITS - at)))
+        return lo, hi, (hi - lo).sum(axis=1)
+
+    def ranges(at: int, q: int) -> np.ndarray:
+        lo, hi, _ = level(at)
+        return np.concatenate([order[t, a:b] for t, (a, b) in enumerate(zip(lo[q].tolist(), hi[q].tolist(), strict=True)) if b > a])
+
+    def longest(q: int, rows: int) -> int:
+        """The longest prefix whose ranges hold so many rows, or 0."""
+        low, high = 0, BITS + 1
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if level(mid)[2][q] >= rows else (low, mid)
+        return low
+
     size, length = np.sqrt(((y - mean) ** 2).sum(axis=1)), np.sqrt(((x - mean) ** 2).sum(axis=1))
     typical, out = float(np.sqrt((size[order[0]] ** 2).mean())), []
     for q in np.flatnonzero(np.any(x != 0, axis=1)):
         own = ids == qids[q]
-        ranges = lambda at: np.concatenate([order[t, a:b] for t, (a, b) in enumerate(zip(lo[at, q].tolist(), hi[at, q].tolist(), strict=True)) if b > a])  # noqa: B023, E731
         bound, of = float(at_most[q]), typical
         rows, dist = np.empty(0, "i8"), np.empty(0)
-        deep = BITS - int(np.argmax(in_all[::-1, q] >= FIRST * k))
-        if in_all[deep, q] >= FIRST * k:  # down to the longest prefixes that hold some rows, and those in most trees
-            rows, trees = np.unique(ranges(deep), return_counts=True)
+        if deep := longest(q, FIRST * k):  # down to the longest prefixes that hold some rows, and those in most trees
+            rows, trees = np.unique(ranges(deep, q), return_counts=True)
             rows = rows[np.argsort(-trees, kind="stable")[: FIRST // 4 * k + 1]]
             rows = rows[~own[rows]]
             dist = _near(x[q], y, rows)
@@ -119,7 +136,7 @@ def forest_search(qids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarra
         if np.isfinite(bound) and length[q] > 0 and of > 0:
             cosine = (length[q] ** 2 + of**2 - bound**2) / (2 * length[q] * of)
             at, need = ascent(1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi, dim, expected)
-        held = np.bincount(ranges(at), minlength=len(ids)) >= need if at else np.bincount(order[0], minlength=len(ids)) > 0
+        held = np.bincount(ranges(at, q), minlength=len(ids)) >= need if at else np.bincount(order[0], minlength=len(ids)) > 0
         held[rows] = False
         held &= ~own
         more = np.flatnonzero(held)

@@ -89,8 +89,10 @@ def search(vectors: DataFrame, is_query: Column, k: int, dtype: str, score: str,
     """
     index = packed(vectors, dtype, "index", build)
     asked = packed(vectors.filter(is_query).dropDuplicates(["vec_id", "embedding"]), dtype, "queries", rows=1024)
-    first = index.groupBy("dim").agg(F.min("low").alias("low"))
-    pilot, others = (index.join(first, ["dim", "low"], how) for how in ("left_semi", "left_anti"))
+    is_first = F.lit(False)
+    for row in index.groupBy("dim").agg(F.min("low").alias("low")).collect():  # one for each length of vectors
+        is_first = is_first | ((F.col("dim") == row.dim) & (F.col("low") == row.low))
+    pilot, others = index.filter(is_first), index.filter(~is_first)
     sign = 1 if best_first else -1
 
     def scan(chunk: list, bounds: list[np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
