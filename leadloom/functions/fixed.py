@@ -90,18 +90,21 @@ CITY_CONTEXT = r"(?i)\b(located in|based in|address|store at|visit us|find us|de
 
 # --- business names ------------------------------------------------------
 
-GENERIC_NAME_WORDS = tuple(
-    """
-    home shop shops store stores online shopping products product collections collection welcome cart checkout search blog
-    about contact login register account privacy terms service returns refund shipping policy faq new sale featured page not
-    found error dresses dress jackets shoes bags accessories clothing clothes fashion lebanon beirut official site website
-    catalog catalogue gallery lookbook reviews testimonials offers promotions men women kids baby best top buy shopify powered
-    by wear apparel outfit browse promo free worldwide delivery discount coupon code exchange guarantee warranty exclusive
-    extra limited instant clearance clear offer furniture electronics jewelry jewellery beauty toys food coffee gifts books
-    art perfume skincare makeup cosmetics handbags watches homeware stationery sports fitness health pharmacy flowers candles
-    decor automotive pets wine chocolate honey olive spices book now here more click read learn get started subscribe sign up
-    join order view today soon back news drop the a an to in on at for with and of all our your we is are
-    """.split()
+GENERIC_NAME_WORDS = (
+    "home", "shop", "shops", "store", "stores", "online", "shopping", "products", "product", "collections",
+    "collection", "welcome", "cart", "checkout", "search", "blog", "about", "contact", "login", "register", "account",
+    "privacy", "terms", "service", "returns", "refund", "shipping", "policy", "faq", "new", "sale", "featured", "page",
+    "not", "found", "error", "dresses", "dress", "jackets", "shoes", "bags", "accessories", "clothing", "clothes",
+    "fashion", "lebanon", "beirut", "official", "site", "website", "catalog", "catalogue", "gallery", "lookbook",
+    "reviews", "testimonials", "offers", "promotions", "men", "women", "kids", "baby", "best", "top", "buy", "shopify",
+    "powered", "by", "wear", "apparel", "outfit", "browse", "promo", "free", "worldwide", "delivery", "discount",
+    "coupon", "code", "exchange", "guarantee", "warranty", "exclusive", "extra", "limited", "instant", "clearance",
+    "clear", "offer", "furniture", "electronics", "jewelry", "jewellery", "beauty", "toys", "food", "coffee", "gifts",
+    "books", "art", "perfume", "skincare", "makeup", "cosmetics", "handbags", "watches", "homeware", "stationery",
+    "sports", "fitness", "health", "pharmacy", "flowers", "candles", "decor", "automotive", "pets", "wine", "chocolate",
+    "honey", "olive", "spices", "book", "now", "here", "more", "click", "read", "learn", "get", "started", "subscribe",
+    "sign", "up", "join", "order", "view", "today", "soon", "back", "news", "drop", "the", "a", "an", "to", "in", "on",
+    "at", "for", "with", "and", "of", "all", "our", "your", "we", "is", "are",
 )
 ERROR_NAME_TERMS = (
     "currently unavailable", "unavailable", "not found", "error", "something went wrong", "looks like you", "maintenance",
@@ -223,15 +226,31 @@ WEAKNESS = (
 )
 PROBLEM_TYPES = ("missing", "hidden", "unclear", "inconsistent", "broken", "friction")
 FALLBACK_CATEGORY = "generic_shopping_experience"
-STOPWORDS = tuple(
-    """
-    the a an and or but is are was were be been being to of in on at for with from by as it its this that these those there
-    then than you your their has have had do does did not no any all some more most only very can could would should may might
-    will page pages site website store shop which when until without into out up down over under
-    """.split()
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "to", "of", "in", "on",
+    "at", "for", "with", "from", "by", "as", "it", "its", "this", "that", "these", "those", "there", "then", "than",
+    "you", "your", "their", "has", "have", "had", "do", "does", "did", "not", "no", "any", "all", "some", "more",
+    "most", "only", "very", "can", "could", "would", "should", "may", "might", "will", "page", "pages", "site",
+    "website", "store", "shop", "which", "when", "until", "without", "into", "out", "up", "down", "over", "under",
 )
 MIN_OVERLAP = 0.5
 
+#: What markup is read for a page's parts.
+NAV_PATTERNS = (
+    r"(?i)<nav\b[^>]*>([\s\S]{0,8000}?)</nav>",
+    r"(?i)<header\b[^>]*>([\s\S]{0,8000}?)</header>",
+    r"(?i)<ul\b[^>]*(?:menu|nav)[^>]*>([\s\S]{0,8000}?)</ul>",
+)
+NAV_LINK = r"(?i)<a\b[^>]*>([\s\S]{0,120}?)</a>"
+HEADING_PATTERNS = (r"(?i)<h1\b[^>]*>([\s\S]{0,300}?)</h1>", r"(?i)<h2\b[^>]*>([\s\S]{0,300}?)</h2>")
+COLLECTION_LINK = r'(?i)<a\b[^>]*href="[^"]*/collections/[^"]*"[^>]*>([\s\S]{0,200}?)</a>'
+ACTION_PATTERNS = (
+    r"(?i)<button\b[^>]*>([\s\S]{0,120}?)</button>",
+    r'(?i)<input\b[^>]*type="submit"[^>]*value="([^"]{0,120})"',
+    r'(?i)<a\b[^>]*class="[^"]*(?:btn|button)[^"]*"[^>]*>([\s\S]{0,120}?)</a>',
+)
+TITLE_PATTERN = r"(?i)<title\b[^>]*>([\s\S]{0,300}?)</title>"
+
 # --- runs ----------------------------------------------------------------
 
 ACTIVE_RUN_STATES = ("queued", "in_progress", "requested", "waiting", "pending")

@@ -71,3 +71,8 @@ def relative_time(at: Column, now: Column) -> Column:
         for k, w in ((-1, before), (0, same), (1, after)):
             words = words.when((unit == name) & (n == k), w) if w else words
     return F.when(seconds.isNull(), "—").otherwise(F.coalesce(words, text))
+
+
+def exact_time(at: Column) -> Column:
+    """A time as 1/5/2024, 9:07:03 AM; text that is no time as it is."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(at), "M/d/yyyy, h:mm:ss a"), at)

@@ -48,8 +48,11 @@ def match_brands(rows: DataFrame, brands: DataFrame, name: str, domain: str | No
     if fuzzy:
         single = by_name.filter(f"match = 'token' AND NOT alias LIKE '% %' AND length(alias) >= {MIN_FUZZY}").select(*info, "alias")
         word = base.select(key, F.explode(F.array_distinct("words")).alias("word")).filter(F.length("word") >= MIN_FUZZY)
-        # distinct words first: the same word of many rows is compared once
-        near = word.select("word").distinct().join(F.broadcast(single), could_reach(F.col("word"), F.col("alias"), SIMILARITY))
+        # distinct words first: the same word of many rows is compared once. Words that are so similar have two
+        # neighbouring characters in common, so candidates come from an equi-join on those
+        grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).alias("gram")
+        near = word.select("word").distinct().select("word", grams(F.col("word"))).join(F.broadcast(single.select("*", grams(F.col("alias")))), "gram")
+        near = near.filter(could_reach(F.col("word"), F.col("alias"), SIMILARITY)).select("word", *info, "alias").distinct()
         near = near.withColumn("ratio", sequence_ratio(F.col("word"), F.col("alias"))).filter(F.col("ratio") >= SIMILARITY)
         found.append(word.join(near.select("word", *info), "word").select(key, *info))
     every = found[0]

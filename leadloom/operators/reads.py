@@ -10,6 +10,7 @@ from ..functions import fixed
 from ..sources.schemas import MIRRORED
 
 PAGE_SIZE = 50
+RUNS_LISTED = 20
 FAILURES = {
     "unreachable": "Could not reach this website.", "timeout": "The website took too long to respond.", "rate_limited": "Analysis is rate-limited right now. Try again in a minute.",
     "not_configured": "Analysis is not configured on the server.", "unavailable": "Could not analyze this lead right now.", "invalid_json": "Could not analyze this lead right now.",
@@ -99,6 +100,12 @@ def is_active(status: Column) -> Column:
     return F.coalesce(status.isin(*fixed.ACTIVE_RUN_STATES), F.lit(False))
 
 
+def listed_runs(runs: DataFrame, branch: str, limit: int = RUNS_LISTED) -> DataFrame:
+    """(id, status, conclusion, list_pos) of the newest runs of a branch; a top-k, numbered afterwards."""
+    newest = runs.filter(F.col("branch") == branch).orderBy(F.desc("id")).limit(limit)
+    return newest.select("id", "status", "conclusion", F.row_number().over(W.orderBy(F.desc("id"))).alias("list_pos"))
+
+
 def run_cursor(runs: DataFrame) -> DataFrame:
     """(already_running, after) of runs (list_pos, id, status): below the first active one, else at the highest id."""
     one = runs.agg(F.min_by("id", F.when(is_active(F.col("status")), F.col("list_pos"))).alias("active"), F.coalesce(F.max("id"), F.lit(0)).alias("top"))

@@ -259,14 +259,6 @@ _STOP = ", ".join(f"'{w}'" for w in fixed.STOPWORDS)
 _TOK = "list_transform(list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda t: length(t) > 1 AND t NOT IN (" + _STOP + ")), lambda t: CASE WHEN length(t) > 3 AND ends_with(t, 's') THEN t[:-2] ELSE t END)"
 
 
-@query(f"""WITH b AS (SELECT item_id, {_TOK.replace('{c}', 'text')} AS told FROM benchmark), s AS (SELECT doc_id, list_distinct({_TOK.replace('{c}', 'text')}) AS have FROM documents WHERE doc_id < 20)
-SELECT item_id, doc_id, len(list_filter(told, lambda t: list_contains(have, t))) / nullif(len(told), 0)::DOUBLE AS share FROM b, s""")
-def grounding_overlap(spark, d):
-    """How far each benchmark passage is borne out by each of twenty named documents; a stated set of claims against a stated set of supports."""
-    b, s = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("claim")), _t(spark, d, "documents").filter("doc_id < 20").select("doc_id", F.col("text").alias("support"))
-    return b.join(F.broadcast(s), F.lit(True)).select("item_id", "doc_id", grounding.overlap(F.col("claim"), F.col("support")).alias("share"))
-
-
 @query(f"""WITH b AS (SELECT item_id, {_TOK.replace('{c}', 'text')} AS told FROM benchmark), s AS (SELECT doc_id, list_distinct({_TOK.replace('{c}', 'text')}) AS have FROM documents)
 SELECT item_id, doc_id, len(list_filter(told, lambda t: list_contains(have, t))) / nullif(len(told), 0)::DOUBLE AS share FROM b, s""")
 def grounding_overlap_all(spark, d):
@@ -382,16 +374,6 @@ def duplicate_clusters(spark, d):
     return identity.duplicate_clusters(L.RECORDS.df(spark))
 
 
-@query(None)
-def kept_records(spark, d):
-    return identity.kept_and_aliases(L.RECORDS.df(spark).select("id", "domain", "instagram"))
-
-
-@query(None)
-def identity_keys(spark, d):
-    return identity.identifiers(L.RECORDS.df(spark)).select("id", identity.identity_key().alias("identity_key"))
-
-
 @query(f"""WITH m AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS site, lower(regexp_extract(url, '://[^/]*/([a-z]+)/', 1)) AS handle, length(html) % 5 AS points, page_id AS place FROM pages),
 g AS (SELECT site, handle, max(points)::INTEGER AS score, min(place) AS place FROM m WHERE handle <> '' GROUP BY 1, 2) SELECT site, handle, score, place, row_number() OVER (PARTITION BY site ORDER BY score DESC, place)::INTEGER AS rank FROM g""")
 def page_link_rank(spark, d):
@@ -471,14 +453,6 @@ def review_round_robin(spark, d):
     return reads.review_queue(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority", "o_orderkey").select("o_orderkey", "turn", "place")
 
 
-@query("SELECT event_id, CASE WHEN s > -60 THEN 'now' WHEN s > -3600 THEN 'minutes' WHEN s > -86400 THEN 'hours' ELSE 'days' END AS size FROM (SELECT event_id, date_diff('second', TIMESTAMP '2024-06-01', ts) AS s FROM events) WHERE s < 0 AND s > -2000000")
-def relative_time_size(spark, d):
-    now = F.lit("2024-06-01").cast("timestamp")
-    e = _t(spark, d, "events").withColumn("s", F.unix_timestamp("ts") - F.unix_timestamp(now)).filter("s < 0 AND s > -2000000").withColumn("r", scoring.relative_time(F.col("ts"), now))
-    size = F.when(F.col("s") > -60, "now").when(F.col("r").rlike("minute"), "minutes").when(F.col("r").rlike("hour"), "hours").otherwise("days")
-    return e.select("event_id", size.alias("size"))
-
-
 _NOWS = L.Literal("k int, now string", (1, "2024-01-15 12:00:00"), (2, "2024-06-01 00:00:00"), (3, "2026-03-01 00:00:00"), (4, "2023-08-01 00:00:00"), (5, "2021-01-01 00:00:00"))
 _UNITS = (("second", 60, 1), ("minute", 3600, 60), ("hour", 86_400, 3600), ("day", 2_592_000, 86_400), ("month", 31_536_000, 2_592_000))
 _NAMED = {"day": ("yesterday", "today", "tomorrow"), "month": ("last month", "this month", "next month"), "year": ("last year", "this year", "next year"), "hour": (None, "this hour", None), "minute": (None, "this minute", None), "second": (None, "now", None)}
@@ -528,3 +502,6 @@ def price_detection(spark, d):
 def follow_up_pages(spark, d):
     p = _t(spark, d, "pages").select("page_id", "url", "html").union(L.PAGES.df(spark).select(-F.col("page_id"), F.lit("https://shop.com/"), "html"))
     return p.select("page_id", evidence.follow_ups(text.strip_noise(F.col("html")), F.col("url")).alias("urls"))
+
+
+from . import value_queries  # noqa: E402, F401  registers itself

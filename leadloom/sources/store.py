@@ -1,14 +1,19 @@
 """Keyed tables on Parquet: insert if absent, replace, upsert, alias append. There is no delete.
 
-A table is a folder of versions and a pointer to the current one. A write makes a new
-version and moves the pointer last, so a path is never overwritten while it is read.
-The pointer is a one-row text dataset, written through Spark, so any store will do.
+A table is a folder of versions and of numbered pointers to them. A write makes a new
+version and then one pointer more; the highest number is current. Nothing is ever
+overwritten or deleted, so a reader sees the old version or the new one, whenever a write
+is cut off. Pointers are one-row text datasets, written and read through Spark, so any
+store and session will do. Versions without a pointer are no empty table but an error,
+unless they are new (a write that did not get that far), and so are two pointers of one
+number, which two writers at once leave.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,22 +48,47 @@ def add_aliases(existing: DataFrame, aliases: DataFrame) -> DataFrame:
     return joined.withColumn("aka_domains", F.when(F.col("_more").isNull(), F.col("aka_domains")).otherwise(F.when(F.size(union) > 0, union))).select(existing.columns)
 
 
+class LostPointer(RuntimeError):
+    """A table has versions, but it cannot be told which of them is current."""
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _current(self, name: str) -> str | None:
-        base = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/current")
-        if not base.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(base):
-            return None
-        return self.spark.read.text(f"{self.root}/{name}/current").first()[0]
+    def _lines(self, pattern: str) -> list[str]:
+        """Lines of the text datasets of a pattern; none where nothing fits it."""
+        try:
+            return [r.value for r in self.spark.read.text(f"{self.root}/{pattern}").collect()]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def _current(self, name: str) -> tuple[int, str | None]:
+        """(number, version) of the highest pointer, (0, None) where the table has never been written."""
+        found = [(int(n), at) for n, at in (line.split(" ") for line in self._lines(f"{name}/pointer-*"))]
+        if not found:
+            if self._lines(f"{name}/begun"):
+                raise LostPointer(f"{self.root}/{name} has been written, but no pointer is left")
+            return 0, None
+        top = max(found)
+        if sum(n == top[0] for n, _ in found) > 1:
+            raise LostPointer(f"{self.root}/{name} has been written twice at once: pointer {top[0]}")
+        return top
 
     def read(self, name: str, schema: T.StructType | str) -> DataFrame:
         """The current version in this schema, empty where there is none."""
-        at = self._current(name)
+        _, at = self._current(name)
         return self.spark.createDataFrame([], schema) if at is None else conform(self.spark.read.parquet(f"{self.root}/{name}/{at}"), schema)
 
+    def _note(self, path: str, line: str) -> None:
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
     def write(self, name: str, df: DataFrame) -> None:
-        at = f"version-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{at}")
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/current")
+        number, _ = self._current(name)
+        tag = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/{name}/version-{tag}")
+        self._note(f"{self.root}/{name}/pointer-{number + 1:012d}-{tag}", f"{number + 1} version-{tag}")
+        if not number:
+            self._note(f"{self.root}/{name}/begun", "1")

@@ -234,3 +234,57 @@ def test_every_document_meets_every_claim(spark, tmp_path):
     got = Q.queries()["grounding_overlap_all"](spark, str(tmp_path)).collect()
     share = {1: (0.75, 0.25, 0, 0, 0), 2: (None,) * 5, 3: (0, 0.5, 0, 0, 0), 4: (None,) * 5}
     assert {(r.item_id, r.doc_id): r.share for r in got} == {(c, i): share[c][i % 5] for c, _ in claims for i, _ in docs} and len(got) == len(claims) * len(docs)
+
+
+def test_a_write_that_is_cut_off_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    s = store.TableStore(spark, f"file://{tmp_path}/t")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    s.write("leads", rows(1, 2))
+    note = s._note
+
+    def stop(path, line):
+        raise OSError("stopped before the pointer")
+
+    monkeypatch.setattr(s, "_note", stop)
+    with pytest.raises(OSError):
+        s.write("leads", rows(1, 2, 3))
+    assert s.read("leads", "id long").count() == 2
+    monkeypatch.setattr(s, "_note", note)
+    s.write("leads", rows(1, 2, 3, 4))
+    assert s.read("leads", "id long").count() == 4
+
+
+def test_lost_and_doubled_pointers_are_errors(spark, tmp_path):
+    import shutil
+
+    s = store.TableStore(spark, f"file://{tmp_path}/t")
+    assert s.read("leads", "id long").count() == 0
+    s.write("leads", spark.range(3))
+    pointer = next((tmp_path / "t/leads").glob("pointer-*"))
+    shutil.copytree(pointer, f"{pointer}x")
+    with pytest.raises(store.LostPointer):
+        s.read("leads", "id long")
+    shutil.rmtree(f"{pointer}x")
+    assert s.read("leads", "id long").count() == 3
+    shutil.rmtree(pointer)
+    with pytest.raises(store.LostPointer):
+        s.read("leads", "id long")
+
+
+def test_groups_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 103), (103, 101)], "a long, b long")
+    assert {r.id: r.grp for r in identity.groups(pairs).collect()} == dict.fromkeys(range(61), 0) | {100: 100, 101: 100, 103: 100}
+
+
+@pytest.mark.parametrize("word", ["lacostee", "lacoste", "laxcoste", "acostes", "lacosteshop", "almonds"])
+def test_near_spellings_are_found_by_shared_grams(spark, word):
+    from difflib import SequenceMatcher
+
+    b = brand_table(spark, '{"brands": [{"name": "Lacoste"}, {"name": "Almond"}]}')
+    rows = spark.createDataFrame([(1, word)], "row_id long, n string")
+    want = [x for x in ("Lacoste", "Almond") if SequenceMatcher(None, word, x.lower()).ratio() >= brands.SIMILARITY]
+    assert [r.brand for r in brands.match_brands(rows, b, "n", None).collect()] == want[:1]
+
+
+def test_exact_queries_have_rows_and_sql(spark):
+    assert set(Q.oracle_sql()) <= set(Q.queries()) and len(Q.oracle_sql()) >= 65
