@@ -120,7 +120,15 @@ def instagram_profile(spark, d):
     return L.HANDLES.df(spark).select("id", urls.instagram_url(F.col("handle")).alias("profile"))
 
 
-@query(None)
+_WORDS_APART = "t"
+for _w in sorted(fixed.DOMAIN_WORDS, key=len, reverse=True):
+    _WORDS_APART = f"replace({_WORDS_APART}, '{_w}', ' {_w} ')"
+
+
+@query(rf"""WITH {L.URLS.sql('u')}, x AS (SELECT id, url FROM u UNION ALL SELECT (page_id + 1000)::INTEGER, url FROM pages), h AS (SELECT *, {_HOST} AS host, regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), '^.*@', ''), ':.*$', '') AS full_host FROM x),
+t AS (SELECT *, flatten(list_transform(list_filter(string_split(host, '.'), lambda p: p NOT IN {(*fixed.DOMAIN_DROP, *fixed.DOMAIN_PREFIX_DROP)!r}), lambda p: string_split(p, '-'))) AS tokens FROM h),
+w AS (SELECT *, list_filter(flatten(list_transform(tokens, lambda t: regexp_split_to_array({_WORDS_APART}, '\s+'))), lambda y: y <> '' AND y NOT IN {fixed.DOMAIN_DROP!r}) AS words FROM t)
+SELECT id, array_to_string(list_transform(CASE WHEN len(words) = 0 THEN [host] ELSE words END, lambda y: upper(y[1]) || lower(y[2:])), ' ') AS name, CASE WHEN full_host <> '' THEN lower(full_host) ELSE url END AS shown FROM w""")
 def domain_names(spark, d):
     u = L.URLS.df(spark).unionByName(_t(spark, d, "pages").select((F.col("page_id") + 1000).cast("int").alias("id"), "url"))
     return u.select("id", urls.name_from_domain(F.col("url")).alias("name"), urls.display_host(F.col("url")).alias("shown"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import literals as L
-from .functions import contacts, copycheck, fixed, scoring, text, urls
+from .functions import contacts, copycheck, fixed, names, scoring, text, urls
 from .operators import catalogue, evidence, identity, reads
-from .queries import _DEF, _HOST, _IDS, _NET, _PR, _case, _t, query
+from .queries import _DEF, _HOST, _IDS, _NAMES, _NET, _NOISE, _PR, _case, _evidence, _t, query
 
 # --- stored leads and analyses ---------------------------------------------
 
@@ -240,3 +240,46 @@ _HANDLED = L.Literal("id int, raw string", (1, "/curlysquare/"), (2, "p"), (3, "
 SELECT id, CASE WHEN n <> '' AND lower(n) NOT IN {(*fixed.IGNORED_INSTAGRAM_PATHS, *fixed.PLATFORM_HANDLES)!r} THEN n END AS handle FROM x""")
 def cleaned_handles(spark, d):
     return _HANDLED.df(spark).select("id", contacts.clean_handle(F.col("raw")).alias("handle"))
+
+
+# --- names and page parts --------------------------------------------------
+
+_ENDS = "[.,!?;:'\"()]".replace("'", "''")
+_PLAIN = f"lower(regexp_replace(w, '^{_ENDS}+|{_ENDS}+$', '', 'g'))"
+
+
+@query(rf"""WITH {_NAMES.sql('n')}, x AS (SELECT id::BIGINT AS id, raw FROM n UNION ALL SELECT 100 + p_partkey, p_name FROM part), y AS (SELECT id, raw, lower(trim(raw)) AS low, list_filter(regexp_split_to_array(raw, '\s+'), lambda w: w <> '') AS words FROM x)
+SELECT id, CASE WHEN coalesce(raw, '') = '' THEN 'empty' WHEN {' OR '.join(f"contains(low, '{t}')" for t in fixed.ERROR_NAME_TERMS)} THEN 'error message' WHEN length(raw) > {fixed.MAX_NAME_LEN} THEN 'too long' WHEN len(words) > {fixed.MAX_NAME_WORDS} THEN 'too many words'
+ WHEN length(regexp_replace(raw, '[^,;:]', '', 'g')) > {fixed.MAX_NAME_PUNCT} THEN 'too much punctuation' WHEN regexp_matches(low, '{fixed.COLLECTION_HEADING}') THEN 'generic collection heading'
+ WHEN len(words) > 1 AND len(list_filter(words, lambda w: w[1] = upper(w[1]) AND w[1] <> lower(w[1]))) = 0 THEN 'prose' WHEN len(list_filter(words, lambda w: {_PLAIN} NOT IN {fixed.GENERIC_NAME_WORDS!r})) = 0 THEN 'generic' END AS reason FROM y""")
+def name_reasons(spark, d):
+    """Why a text is no brand name, over the literal names and the names of parts."""
+    x = _NAMES.df(spark).select(F.col("id").cast("long").alias("id"), "raw").union(_t(spark, d, "part").select(F.col("p_partkey") + 100, "p_name"))
+    return x.select("id", names.invalid_reason(F.col("raw")).alias("reason"))
+
+
+@query(rf"""WITH {L.RECORDS.sql('r')}, x AS (SELECT id, business_name AS raw FROM r UNION ALL SELECT 100 + c_custkey, c_name FROM customer UNION ALL SELECT 100000 + p_partkey, p_name || ' shop' FROM part), y AS (SELECT id, trim(regexp_replace(lower(coalesce(raw, '')), '[^a-z0-9]+', ' ', 'g')) AS n FROM x),
+z AS (SELECT *, list_filter(string_split(n, ' '), lambda t: t <> '' AND t NOT IN {fixed.NAME_NOISE!r}) AS kept FROM y), w AS (SELECT *, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE n END AS short FROM z)
+SELECT id, CASE WHEN n NOT IN {('', *fixed.NON_IDENTIFYING_NAMES)!r} AND short NOT IN {fixed.NON_IDENTIFYING_NAMES!r} AND length(replace(short, ' ', '')) >= {fixed.MIN_NAME_CHARS} THEN short END AS identity_name FROM w""")
+def identity_names(spark, d):
+    x = L.RECORDS.df(spark).select("id", F.col("business_name").alias("raw")).union(_t(spark, d, "customer").select(F.col("c_custkey") + 100, "c_name")).union(_t(spark, d, "part").select(F.col("p_partkey") + 100000, F.concat("p_name", F.lit(" shop"))))
+    return x.select("id", names.identity_name(F.col("raw")).alias("identity_name"))
+
+
+def _labels(found: str, most: int) -> str:
+    """SQL of fragments as labels: without tags, entities and outer space, unique in either case, so many."""
+    tidy = f"list_filter(list_transform({found}, lambda x: trim(regexp_replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: x <> '')"
+    return f"(SELECT array_to_string(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i)[1:{most}], '|') FROM (SELECT {tidy} AS k))"
+
+
+def _found(pattern: str) -> str:
+    return f"regexp_extract_all(h, '{pattern.replace('[\\s\\S]{0,8000}?', '[\\s\\S]*?')}', 1)"
+
+
+@query(f"""WITH {L.PAGES.sql('v')}, x AS (SELECT page_id, html FROM pages UNION ALL SELECT -page_id, html FROM v), m AS (SELECT page_id, {_NOISE} AS h FROM x),
+n AS (SELECT *, array_to_string({' || '.join(_found(p) for p in fixed.NAV_PATTERNS)}, ' ') AS menus FROM m)
+SELECT page_id, {_labels(' || '.join(_found(p) for p in fixed.HEADING_PATTERNS), fixed.CAP_HEADINGS)} AS headings, {_labels(f"regexp_extract_all(menus, '{fixed.NAV_LINK}', 1)", fixed.CAP_NAV)} AS nav_labels,
+ {_labels(_found(fixed.COLLECTION_LINK), fixed.CAP_COLLECTIONS)} AS collections, {_labels(' || '.join(_found(p) for p in fixed.ACTION_PATTERNS), fixed.CAP_CTAS)} AS ctas FROM n""")
+def page_labels(spark, d):
+    """Headings, menu labels, collections and actions of every page, joined."""
+    return _evidence(spark, d).select("page_id", *[F.array_join(f"page.{c}", "|").alias(c) for c in ("headings", "nav_labels", "collections", "ctas")])
