@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from . import literals as L
 from .functions import contacts, copycheck, fixed, names, scoring, text, urls
 from .operators import catalogue, evidence, identity, reads
-from .queries import _DEF, _HOST, _IDS, _NAMES, _NET, _NOISE, _PR, _case, _evidence, _t, query
+from .plans import lead_run
+from .queries import _DEF, _HOST, _IDS, _NAMES, _NET, _NOISE, _PR, _case, _evidence, _t, our_brands, query
+from .sources.schemas import CANDIDATES, LEADS, REJECTED
 
 # --- stored leads and analyses ---------------------------------------------
 
@@ -283,3 +285,28 @@ SELECT page_id, {_labels(' || '.join(_found(p) for p in fixed.HEADING_PATTERNS),
 def page_labels(spark, d):
     """Headings, menu labels, collections and actions of every page, joined."""
     return _evidence(spark, d).select("page_id", *[F.array_join(f"page.{c}", "|").alias(c) for c in ("headings", "nav_labels", "collections", "ctas")])
+
+
+# --- a lead run ------------------------------------------------------------
+
+_RUN = """x AS (SELECT i, i % 7 = 3 AS gone, i % 3 = 0 AS plain FROM range(40) t(i)), g AS (SELECT i FROM x WHERE NOT gone AND NOT plain ORDER BY i LIMIT 10), s AS (SELECT max(i) AS stop FROM g)"""
+
+
+def _run(spark):
+    """A run over forty sites found in order: some cannot be reached, some are no stores, the rest qualify until ten are saved."""
+    none = lambda schema: spark.createDataFrame([], schema)
+    results = spark.createDataFrame([(0, "q", 1, i + 1, f"https://s{i}.com.lb/p", f"s{i}", False) for i in range(40)], CANDIDATES)
+    pages = spark.createDataFrame([(f"s{i}.com.lb", f"cdn.shopify.com <title>Name{i} Things</title>" if i % 3 else "<p>hi</p>", 200, f"https://s{i}.com.lb/") for i in range(40) if i % 7 != 3], "domain string, html string, status int, final_url string")
+    return lead_run.lead_run(results, pages, none("domain string, body string"), none("handle string, body string"), our_brands(spark), none(LEADS), none(REJECTED), F.lit("2024-01-01"))
+
+
+@query(f"""WITH {_RUN} SELECT any_value(stop) + 1 AS discovered, 0::BIGINT AS already_known, count(*) FILTER (gone) AS unreachable, count(*) FILTER (NOT gone) AS analysed, count(*) FILTER (NOT gone AND plain) AS not_shopify,
+ 0::BIGINT AS store_closed, 0::BIGINT AS outside_lebanon, 0::BIGINT AS placeholder_store, 0::BIGINT AS large_brand, (SELECT count(*) FROM g) AS saved FROM x, s WHERE i <= stop""")
+def lead_run_counts(spark, d):
+    return _run(spark).counts
+
+
+@query(f"WITH {_RUN} SELECT i + 1 AS position, 's' || i || '.com.lb' AS domain, 'Name' || i || ' Things' AS business_name, 'domain:s' || i || '.com.lb' AS identity_key, 3 AS contact_priority_score, 'low' AS contact_priority, 'strong' AS lebanon_signal_tier FROM g")
+def lead_run_saved(spark, d):
+    saved = _run(spark).saved
+    return saved.select((F.col("row_id") % 10**5).alias("position"), "domain", "business_name", "identity_key", "contact_priority_score", "contact_priority", "lebanon_signal_tier")
