@@ -95,13 +95,13 @@ def search(vectors: DataFrame, is_query: Column, k: int, dtype: str, score: str,
     pilot, others = index.filter(is_first), index.filter(~is_first)
     sign = 1 if best_first else -1
 
-    def scan(chunk: list, bounds: list[np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def scan(asks: list[tuple]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            asks = [(row.dim, *unpack(row, dtype), bound.copy()) for row, bound in zip(chunk, bounds, strict=True)]
+            best = [bound.copy() for *_, bound in asks]
             for shards in batches:
                 for shard in shards.itertuples():
                     _, ids, y = unpack(shard, dtype)
-                    for dim, qkeys, qids, x, bound in asks:
+                    for (dim, qkeys, qids, x, _), bound in zip(asks, best, strict=True):
                         if dim == shard.dim:
                             at, found, scores = in_shard(qids, x, ids, y, shard.extra, k, bound)
                             yield pd.DataFrame({"qkey": qkeys[at], "query_id": qids[at], "vec_id": found, "score": scores})
@@ -111,16 +111,18 @@ def search(vectors: DataFrame, is_query: Column, k: int, dtype: str, score: str,
 
     schema, found = FOUND.format(score), []
     for chunk in _chunks(asked):
-        bounds = [np.full(row.n, -np.inf if best_first else np.inf) for row in chunk]
-        found.append(durable(pilot.mapInPandas(scan(chunk, bounds), schema), "pilot"))
+        asks = []  # the chunk's queries of each length, and their bounds
+        for dim in sorted({row.dim for row in chunk}):
+            keys, ids, x = (np.concatenate(z) for z in zip(*(unpack(row, dtype) for row in chunk if row.dim == dim), strict=True))
+            asks.append((dim, keys, ids, x, np.full(len(ids), -np.inf if best_first else np.inf)))
+        found.append(durable(pilot.mapInPandas(scan(asks), schema), "pilot"))
         seen = found[-1].toPandas()  # some k rows for each query of the chunk
-        for row, bound in zip(chunk, bounds, strict=True):
-            keys, ids, _ = unpack(row, dtype)
-            at = pd.Series(np.arange(row.n), index=pd.MultiIndex.from_arrays([keys, ids]))
+        for _, keys, ids, _, bound in asks:
+            at = pd.Series(np.arange(len(ids)), index=pd.MultiIndex.from_arrays([keys, ids]))
             own = seen[pd.MultiIndex.from_frame(seen[["qkey", "query_id"]]).isin(at.index)]
             if len(own):
                 _tighten(bound, at.loc[list(zip(own["qkey"], own["query_id"], strict=True))].to_numpy(), own["score"].to_numpy(), k, sign)
-        found.append(durable(others.mapInPandas(scan(chunk, bounds), schema), "found"))
+        found.append(durable(others.mapInPandas(scan(asks), schema), "found"))
     if not found:
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {score}")
     near = found[0]
