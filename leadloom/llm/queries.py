@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dups, neighbours, quality, secrets, segmentation, substring_dedup, topk, urls, warc
+from . import conversations, mixing, near_dups, neighbours, quality, secrets, segmentation, substring_dedup, topk, urls, warc
 from .common import table
+from .new_sql import OP11
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_near_dups, op4_quality, op5_exact_top_k, op6_mixing, op7_segmentation, op8_warc, op9_neighbours, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_near_dups, op4_quality, op5_exact_top_k, op6_mixing, op7_segmentation, op8_warc, op9_neighbours, op10_suffix_dedup, op11_conversations)}
 
 
 _OP5 = """
@@ -119,4 +124,4 @@ FROM d JOIN m USING (hex)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": _OP5, "op6_mixing": _OP6, "op8_warc": _OP8}
+    return {"op5_exact_top_k": _OP5, "op6_mixing": _OP6, "op8_warc": _OP8, "op11_conversations": OP11}
