@@ -1,4 +1,4 @@
-"""SQL of the queries of conversations and collocations."""
+"""SQL of the queries of conversations, collocations and near copies of vectors."""
 
 from __future__ import annotations
 
@@ -59,3 +59,17 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
        coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id, conv FROM k) LEFT JOIN a USING (conv) LEFT JOIN h USING (conv)
 """
+
+OP13 = """
+WITH RECURSIVE
+r AS (SELECT row_number() OVER () AS i, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT * FROM r WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND list_count(v) = len(v)
+        AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.i AS i, b.i AS j, a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.v) = len(b.v) AND a.i <> b.i
+      WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.98),
+n AS (SELECT i, count(*) AS c FROM p GROUP BY i),
+w AS (SELECT i, i AS j FROM n UNION SELECT w.i, p.j FROM w JOIN p ON w.j = p.i),
+c AS (SELECT w.i, min(g.vec_id) AS least FROM w JOIN g ON w.j = g.i GROUP BY w.i)
+SELECT vec_id, coalesce(n.c, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(vec_id = coalesce(least, vec_id), true) AS kept
+FROM r LEFT JOIN n USING (i) LEFT JOIN c USING (i)
+"""
