@@ -73,3 +73,24 @@ c AS (SELECT w.i, min(g.vec_id) AS least FROM w JOIN g ON w.j = g.i GROUP BY w.i
 SELECT vec_id, coalesce(n.c, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(vec_id = coalesce(least, vec_id), true) AS kept
 FROM r LEFT JOIN n USING (i) LEFT JOIN c USING (i)
 """
+
+OP12 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+o AS (SELECT lang, k::INTEGER AS k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+m AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+c AS (SELECT lang, phrase, k, f, ws, unnest(range(1, k)) AS cut FROM m),
+s AS (SELECT c.lang, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+             JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ') JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT DISTINCT lang, array_to_string(ws[first:first + size - 1], ' ') AS phrase, f FROM m,
+        (SELECT unnest([1, 2, 3, 4]) AS first) CROSS JOIN (SELECT unnest([2, 3, 4]) AS size) WHERE first + size - 1 <= k AND size < k),
+z AS (SELECT b.* FROM b LEFT JOIN (SELECT lang, phrase, max(f) AS most FROM i GROUP BY ALL) USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) WHERE rank <= 2000
+"""

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, conversations, mixing, near_dups, neighbours, quality, secrets, segmentation, substring_dedup, topk, urls, warc
+from . import cap_filters, collocations, conversations, mixing, near_dups, neighbours, quality, secrets, segmentation, substring_dedup, topk, urls, warc
 from .common import table
-from .new_sql import OP11, OP13
+from .new_sql import OP11, OP12, OP13
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digests(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_near_dups, op4_quality, op5_exact_top_k, op6_mixing, op7_segmentation, op8_warc, op9_neighbours, op10_suffix_dedup, op11_conversations, op13_embedding_dups)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_near_dups, op4_quality, op5_exact_top_k, op6_mixing, op7_segmentation, op8_warc, op9_neighbours, op10_suffix_dedup, op11_conversations, op12_collocations, op13_embedding_dups)}
 
 
 _OP5 = """
@@ -128,4 +132,4 @@ FROM d JOIN m USING (hex)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": _OP5, "op6_mixing": _OP6, "op8_warc": _OP8, "op11_conversations": OP11, "op13_embedding_dups": OP13}
+    return {"op5_exact_top_k": _OP5, "op6_mixing": _OP6, "op8_warc": _OP8, "op11_conversations": OP11, "op12_collocations": OP12, "op13_embedding_dups": OP13}
