@@ -3,13 +3,14 @@
 Texts are cut into pieces and pieces into words; everything is per language. A phrase's
 frequency counts all its occurrences within pieces, overlaps included.
 
-1. A sieve of CELLS counters, by hash of language and word or pair of words, is filled from all
-   texts. A cell that stays under ``least`` proves that no phrase of that frequency holds
+1. A sieve of CELLS counters, by hash of language and one to SIEVED words in a row, is filled from
+   all texts. A cell that stays under ``least`` proves that no phrase of that frequency holds
    its words; a full one proves nothing, so results do not depend on the sieve, only the
-   rows that are shuffled do. Its bits, CELLS / 8 bytes, are broadcast.
+   rows that are shuffled do. Its bits, CELLS / 8 bytes, are broadcast. Beyond some tens of GB of text
+   most cells are full and it rules out little.
 2. Every word starts a suffix of at most MOST_WORDS words, which ends with its piece or before the
-   first pair that the sieve rules out. Equal suffixes of CHUNK bytes of text are counted
-   where they are read.
+   first words that the sieve rules out. Equal suffixes are counted where they are read: texts
+   are split CHUNK bytes at a time, and a task's counts merged while they fit into HELD bytes.
 3. Suffixes are shuffled by ranges of language and suffix, so by language and first word, a hot first
    word over many partitions, and sorted reverse-lexicographically.
 4. One stack of open prefixes counts all prefixes in that order. Those that are open at a
@@ -43,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import durable
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
-CELLS, BLOCK = 1 << 27, 1 << 16
-CHUNK = 8 << 20
+CELLS, BLOCK, SIEVED = 1 << 27, 1 << 16, 3
+CHUNK, HELD = 4 << 20, 32 << 20
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: One pass over bytes: breaks become LF, blanks a space, A-Z a-z.
 PLAIN = bytes.maketrans(BREAKS + BLANKS + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " * len(BLANKS) + bytes(range(97, 123)))
@@ -99,12 +100,16 @@ class Words:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
         self.hashes = hashes[self.ids]
 
-    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sieve's cells of each word, and of each word with the next one."""
+    def cells(self, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one word, two and so on: the sieve's cells by first word, and where so many words are in one piece."""
         shift = np.uint64(64 - (cells.bit_length() - 1))
-        pair = self.hashes * ODD + np.roll(self.hashes, -1) if len(self.hashes) else self.hashes
-        pair = (pair ^ (pair >> np.uint64(29))) * ODD
-        return (self.hashes >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+        here, there = self.hashes, np.ones(len(self.hashes), bool)
+        for k in range(SIEVED):
+            if k:
+                there = there & np.append(self.goes_on[k - 1 :], np.zeros(k - 1, bool))[: len(there)]
+                here = here * ODD + np.append(self.hashes[k:], np.zeros(k, np.uint64))[: len(here)]
+                here = (here ^ (here >> np.uint64(29))) * ODD
+            yield (here >> shift).astype(np.int64), there
 
 
 def _fill(batches: Iterator[pa.RecordBatch], least: int, chunk: int, cells: int) -> Iterator[pa.RecordBatch]:
@@ -113,9 +118,9 @@ def _fill(batches: Iterator[pa.RecordBatch], least: int, chunk: int, cells: int)
     most = np.iinfo(counts.dtype).max
     for lang, parts in _chunks(batches, chunk):
         words = Words(lang, parts)
-        one, two = words.cells(cells)
-        cell, n = np.unique(np.concatenate([one[words.starts], two[words.starts & words.goes_on]]), return_counts=True)
-        counts[cell] = np.minimum(counts[cell].astype(np.int64) + n, most)
+        for cell, there in words.cells(cells):
+            cell, n = np.unique(cell[words.starts & there], return_counts=True)
+            counts[cell] = np.minimum(counts[cell].astype(np.int64) + n, most)
     for block in np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1)):
         part = counts[block * BLOCK : (block + 1) * BLOCK]
         at = np.flatnonzero(part)
@@ -154,17 +159,27 @@ def _suffixes(batches: Iterator[pa.RecordBatch], bits, chunk: int, cells: int) -
     """(language, suffix, count): the words of a suffix, each followed by a space; '' counts all words."""
     known = bits.value
     full = lambda cell: (known[cell >> 3] >> (7 - (cell & 7))) & 1 > 0
+    held: list[pa.RecordBatch] = []
     schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("c", pa.int64())])
+
+    def merged(most: int) -> Iterator[pa.RecordBatch]:
+        """What is held, merged, if that is still more than so many bytes; else it is held on."""
+        table = pa.Table.from_batches(held, schema).group_by(["lang", "suffix"]).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(schema.names)
+        held[:] = table.combine_chunks().to_batches() if table.nbytes <= most else []
+        if table.nbytes > most:
+            yield from table.to_batches(max_chunksize=100_000)
+
     for lang, parts in _chunks(batches, chunk):
         words = Words(lang, parts)
-        yield pa.RecordBatch.from_pydict({"lang": [lang], "suffix": [""], "c": [int(words.starts.sum())]}, schema=schema)
-        one, two = words.cells(cells)
-        is_frequent = full(one)
-        to_next = words.goes_on & is_frequent & np.append(is_frequent[1:], False) & full(two)
-        size, on = (words.starts & is_frequent).astype(np.int64), words.starts & is_frequent
-        for k in range(MOST_WORDS - 1):
-            on = on & np.append(to_next[k:], np.zeros(k, bool))[: len(on)]
-            size += on
+        held.append(pa.RecordBatch.from_pydict({"lang": [lang], "suffix": [""], "c": [int(words.starts.sum())]}, schema=schema))
+        # longest[i]: of how many words, up to SIEVED, a phrase from word i may be
+        longest = np.zeros(len(words.ids), np.int64)
+        for k, (cell, there) in enumerate(words.cells(cells)):
+            inner = np.append(longest[1:], 0)[: len(longest)] >= k
+            longest += (longest == k) & inner & there & full(cell)
+        size = np.where(words.starts, longest, 0)
+        for k in range(SIEVED, MOST_WORDS):
+            size += (size == k) & (np.append(longest[k - SIEVED + 1 :], np.zeros(k - SIEVED + 1, np.int64))[: len(longest)] == SIEVED)
         at = np.flatnonzero(size >= 1)
         rank = words.ids[at]
         for k in range(1, MOST_WORDS + 1):
@@ -176,10 +191,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch], bits, chunk: int, cells: int) -
                 places = at[last][first]
                 text = [words.dictionary.take(pa.array(words.ids[places + j])).cast(pa.large_string()) for j in range(k)]
                 joined = pc.binary_join_element_wise(*text, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(found), np.int64))), joined.cast(pa.string()), pa.array(n)], schema=schema)
+                held.append(pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(found), np.int64))), joined.cast(pa.string()), pa.array(n)], schema=schema))
             at, rank = at[~last], rank[~last]
             if len(at) and k < MOST_WORDS:
                 _, rank = np.unique(rank * (len(words.dictionary) + 1) + words.ids[at + k], return_inverse=True)
+        if sum(x.nbytes for x in held) > 2 * HELD:
+            yield from merged(HELD)
+    if held:
+        yield from merged(0)
 
 
 def _count_prefixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
