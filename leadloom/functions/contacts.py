@@ -143,7 +143,7 @@ def is_placeholder(name: Column) -> Column:
 
 
 def has_price_markup(markup: Column) -> Column:
-    return markup.rlike(fixed.PRICE) | any_of(markup, fixed.PRICE_MARKUP)
+    return markup.rlike(fixed.PRICE_SIGN_FIRST) | markup.rlike(fixed.PRICE_NUMBER_FIRST) | any_of(markup, fixed.PRICE_MARKUP)
 
 
 def _any_word(words: list[str]) -> str:

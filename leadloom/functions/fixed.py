@@ -169,6 +169,9 @@ SUFFICIENT_PRODUCTS, SUFFICIENT_LABELS = 6, 3
 MAX_HTML = 400_000
 PRICE = r"(?i)(?:USD|LBP|\$|£|€)\s?\d[\d.,]*|\d[\d.,]*\s?(?:USD|LBP)"
 PRICE_WINDOW = 600
+# the two halves of PRICE, for linear time: a number begins where its run of digits does
+PRICE_SIGN_FIRST = r"(?i)(?:USD|LBP|\$|£|€)\s?\d[\d.,]*"
+PRICE_NUMBER_FIRST = r"(?i)(?<![\d.,])[.,]*+(\d[\d.,]*+\s?(?:USD|LBP))"
 ENTITIES = (
     ("nbsp", " "), ("amp", "&"), ("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("ndash", "–"), ("mdash", "—"),
     ("hellip", "…"), ("middot", "·"), ("rsquo", "’"), ("lsquo", "‘"), ("ldquo", "“"), ("rdquo", "”"),
@@ -250,6 +253,22 @@ ACTION_PATTERNS = (
     r'(?i)<a\b[^>]*class="[^"]*(?:btn|button)[^"]*"[^>]*>([\s\S]{0,120}?)</a>',
 )
 TITLE_PATTERN = r"(?i)<title\b[^>]*>([\s\S]{0,300}?)</title>"
+PRODUCT_PATH = "/products/"
+PRODUCT_NAME_MOST = 400
+#: Links of a page that are worth another request: a collection but "all", any collection, a product.
+FOLLOW_COLLECTION = r'(?i)href="([^"]*/collections/(?!all\b)[^"?#]+)"'
+FOLLOW_ANY_COLLECTION = r'(?i)href="([^"]*/collections/[^"?#]+)"'
+FOLLOW_PRODUCT = r'(?i)href="([^"]*/products/[^"?#]+)"'
+
+#: What speaks for an account that a page links to.
+REL_ME_POINTS = 3
+SOCIAL_ATTRIBUTES = ("class", "id", "aria-label", "title", "name")
+SOCIAL_WORDS = ("instagram", "social", "follow")
+SOCIAL_ATTRIBUTE_POINTS = 3
+SOCIAL_BLOCK_TAGS = ("footer", "header", "nav")
+SOCIAL_BLOCK_WORDS = ("social", "footer", "contact", "follow")
+SOCIAL_BLOCK_POINTS = 4
+STRUCTURED_POINTS = 3
 
 # --- runs ----------------------------------------------------------------
 
