@@ -16,6 +16,10 @@ smaller id is removed; strings are judged on the input. Matches never cross docu
    l in common; all but the smallest id of each group are removed.
 4. What is removed is gathered by row and applied to the text.
 
+Anchors of one document with equal contexts at equal distances are one row (first place, step,
+how many more), so a run of one byte, or of any short period, is a few rows however long it is, and
+so are its contexts. What is found for the first place holds for all of them.
+
 Grams that COMMON_LEAST documents of a sample of one in SAMPLE hold (about 6,400 of all;
 of those the COMMON_MOST most frequent, so the list is bounded) are spread: step 2 by whole
 context, step 3 by window, on 88 bits of hash of its bytes. The limit is a number, not a
@@ -28,7 +32,9 @@ grams about m^2 / 2^89.
 
 Null texts are empty. Rows without id are left as they are and are no source. Rows of
 one id never match one another; rows that repeat id and text get equal results. Texts
-under WINDOW bytes have nothing to remove. Extra columns are ignored.
+under WINDOW bytes have nothing to remove. Long texts are searched in pieces that overlap by
+more than a context; a text and its marks (some 12 bytes a byte) are held by one task.
+An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -122,6 +128,15 @@ def _blobs(shard: np.ndarray, kind: int, docs: np.ndarray, place: np.ndarray, fi
         yield int(shard[own[0]]), kind, pack(docs, place[own], [(x[own], n) for x, n in fields], zstandard.compress(wide[own].tobytes(), 3) if wide is not None else b"")
 
 
+def _progressions(same: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, step, more) of ordered positions; same tells which belong with the one before: those at one distance are one row."""
+    gap = np.append(0, np.diff(pos))
+    on = same & np.append(False, same[:-1]) & np.append(False, gap[1:] == gap[:-1])
+    first = np.flatnonzero(~on)
+    more = np.diff(np.append(first, len(pos))) - 1
+    return first, np.where(more > 0, np.append(gap, 0)[first + 1], 0), more
+
+
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     s, k, b = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.record_batch([pa.array(s, pa.int32()), pa.array(k, pa.int32()), pa.array(b, pa.binary())], names=["shard", "kind", "blob"])
@@ -139,36 +154,37 @@ def _find(batches: Iterator[pa.RecordBatch], shards: int, common: np.ndarray) ->
             h = h >> np.uint64(16)
             c = hash_at(words(buf), at - SPREAD, CONTEXT)
             ids = docs[text, 1]
-            o = np.lexsort((pos, ids, c, h))
+            o = np.lexsort((pos, text, ids, c, h))
             h, c, text, ids, pos = h[o], c[o], text[o], ids[o], pos[o]
             new = _firsts(h, c)
             least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else ids
-            done = ids > least
+            first, step, more = _progressions(~_firsts(h, c, text), pos) if len(h) else (new.nonzero()[0], pos, pos)
+            h, c, text, pos, done = h[first], c[first], text[first], pos[first], (ids > least)[first]
             key = np.where(_common(h, common), mix(h ^ mix(c)), mix(h))
             shard = (key % np.uint64(shards)).astype(np.int64)
             go = ~done
-            rows = list(_blobs(shard[go], 0, docs, text[go], [(h[go], 6), (c[go], 8), (pos[go], 4)]))
+            rows = list(_blobs(shard[go], 0, docs, text[go], [(h[go], 6), (c[go], 8), (pos[go], 4), (step[go], 4), (more[go], 4)]))
             if done.any():
-                rows += _blobs(np.full(int(done.sum()), int(shard[done][0])), 1, docs, text[done], [(pos[done], 4)])
+                rows += _blobs(np.full(int(done.sum()), int(shard[done][0])), 1, docs, text[done], [(pos[done], 4), (step[done], 4), (more[done], 4)])
             yield _batch(rows)
 
 
 def _settle(table: pa.Table, common: np.ndarray) -> pa.Table:
-    """Step 2: rows of ids with the anchors whose context is a copy, and those whose bytes are needed."""
-    docs, h, c, pos = [np.empty((0, 2), "i8")], [np.empty(0, "u8")], [np.empty(0, "u8")], [np.empty(0, "u8")]
-    done_docs, done_pos = [np.empty((0, 2), "i8")], [np.empty(0, "u8")]
+    """Step 2: rows of ids with the anchors whose context is a copy, and those whose bytes are needed, as (first, step, more) each."""
+    docs, h, c, runs = [np.empty((0, 2), "i8")], [np.empty(0, "u8")], [np.empty(0, "u8")], [np.empty((0, 3), "i8")]
+    done_docs, done_runs = [np.empty((0, 2), "i8")], [np.empty((0, 3), "i8")]
     for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
         if kind:
-            d, (p,), _ = unpack(blob, (4,))
+            d, run, _ = unpack(blob, (4, 4, 4))
             done_docs.append(d)
-            done_pos.append(p)
+            done_runs.append(np.stack(run, axis=1).astype("i8"))
         else:
-            d, (a, b, p), _ = unpack(blob, (6, 8, 4))
-            for to, x in ((docs, d), (h, a), (c, b), (pos, p)):
+            d, (a, b, *run), _ = unpack(blob, (6, 8, 4, 4, 4))
+            for to, x in ((docs, d), (h, a), (c, b), (runs, np.stack(run, axis=1).astype("i8"))):
                 to.append(x)
-    docs, h, c, pos = map(np.concatenate, (docs, h, c, pos))
+    docs, h, c, runs = map(np.concatenate, (docs, h, c, runs))
     o = np.lexsort((docs[:, 1], c, h))
-    docs, h, c, pos = docs[o], h[o], c[o], pos[o]
+    docs, h, c, runs = docs[o], h[o], c[o], runs[o]
     new = _firsts(h, c) if len(h) else np.zeros(0, bool)
     least = docs[np.flatnonzero(new), 1][np.cumsum(new) - 1] if len(h) else docs[:, 1]
     full = docs[:, 1] > least
@@ -180,17 +196,16 @@ def _settle(table: pa.Table, common: np.ndarray) -> pa.Table:
         low, high = np.minimum.reduceat(least, starts), np.maximum.reduceat(least, starts)
         want = ~full & (((kinds > 1) & (low < high))[np.cumsum(gram) - 1] | _common(h, common))
     docs = np.concatenate([docs[full], docs[want], *done_docs])
-    done = np.concatenate(done_pos)
-    pos = np.concatenate([pos[full], pos[want], done]).astype(np.int32)
-    wanted = np.zeros(len(pos), bool)
+    runs = np.concatenate([runs[full], runs[want], *done_runs]).astype(np.int32)
+    wanted = np.zeros(len(runs), bool)
     wanted[int(full.sum()) : int(full.sum()) + int(want.sum())] = True
     o = np.lexsort((docs[:, 0], docs[:, 1]))
-    docs, pos, wanted = docs[o], pos[o], wanted[o]
+    docs, runs, wanted = docs[o], runs[o], wanted[o]
     at = np.flatnonzero(_firsts(docs[:, 0], docs[:, 1])) if len(o) else np.empty(0, "i8")
 
     def lists(own: np.ndarray) -> pa.Array:
-        before = np.append(0, np.cumsum(own))
-        return pa.ListArray.from_arrays(pa.array(np.append(before[at], before[-1]).astype(np.int32)), pa.array(pos[own]))
+        before = 3 * np.append(0, np.cumsum(own))
+        return pa.ListArray.from_arrays(pa.array(np.append(before[at], before[-1]).astype(np.int32)), pa.array(runs[own].ravel()))
 
     return pa.table([pa.array(docs[at, 0]), pa.array(docs[at, 1]), lists(~wanted), lists(wanted)], names=["key", "id", "full", "want"])
 
@@ -200,15 +215,16 @@ def _cut(batches: Iterator[pa.RecordBatch], shards: int, common: np.ndarray) ->
     back = np.arange(SPREAD + 1)
     for batch in batches:
         docs, texts = _docs_of(batch), _texts(batch)
-        asked = [np.unique(np.asarray(x.as_py(), np.int64)) for x in batch.column("want")]
+        asked = [np.unique(x.values.to_numpy().astype(np.int64).reshape(-1, 3), axis=0) for x in batch.column("want")]
         for buf, pieces in buffers(texts):
-            at, text, pos = [], [], []
+            at, text, runs = [], [], []
             for i, place, lo, _, a, b in pieces:
-                p = asked[i][(asked[i] >= a) & (asked[i] < b)]
-                at.append(p - lo + place)
+                p = asked[i][(asked[i][:, 0] >= a) & (asked[i][:, 0] < b)]
+                at.append(p[:, 0] - lo + place)
                 text.append(np.full(len(p), i))
-                pos.append(p)
-            at, text, pos = map(np.concatenate, (at, text, pos))
+                runs.append(p)
+            at, text, runs = map(np.concatenate, (at, text, runs))
+            pos, step, more_of = runs.T
             if not len(at):
                 continue
             w = words(buf)
@@ -218,23 +234,24 @@ def _cut(batches: Iterator[pa.RecordBatch], shards: int, common: np.ndarray) ->
             if not hot.all():
                 cold = ~hot
                 ctx = np.lib.stride_tricks.sliding_window_view(buf, CONTEXT)[at[cold] - SPREAD]
-                rows += _blobs((mix(h[cold]) % np.uint64(shards)).astype("i8"), 2, docs, text[cold], [(h[cold], 6), (pos[cold], 4)], ctx)
+                rows += _blobs((mix(h[cold]) % np.uint64(shards)).astype("i8"), 2, docs, text[cold], [(h[cold], 6), (pos[cold], 4), (step[cold], 4), (more_of[cold], 4)], ctx)
             if hot.any():
                 n = np.array([len(t) for t in texts])[text[hot]]
                 start = pos[hot][:, None] - back
                 e, l = np.nonzero((start >= 0) & (start + WINDOW <= n[:, None]))
                 window = hash_at(w, at[hot][e] - back[l], WINDOW, 7)
                 more = hash_at(w, at[hot][e] - back[l], WINDOW, 8) >> np.uint64(40)
-                who, p = text[hot][e], pos[hot][e]
+                who, run = text[hot][e], runs[hot][e]
                 o = np.lexsort((docs[who, 1], more, window))
-                window, more, who, p, l = window[o], more[o], who[o], p[o], l[o]
+                window, more, who, run, l = window[o], more[o], who[o], run[o], l[o]
                 new = _firsts(window, more)
                 least = docs[who[np.flatnonzero(new)], 1][np.cumsum(new) - 1]
                 mine = (mix(window) % np.uint64(shards)).astype("i8")
                 later = docs[who, 1] > least
                 for kind, own_rows in ((3, ~later), (4, later)):
                     if own_rows.any():
-                        fields = [(window[own_rows], 8), (more[own_rows], 3), (p[own_rows], 4), (l[own_rows], 1)] if kind == 3 else [(p[own_rows], 4), (l[own_rows], 1)]
+                        fields = [(x, 4) for x in run[own_rows].T] + [(l[own_rows], 1)]
+                        fields = [(window[own_rows], 8), (more[own_rows], 3), *fields] if kind == 3 else fields
                         rows += _blobs(mine[own_rows], kind, docs, who[own_rows], fields)
             yield _batch(rows)
 
@@ -272,69 +289,86 @@ def window_groups(gram: np.ndarray, ids: np.ndarray, contexts: np.ndarray) -> np
 
 def _sort(table: pa.Table) -> pa.Table:
     """Step 3b: masks of the windows of each anchor that start in a smaller id too."""
-    docs, h, pos, ctx = [np.empty((0, 2), "i8")], [np.empty(0, "u8")], [np.empty(0, "u8")], [np.empty((0, CONTEXT), np.uint8)]
-    wd, wh, wm, wp, wl = [np.empty((0, 2), "i8")], *([np.empty(0, "u8")] for _ in range(4))
+    docs, h, runs, ctx = [np.empty((0, 2), "i8")], [np.empty(0, "u8")], [np.empty((0, 3), "i8")], [np.empty((0, CONTEXT), np.uint8)]
+    wd, wh, wm, wr, wl = [np.empty((0, 2), "i8")], [np.empty(0, "u8")], [np.empty(0, "u8")], [np.empty((0, 3), "i8")], [np.empty(0, "u8")]
     done = []
+    together = lambda run: np.stack(run, axis=1).astype("i8")
     for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
         if kind == 2:
-            d, (a, p), rest = unpack(blob, (6, 4))
-            for to, x in ((docs, d), (h, a), (pos, p), (ctx, np.frombuffer(zstandard.decompress(rest), np.uint8).reshape(-1, CONTEXT))):
+            d, (a, *run), rest = unpack(blob, (6, 4, 4, 4))
+            for to, x in ((docs, d), (h, a), (runs, together(run)), (ctx, np.frombuffer(zstandard.decompress(rest), np.uint8).reshape(-1, CONTEXT))):
                 to.append(x)
         elif kind == 3:
-            d, fields, _ = unpack(blob, (8, 3, 4, 1))
-            for to, x in zip((wd, wh, wm, wp, wl), (d, *fields), strict=True):
+            d, (a, b, *run, l), _ = unpack(blob, (8, 3, 4, 4, 4, 1))
+            for to, x in zip((wd, wh, wm, wr, wl), (d, a, b, together(run), l), strict=True):
                 to.append(x)
         else:
-            d, (p, l), _ = unpack(blob, (4, 1))
-            done.append((d, p, np.int64(1) << l.astype("i8")))
-    docs, h, pos, ctx = map(np.concatenate, (docs, h, pos, ctx))
+            d, (*run, l), _ = unpack(blob, (4, 4, 4, 1))
+            done.append((d, together(run), np.int64(1) << l.astype("i8")))
+    docs, h, runs, ctx = map(np.concatenate, (docs, h, runs, ctx))
     found = window_groups(h, docs[:, 1], ctx) if len(h) else np.empty(0, "i8")
-    wd, wh, wm, wp, wl = map(np.concatenate, (wd, wh, wm, wp, wl))
+    wd, wh, wm, wr, wl = map(np.concatenate, (wd, wh, wm, wr, wl))
     if len(wh):
         o = np.lexsort((wd[:, 1], wm, wh))
         new = _firsts(wh[o], wm[o])
         later = o[wd[o, 1] > wd[o[np.flatnonzero(new)], 1][np.cumsum(new) - 1]]
-        done.append((wd[later], wp[later], np.int64(1) << wl[later].astype("i8")))
+        done.append((wd[later], wr[later], np.int64(1) << wl[later].astype("i8")))
     some = found != 0
-    done.append((docs[some], pos[some], found[some]))
-    docs, at, mask = (np.concatenate(x) for x in zip(*done, strict=True))
-    o = np.lexsort((at, docs[:, 0], docs[:, 1]))
-    docs, at, mask = docs[o], at[o], mask[o]
-    if len(at):  # one mask for each anchor
-        starts = np.flatnonzero(_firsts(docs[:, 0], docs[:, 1], at))
-        docs, at, mask = docs[starts], at[starts], np.bitwise_or.reduceat(mask, starts)
-    first = np.flatnonzero(_firsts(docs[:, 0], docs[:, 1])) if len(at) else np.empty(0, "i8")
-    ends = pa.array(np.append(first, len(at)).astype(np.int32))
+    done.append((docs[some], runs[some], found[some]))
+    docs, runs, mask = (np.concatenate(x) for x in zip(*done, strict=True))
+    o = np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0], docs[:, 0], docs[:, 1]))
+    docs, runs, mask = docs[o], runs[o], mask[o]
+    if len(runs):  # one mask for each row of anchors
+        starts = np.flatnonzero(_firsts(docs[:, 0], docs[:, 1], *runs.T))
+        docs, runs, mask = docs[starts], runs[starts], np.bitwise_or.reduceat(mask, starts)
+    first = np.flatnonzero(_firsts(docs[:, 0], docs[:, 1])) if len(runs) else np.empty(0, "i8")
+    ends = np.append(first, len(runs)).astype(np.int32)
     empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(first) + 1, np.int32)), pa.array([], pa.int32()))
-    lists = [pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(mask.astype("i8")))]
+    lists = [pa.ListArray.from_arrays(pa.array(3 * ends), pa.array(runs.astype(np.int32).ravel())), pa.ListArray.from_arrays(pa.array(ends), pa.array(mask.astype("i8")))]
     return pa.table([pa.array(docs[first, 0]), pa.array(docs[first, 1]), empty, *lists], names=["key", "id", "full", "at", "mask"])
 
 
+def _marked(n: int, full: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which places of a text of n bytes begin a window to remove, from rows (first, step, more) of anchors."""
+    hit = np.zeros(n - WINDOW + 1, bool)
+    single = (full[:, 2] == 0) | (full[:, 1] <= SPREAD + 1)  # the windows of close anchors touch
+    if single.any():
+        change = np.zeros(n - WINDOW + 2, np.int32)
+        last = full[single, 0] + full[single, 1] * full[single, 2]
+        np.add.at(change, np.maximum(full[single, 0] - SPREAD, 0), 1)
+        np.add.at(change, np.minimum(last, n - WINDOW) + 1, -1)
+        hit |= np.cumsum(change, out=change)[:-1] > 0
+    for first, step, more in full[~single]:
+        for back in range(SPREAD + 1):
+            own = np.arange(first, first + step * more + 1, step) - back
+            hit[own[(own >= 0) & (own < len(hit))]] = True
+    alone = at[:, 2] == 0
+    e, l = np.nonzero((mask[alone][:, None] >> np.arange(SPREAD + 1)) & 1)
+    hit[at[alone, 0][e] - l] = True
+    for (first, step, more), bits in zip(at[~alone], mask[~alone], strict=True):
+        for back in np.flatnonzero((bits >> np.arange(SPREAD + 1)) & 1):
+            hit[first - back : first - back + step * more + 1 : step] = True
+    return hit
+
+
 def removed_spans(n: int, full: np.ndarray, at: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes to remove from a text of n bytes."""
+    full, at = full.reshape(-1, 3), at.reshape(-1, 3)
     if n < WINDOW or not len(full) + len(at):
         return []
-    starts = np.zeros(n - WINDOW + 2, np.int64)  # of windows, as changes
-    lo, hi = np.maximum(full - SPREAD, 0), np.minimum(full, n - WINDOW) + 1
-    np.add.at(starts, lo, 1)
-    np.add.at(starts, hi, -1)
-    if len(at):
-        e, l = np.nonzero((mask[:, None] >> np.arange(SPREAD + 1)) & 1)
-        s = at[e] - l
-        np.add.at(starts, s, 1)
-        np.add.at(starts, s + 1, -1)
-    s = np.flatnonzero(np.cumsum(starts)[:-1] > 0)
-    cut = np.flatnonzero(np.diff(s) > WINDOW)  # runs that touch are one
-    return list(zip(s[np.append(0, cut + 1)].tolist(), (s[np.append(cut, len(s) - 1)] + WINDOW).tolist(), strict=True))
+    hit = np.flatnonzero(np.diff(_marked(n, full, at, mask).view(np.int8), prepend=0, append=0))
+    lo, hi = hit[::2], hit[1::2] - 1 + WINDOW  # windows that begin one after the other
+    cut = np.flatnonzero(lo[1:] > hi[:-1])  # runs that touch are one
+    return list(zip(lo[np.append(0, cut + 1)].tolist(), hi[np.append(cut, len(hi) - 1)].tolist(), strict=True)) if len(lo) else []
 
 
 def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Step 4."""
     for batch in batches:
         out: list[tuple] = []
-        lists = [batch.column(c).to_pylist() for c in ("full", "at", "mask")]
-        for t, doc_id, full, at, mask in zip(_texts(batch), batch.column("doc_id").to_pylist(), *lists, strict=True):
-            spans = removed_spans(len(t), *(np.asarray(x or [], np.int64) for x in (full, at, mask)))
+        lists = [batch.column(c) for c in ("full", "at", "mask")]
+        for t, doc_id, *found in zip(_texts(batch), batch.column("doc_id").to_pylist(), *lists, strict=True):
+            spans = removed_spans(len(t), *(np.zeros(0, np.int64) if x.values is None else x.values.to_numpy().astype(np.int64) for x in found))
             ends = [0, *[b for _, b in spans]]
             left = b"".join(t[a:b] for a, b in zip(ends, [*[a for a, _ in spans], len(t)], strict=True))
             out.append((doc_id, len(t), len(t) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left, [x for s in spans for x in s]))
