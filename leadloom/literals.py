@@ -17,20 +17,38 @@ def _quoted(x: object) -> str:
     return "'" + str(x).replace("'", "''") + "'"
 
 
+_KINDS = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+
+
 class Literal:
     def __init__(self, schema: str, *rows: tuple) -> None:
-        self.schema, self.rows = schema, rows
+        self.schema, self.rows, self.table, self.columns, self.where = schema, rows, "", (), ""
+
+    def given(self, table: str, *columns: str, where: str = "") -> Literal:
+        """These rows and, below them, columns of a given table, as expressions that Spark and DuckDB read alike."""
+        more = Literal(self.schema, *self.rows)
+        more.table, more.columns, more.where = table, columns, f" WHERE {where}" if where else ""
+        return more
+
+    def _names(self) -> list[list[str]]:
+        return [c.strip().split(" ", 1) for c in self.schema.split(",")]
 
-    def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), self.schema)
+    def df(self, spark: SparkSession, d: str = "") -> DataFrame:
+        """The rows, and with a folder also those of the given table."""
+        own = spark.createDataFrame(list(self.rows), self.schema)
+        if not (d and self.table):
+            return own
+        more = spark.read.parquet(f"{d}/{self.table}.parquet")
+        more = more.filter(self.where.removeprefix(" WHERE ")) if self.where else more
+        return own.unionByName(more.selectExpr(*[f"CAST({x} AS {'BIGINT' if k == 'long' else k}) AS {n}" for x, (n, k) in zip(self.columns, self._names(), strict=True)]))
 
     def sql(self, name: str) -> str:
         """``name(cols) AS (VALUES ...)`` for a WITH clause, types as in the schema."""
-        kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
-        cols = [c.strip().split(" ", 1) for c in self.schema.split(",")]
+        cols = self._names()
         rows = ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in self.rows)
-        casts = ", ".join(f"CAST(c{i} AS {kinds[k]}) AS {n}" for i, (n, k) in enumerate(cols))
-        return f"{name} AS (SELECT {casts} FROM (VALUES {rows}) t({', '.join(f'c{i}' for i in range(len(cols)))}))"
+        casts = ", ".join(f"CAST(c{i} AS {_KINDS[k]}) AS {n}" for i, (n, k) in enumerate(cols))
+        more = " UNION ALL SELECT " + ", ".join(f"CAST({x} AS {_KINDS[k]})" for x, (_, k) in zip(self.columns, cols, strict=True)) + f" FROM {self.table}{self.where}" if self.table else ""
+        return f"{name} AS (SELECT {casts} FROM (VALUES {rows}) t({', '.join(f'c{i}' for i in range(len(cols)))}){more})"
 
 
 URLS = Literal(
@@ -90,3 +108,17 @@ PAGES = Literal(
     (3, '<title>Plain</title><a href="/products/z">Zed</a><script>var p="$5"</script><p>size guide</p>'),
     (4, ""),
 )
+
+# --- with rows of given tables -------------------------------------------
+
+_CALLED = "('25-' || (c_custkey % 899 + 100) || '-741-29' || (c_custkey % 89 + 10))"
+_SHOP = "lower(replace(c_name, '#', '.'))"
+GIVEN_URLS = URLS.given("pages", "page_id + 1000", "url")
+GIVEN_PHONES = PHONES.given("customer", "c_custkey + 100", f"CASE c_custkey % 3 WHEN 0 THEN {_CALLED} WHEN 1 THEN '+961 ' || {_CALLED} ELSE '03 ' || (100000 + c_custkey) END")
+GIVEN_HANDLES = HANDLES.given("customer", "c_custkey + 100", f"CASE c_custkey % 4 WHEN 0 THEN {_SHOP} WHEN 1 THEN 'https://www.instagram.com/' || {_SHOP} || '/?x=1' WHEN 2 THEN '@' || {_CALLED} ELSE c_mktsegment || '/' END")
+GIVEN_PROFILES = PROFILES.given("events", "event_id + 100", """CASE event_id % 4 WHEN 0 THEN '{"edge_followed_by":{"count":' || event_id || '}}' WHEN 1 THEN (event_id % 900) || '.5K Followers' WHEN 2 THEN event_type ELSE (event_id % 90) || ',123 followers' END""")
+GIVEN_RECORDS = RECORDS.given(
+    "customer", "c_custkey + 100", "(c_custkey * 7919 % 100003) || ' ' || c_mktsegment", "'d' || (c_custkey % 1100) || '.com'", "CASE WHEN c_custkey % 5 = 0 THEN 'm' || (c_custkey % 450) || '@x.com' END",
+    "CASE WHEN c_custkey % 7 = 0 THEN '03 ' || (100000 + c_custkey % 903) END", "NULL", "CASE WHEN c_custkey % 3 = 0 THEN 'u' || (c_custkey % 800) END", "c_mktsegment", "NULL",
+)
+GIVEN_RUNS = RUNS.given("events", "event_id + 10", "event_id + 1000", "CASE event_id % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'waiting' ELSE event_type END", "CASE event_id % 4 WHEN 0 THEN 'success' ELSE event_type END")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..sources.schemas import MIRRORED
+from .order import numbered
 
 PAGE_SIZE = 50
 RUNS_LISTED = 20
@@ -146,6 +147,9 @@ def novelty(df: DataFrame, batch: str, key: str) -> DataFrame:
 
 
 def review_queue(df: DataFrame, tier: str, group: str, order: str) -> DataFrame:
-    """Round robin: the first of every group of a tier, then the second, and so on."""
-    turn = F.row_number().over(W.partitionBy(tier, group).orderBy(order))
-    return df.withColumn("turn", turn).withColumn("place", F.row_number().over(W.partitionBy(tier).orderBy("turn", group, order)))
+    """Round robin: the first of every group of a tier, then the second, and so on.
+
+    Places are counted by ranges of the order, so neither a tier nor a group is one task.
+    """
+    turned = numbered(df, [tier, group], [F.asc(order)], "turn")
+    return numbered(turned, [tier], [F.asc("turn"), F.asc(group), F.asc(order)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence, grounding
 from ..sources.schemas import ANALYSES, conform
+from ..sources.store import TableStore
 
 
 def gather(leads: DataFrame, pages: DataFrame) -> DataFrame:
@@ -28,3 +29,9 @@ def judge(gathered: DataFrame, outputs: DataFrame, model: str, now: Column) -> D
     poor = both.filter("NOT enough OR raw IS NULL").select("domain", F.when(F.col("enough"), "failed").otherwise("insufficient_evidence").alias("status"), F.lit(False).alias("fallback_verified"))
     rows = judged.unionByName(poor, allowMissingColumns=True).join(gathered.select("domain", "pages_fetched"), "domain")
     return conform(rows.withColumns({"model": F.lit(model), "analyzed_at": now.cast("timestamp")}), ANALYSES)
+
+
+def store_analyses(store: TableStore, analyses: DataFrame) -> None:
+    """Rows of ``judge`` put in the place of those of their domains; every column is written, so none of an older analysis survives."""
+    with store.changes() as change:
+        change.upsert("lead_analyses", ANALYSES, analyses, "domain", F.desc("analyzed_at"))

@@ -8,6 +8,7 @@ unreachable and is not remembered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import contacts, fixed, names, scoring, urls
 from ..functions.markup import page_signals
 from ..operators import catalogue, discover, identity, qualify
-from ..sources.schemas import LEADS, REJECTED, conform
+from ..sources.schemas import IDENTIFIERS, LEADS, REJECTED, conform
 from ..sources.shared import cut
-from ..sources.store import TableStore, add_aliases, insert_absent, upsert
+from ..sources.store import TableStore, add_aliases, insert_absent
 
 
 @dataclass
@@ -63,15 +64,21 @@ def analyse(cands: DataFrame, pages: DataFrame, products: DataFrame, profiles: D
     )
 
 
-def lead_run(results: DataFrame, pages: DataFrame, products: DataFrame, profiles: DataFrame, brands: DataFrame, leads: DataFrame, rejected: DataFrame, now: Column, target: int = fixed.MAX_NEW_LEADS) -> Run:
+def lead_keys(leads: DataFrame) -> DataFrame:
+    """The columns of leads that records are compared by."""
+    return leads.select("id", "domain", F.col("instagram_url").alias("instagram"))
+
+
+def lead_run(results: DataFrame, pages: DataFrame, products: DataFrame, profiles: DataFrame, brands: DataFrame, leads: DataFrame, rejected: DataFrame, now: Column, target: int = fixed.MAX_NEW_LEADS, known: Callable[[DataFrame], DataFrame] | None = None) -> Run:
+    """known finds the (key, id) of leads for new records with identifiers; without it all leads are looked through."""
     found = cut(discover.candidates(results).withColumn("row_id", discovery_id()))
     fresh = cut(discover.unknown_only(found, leads, rejected))
     decided = cut(qualify.decide(analyse(fresh, pages, products, profiles), brands))
     good = decided.filter("qualified")
-    # leads come before all candidates; only the keys that a lead row carries are compared
-    before = leads.select((F.col("id") - F.lit(1 << 40)).alias("id"), "domain", F.col("instagram_url").alias("instagram"))
-    after = good.select(F.col("row_id").alias("id"), "domain", F.col("instagram_url").alias("instagram"))
-    kept = cut(identity.kept_and_aliases(before.unionByName(after)).filter("id >= 0"))
+    # only the keys that a lead row carries are compared; leads come before all candidates
+    after = cut(good.select(F.col("row_id").alias("id"), "domain", F.col("instagram_url").alias("instagram")))
+    index = known(identity.identifiers(after)) if known else identity.identifier_index(identity.identifiers(lead_keys(leads)))
+    kept = cut(identity.kept_and_aliases(after, known=index.select("key", (F.col("id") - F.lit(1 << 40)).alias("id"))))
     new = good.join(kept.filter("id = kept_id").select(F.col("id").alias("row_id")), "row_id")
     taken = cut(new.orderBy("row_id").limit(target))
     last = taken.agg(F.max("row_id"), F.count("*")).first()
@@ -97,16 +104,34 @@ def lead_run(results: DataFrame, pages: DataFrame, products: DataFrame, profiles
 
 
 def run_and_store(store: TableStore, results: DataFrame, pages: DataFrame, products: DataFrame, profiles: DataFrame, brands: DataFrame, now: Column, target: int = fixed.MAX_NEW_LEADS) -> Run:
-    """``lead_run`` on a store's tables; new leads get ids above the highest there is."""
+    """``lead_run`` on a store's tables; new leads get ids above the highest there is.
+
+    New leads, aliases, rejections and the index of identifiers become visible together. Of the index only the buckets
+    are read that the new records' identifiers fall into; a store without one gets it from its leads.
+    """
     leads, rejected = store.read("leads", LEADS), store.read("rejected_sites", REJECTED)
-    run = lead_run(results, pages, products, profiles, brands, leads, rejected, now, target)
+    has_index = bool(store.versions("lead_identifiers"))
+
+    def known(rows: DataFrame) -> DataFrame:
+        if not has_index:
+            return identity.identifier_index(identity.identifiers(lead_keys(leads)))
+        keys = cut(identity.identifier_index(rows).select("key"))
+        return store.read("lead_identifiers", IDENTIFIERS, store.buckets_of(keys, "key")).join(keys, "key", "left_semi")
+
+    run = lead_run(results, pages, products, profiles, brands, leads, rejected, now, target, known)
     top = leads.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     new = insert_absent(leads, run.saved, "domain", F.col("row_id"))
     # ``target`` bounds the rows that are numbered here
     rows = new.orderBy("row_id").collect()
     numbered = leads.sparkSession.createDataFrame([(r.row_id, top + i + 1) for i, r in enumerate(rows)], "row_id long, id long")
-    added = conform(new.join(numbered, "row_id"), LEADS)
+    added = cut(conform(new.join(numbered, "row_id"), LEADS))
     alias = run.aliases.join(numbered.withColumnRenamed("row_id", "kept_id"), "kept_id", "left").select(F.coalesce("id", F.col("kept_id") + F.lit(1 << 40)).alias("id"), "alias")
-    store.write("leads", add_aliases(conform(leads, LEADS).unionByName(added), alias))
-    store.write("rejected_sites", upsert(rejected, run.rejected, ["domain"], F.desc("checked_at")))
+    aliased = cut(alias)
+    # the rows that change: new leads, and leads that got an alias
+    changed = cut(add_aliases(leads.join(aliased.select("id").distinct(), "id", "left_semi").select(leads.columns).unionByName(added), aliased))
+    with store.changes() as change:
+        change.upsert("leads", LEADS, changed, "domain", F.asc("id"))
+        change.upsert("rejected_sites", REJECTED, cut(run.rejected), "domain", F.desc("checked_at"))
+        entries = identity.identifier_index(identity.identifiers(lead_keys(added if has_index else conform(leads, LEADS).unionByName(added))))
+        change.insert("lead_identifiers", IDENTIFIERS, cut(entries), "key", F.asc("id"))
     return run

@@ -63,9 +63,9 @@ def url_clean_host(spark, d):
     return _t(spark, d, "pages").select("page_id", urls.clean_host(F.col("url")).alias("host"), urls.root_url(F.col("url")).alias("root"))
 
 
-@query(f"WITH {L.URLS.sql('u')} SELECT id, {_HOST} AS host, {' OR '.join(f"replace({_NET}, 'www.', '') = '{h}' OR ends_with(replace({_NET}, 'www.', ''), '.{h}')" for h in fixed.IGNORED_HOSTS)} AS ignored FROM u")
+@query(f"WITH {L.GIVEN_URLS.sql('u')} SELECT id, {_HOST} AS host, {' OR '.join(f"replace({_NET}, 'www.', '') = '{h}' OR ends_with(replace({_NET}, 'www.', ''), '.{h}')" for h in fixed.IGNORED_HOSTS)} AS ignored FROM u")
 def url_host_rules(spark, d):
-    return L.URLS.df(spark).select("id", urls.clean_host(F.col("url")).alias("host"), urls.is_ignored_host(F.col("url")).alias("ignored"))
+    return L.GIVEN_URLS.df(spark, d).select("id", urls.clean_host(F.col("url")).alias("host"), urls.is_ignored_host(F.col("url")).alias("ignored"))
 
 
 @query(f"""
@@ -102,22 +102,22 @@ def query_catalogue(spark, d):
 _RESULTS = L.Literal(
     "query_no int, query string, page int, position int, url string, title string, exhausted boolean", (0, "a", 1, 1, "https://www.a.com/x", "A", False), (0, "a", 1, 2, "https://b.com", "B", False), (0, "a", 2, 0, None, None, True),
     (0, "a", 3, 1, "https://late.com", "L", False), (1, "b", 1, 1, "https://a.com/y", "A2", False), (1, "b", 1, 2, "https://m.facebook.com/z", "F", False), (1, "b", 3, 1, "https://c.com", "C", False),
-)
+).given("pages", "page_id % 5 + 2", "'q'", "page_id % 3 + 1", "page_id + 1", "url", "url", "page_id % 997 = 0")
 
 
 @query(f"""WITH {_RESULTS.sql('r')}, s AS (SELECT *, min(CASE WHEN exhausted THEN page END) OVER (PARTITION BY query_no) AS stop FROM r),
 k AS (SELECT *, {_HOST} AS domain FROM s WHERE (stop IS NULL OR page < stop) AND url IS NOT NULL AND NOT ends_with({_NET}, '.facebook.com'))
 SELECT domain, url, title, query_no, page, position FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY query_no, page, position, url) AS n FROM k) WHERE n = 1""")
 def discovered_candidates(spark, d):
-    return discover.candidates(_RESULTS.df(spark)).select("domain", "url", "title", "query_no", "page", "position")
+    return discover.candidates(_RESULTS.df(spark, d)).select("domain", "url", "title", "query_no", "page", "position")
 
 
-@query(f"""WITH {L.HANDLES.sql('h')}, t AS (SELECT id, trim(handle) AS t FROM h),
+@query(f"""WITH {L.GIVEN_HANDLES.sql('h')}, t AS (SELECT id, trim(handle) AS t FROM h),
 p AS (SELECT id, regexp_replace(CASE WHEN contains(lower(t), 'instagram.com') THEN regexp_extract(CASE WHEN contains(t, '//') THEN t ELSE 'https://' || t END, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) ELSE t END, '^/+|/+$', '', 'g') AS p FROM t),
 n AS (SELECT id, lower(trim(regexp_replace(regexp_extract(p, '^([^/?#]*)', 1), '^@+', ''))) AS n FROM p)
 SELECT id, CASE WHEN regexp_matches(n, '^[a-z0-9._]{{1,30}}$') AND NOT regexp_matches(n, '^\\.+$') AND n NOT IN {fixed.IGNORED_INSTAGRAM_PATHS!r} THEN 'https://www.instagram.com/' || n || '/' END AS profile FROM n""")
 def instagram_profile(spark, d):
-    return L.HANDLES.df(spark).select("id", urls.instagram_url(F.col("handle")).alias("profile"))
+    return L.GIVEN_HANDLES.df(spark, d).select("id", urls.instagram_url(F.col("handle")).alias("profile"))
 
 
 _WORDS_APART = "t"
@@ -134,11 +134,13 @@ def domain_names(spark, d):
     return u.select("id", urls.name_from_domain(F.col("url")).alias("name"), urls.display_host(F.col("url")).alias("shown"))
 
 
-@query(f"""WITH {L.Literal("id int, domain string", (1, "a.com"), (2, " A-b.CO "), (3, "a b.com"), (4, ""), (5, "x" * 254), (6, None), (7, "a_b.com")).sql('v')}
+_DOMAINS = L.Literal("id int, domain string", (1, "a.com"), (2, " A-b.CO "), (3, "a b.com"), (4, ""), (5, "x" * 254), (6, None), (7, "a_b.com")).given("pages", "page_id + 10", "CASE page_id % 2 WHEN 0 THEN replace(replace(url, '://', '.'), '/', '-') ELSE url END")
+
+
+@query(f"""WITH {_DOMAINS.sql('v')}
 SELECT id, coalesce(length(lower(trim(domain))) BETWEEN 1 AND 253 AND regexp_matches(lower(trim(domain)), '^[a-z0-9.-]+$'), FALSE) AS valid FROM v""")
 def domain_valid(spark, d):
-    v = L.Literal("id int, domain string", (1, "a.com"), (2, " A-b.CO "), (3, "a b.com"), (4, ""), (5, "x" * 254), (6, None), (7, "a_b.com"))
-    return v.df(spark).select("id", urls.is_valid_domain(F.col("domain")).alias("valid"))
+    return _DOMAINS.df(spark, d).select("id", urls.is_valid_domain(F.col("domain")).alias("valid"))
 
 
 # --- contacts ------------------------------------------------------------
@@ -156,30 +158,30 @@ def email_first_valid(spark, d):
     return x.select("id", contacts.email(F.col("text")).alias("email"))
 
 
-@query(f"""WITH {L.PHONES.sql('p')}, a AS (SELECT id, regexp_replace(regexp_replace(phone, '[^0-9]', '', 'g'), '^00', '') AS g FROM p)
+@query(f"""WITH {L.GIVEN_PHONES.sql('p')}, a AS (SELECT id, regexp_replace(regexp_replace(phone, '[^0-9]', '', 'g'), '^00', '') AS g FROM p)
 SELECT id, nullif(CASE WHEN NOT starts_with(g, '961') AND length(regexp_replace(g, '^0+', '')) BETWEEN 7 AND 8 THEN '961' || regexp_replace(g, '^0+', '') ELSE g END, '') AS phone FROM a""")
 def phone_normalized(spark, d):
-    return L.PHONES.df(spark).select("id", contacts.normalize_phone(F.col("phone")).alias("phone"))
+    return L.GIVEN_PHONES.df(spark, d).select("id", contacts.normalize_phone(F.col("phone")).alias("phone"))
 
 
-@query(f"""WITH {L.HANDLES.sql('h')}, a AS (SELECT id, lower(trim(handle)) AS t FROM h),
+@query(f"""WITH {L.GIVEN_HANDLES.sql('h')}, a AS (SELECT id, lower(trim(handle)) AS t FROM h),
 b AS (SELECT id, regexp_replace(CASE WHEN contains(t, 'instagram.com') THEN regexp_replace(t, '^.*?instagram\\.com/*', '') WHEN NOT contains(t, '://') THEN t END, '^/+|/+$', '', 'g') AS p FROM a),
 c AS (SELECT id, regexp_replace(regexp_extract(p, '^([^/?#]*)', 1), '^@+', '') AS n FROM b)
 SELECT id, CASE WHEN n NOT IN {fixed.NON_PROFILE_PATHS!r} THEN nullif(replace(regexp_replace(n, '[^a-z0-9_.]', '', 'g'), '.', ''), '') END AS handle FROM c""")
 def instagram_normalized(spark, d):
-    return L.HANDLES.df(spark).select("id", contacts.normalize_instagram(F.col("handle")).alias("handle"))
+    return L.GIVEN_HANDLES.df(spark, d).select("id", contacts.normalize_instagram(F.col("handle")).alias("handle"))
 
 
-@query(f"""WITH {L.PROFILES.sql('p')}, a AS (SELECT id, nullif(regexp_extract(body, '{fixed.FOLLOWERS_JSON}', 1), '') AS j, replace(regexp_extract(body, '{fixed.FOLLOWERS_TEXT}', 1), ',', '') AS n, lower(regexp_extract(body, '{fixed.FOLLOWERS_TEXT}', 2)) AS u FROM p)
+@query(f"""WITH {L.GIVEN_PROFILES.sql('p')}, a AS (SELECT id, nullif(regexp_extract(body, '{fixed.FOLLOWERS_JSON}', 1), '') AS j, replace(regexp_extract(body, '{fixed.FOLLOWERS_TEXT}', 1), ',', '') AS n, lower(regexp_extract(body, '{fixed.FOLLOWERS_TEXT}', 2)) AS u FROM p)
 SELECT id, coalesce(TRY_CAST(j AS BIGINT), CASE WHEN regexp_matches(n, '^\\d+\\.?\\d*$') THEN floor(TRY_CAST(n AS DOUBLE) * CASE u WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END)::BIGINT END) AS followers FROM a""")
 def follower_parse(spark, d):
-    return L.PROFILES.df(spark).select("id", contacts.followers(F.col("body")).alias("followers"))
+    return L.GIVEN_PROFILES.df(spark, d).select("id", contacts.followers(F.col("body")).alias("followers"))
 
 
 _SITES = L.Literal(
     "id int, url string, html string, email string, instagram string, whatsapp string, contact string, name string", (1, "https://shop.com.lb", "call +961 3 111222", "a@shop.com.lb", "shop.lb", "+9613111222", "beirut hamra", "Shop"),
     (2, "https://lebanonshop.com", "prices in lbp. shipping across lebanon", "curly.lb@gmail.com", "curly", None, "", "Curly Lebanon"), (3, "https://mt-lebanon.com", "lebanon, pa store", None, None, None, "", "Mt"), (4, "https://x.com", "<option>lebanon</option>", None, "lebanese_shop", None, "visit saida", "X"),
-)
+).given("pages", "page_id + 100", "url", "lower(html)", "CASE page_id % 5 WHEN 0 THEN 'shop@mail.lb' WHEN 1 THEN 'lebanon.store@x.com' END", "CASE page_id % 4 WHEN 0 THEN 'shop.lb' END", "NULL", "CASE page_id % 3 WHEN 0 THEN 'hamra, beirut' ELSE url END", "CASE page_id % 7 WHEN 0 THEN 'Shop Lebanon' ELSE url END")
 
 
 @query(rf"""WITH {_SITES.sql('s')}, h AS (SELECT *, {_HOST} AS host FROM s), c AS (SELECT id,
@@ -191,7 +193,7 @@ SELECT id, array_to_string(strong, ',') AS strong, array_to_string(claim, ',') A
  CASE WHEN len(strong) > 0 THEN 'strong' WHEN len(claim) > 0 THEN 'claim' WHEN len(medium) > 0 THEN 'medium' ELSE 'none' END AS tier FROM c""")
 def lebanon_gate(spark, d):
     c = lambda n: F.col(n)
-    s = _SITES.df(spark).withColumn("s", contacts.lebanon_signals(c("url"), c("html"), c("email"), c("instagram"), c("whatsapp"), c("contact"), c("name")))
+    s = _SITES.df(spark, d).withColumn("s", contacts.lebanon_signals(c("url"), c("html"), c("email"), c("instagram"), c("whatsapp"), c("contact"), c("name")))
     return s.select("id", *[F.array_join(f"s.{k}", ",").alias(k) for k in ("strong", "claim", "medium")], "s.us_conflict", contacts.passes_gate(c("s")).alias("passes"), scoring.lebanon_tier(c("s")).alias("tier"))
 
 
@@ -201,7 +203,7 @@ def structure_flags(spark, d):
     return _t(spark, d, "pages").select("page_id", contacts.structure_flags(F.col("html")).alias("f")).select("page_id", "f.*")
 
 
-_SEEN = L.Literal("id int, text string", (1, "we are based in saida, lebanon. beirut too"), (2, "hello zahle and beirut"), (3, "nothing"), (4, "find us near deir el qamar"))
+_SEEN = L.Literal("id int, text string", (1, "we are based in saida, lebanon. beirut too"), (2, "hello zahle and beirut"), (3, "nothing"), (4, "find us near deir el qamar")).given("documents", "doc_id + 100", "CASE doc_id % 5 WHEN 0 THEN lower(text) || ' we are located in tripoli, lebanon' WHEN 1 THEN 'tyre ' || lower(text) ELSE lower(text) END")
 
 
 @query(rf"""WITH {_SEEN.sql('s')}, w AS (SELECT unnest({list(fixed.CITIES)!r}) AS w, generate_subscripts({list(fixed.CITIES)!r}, 1) AS k),
@@ -209,7 +211,7 @@ n AS (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY c, k) AS r FROM
 a AS (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY k) AS r FROM s JOIN w ON regexp_matches(text, '\b' || w || '\b'))
 SELECT s.id, array_to_string(list_transform(string_split(coalesce(n.w, a.w), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS city FROM s LEFT JOIN n ON n.id = s.id AND n.r = 1 LEFT JOIN a ON a.id = s.id AND a.r = 1""")
 def city_choice(spark, d):
-    return _SEEN.df(spark).select("id", contacts.city(F.col("text")).alias("city"))
+    return _SEEN.df(spark, d).select("id", contacts.city(F.col("text")).alias("city"))
 
 
 _SHOWN = L.Literal("page_id long, status int, final_url string, html string", (-1, 402, "https://a", "<title>A</title>"), (-2, 200, "https://a/password/", "<title>A</title>"), (-3, 200, "https://a", "<TITLE x>\nComing SOON</TITLE>"), (-4, None, None, None), (-5, 200, "https://a", "the password is here"))
@@ -300,7 +302,7 @@ _NAMES = L.Literal(
 @query(None)
 def business_names(spark, d):
     n = F.col("raw")
-    return _NAMES.df(spark).select("id", names.clean_name(n).alias("first"), names.clean_name(n, True).alias("last"), names.invalid_reason(n).alias("reason"), names.identity_name(n).alias("identity"))
+    return _NAMES.given("part", "p_partkey + 1000", "CASE p_partkey % 3 WHEN 0 THEN p_name || ' - ' || p_brand WHEN 1 THEN 'Welcome to ' || p_name ELSE p_name || ' | Online Store' END").df(spark, d).select("id", names.clean_name(n).alias("first"), names.clean_name(n, True).alias("last"), names.invalid_reason(n).alias("reason"), names.identity_name(n).alias("identity"))
 
 
 # --- catalogue and brands ------------------------------------------------
@@ -366,20 +368,20 @@ def priority_score(spark, d):
 
 # --- identity ------------------------------------------------------------
 
-_IDS = f"""WITH {L.RECORDS.sql('r')}, k AS (SELECT id, 'domain' AS kind, CASE WHEN len(string_split(domain, '.')) <= 2 OR ends_with(domain, '.myshopify.com') THEN domain ELSE array_to_string(string_split(domain, '.')[-2:], '.') END AS value FROM r
+_IDS = f"""WITH {L.GIVEN_RECORDS.sql('r')}, k AS (SELECT id, 'domain' AS kind, CASE WHEN len(string_split(domain, '.')) <= 2 OR ends_with(domain, '.myshopify.com') THEN domain ELSE array_to_string(string_split(domain, '.')[-2:], '.') END AS value FROM r
  UNION ALL SELECT id, 'email', lower(email) FROM r UNION ALL SELECT id, 'instagram', replace(regexp_replace(lower(instagram), '^.*instagram\\.com/', ''), '.', '') FROM r
  UNION SELECT id, 'phone', CASE WHEN starts_with(g, '961') THEN g ELSE '961' || regexp_replace(g, '^0+', '') END FROM (SELECT id, regexp_replace(unnest([phone, whatsapp]), '[^0-9]', '', 'g') AS g FROM r))"""
 
 
 @query(_IDS + " SELECT x.id AS a, y.id AS b, kind, value FROM k x JOIN k y USING (kind, value) WHERE x.id < y.id AND value IS NOT NULL")
 def identity_pairs(spark, d):
-    rows = identity.identifiers(L.RECORDS.df(spark))
+    rows = identity.identifiers(L.GIVEN_RECORDS.df(spark, d))
     return identity.matching_pairs(rows, rows, by_name=False)
 
 
 @query(None)
 def duplicate_clusters(spark, d):
-    return identity.duplicate_clusters(L.RECORDS.df(spark))
+    return identity.duplicate_clusters(L.GIVEN_RECORDS.df(spark, d))
 
 
 @query(f"""WITH m AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS site, lower(regexp_extract(url, '://[^/]*/([a-z]+)/', 1)) AS handle, length(html) % 5 AS points, page_id AS place FROM pages),
@@ -409,13 +411,13 @@ def insert_if_absent(spark, d):
     return store.insert_absent(c.filter("id <= 20"), c.filter("id > 20"), "domain", F.col("id"))
 
 
-_KEPT = L.Literal("id long, domain string, aka_domains array<string>", (1, "a.com", None), (2, "b.com", ["z.com"]), (3, "c.com", ["y.com"]))
-_ALSO = L.Literal("id long, alias string", (1, "x.com"), (1, "a.com"), (2, "y.com"), (2, "z.com"), (2, "a.com"))
+_KEPT = L.Literal("id long, domain string, aka_domains array<string>", (1, "a.com", None), (2, "b.com", ["z.com"]), (3, "c.com", ["y.com"])).given("customer", "c_custkey + 10", "'c' || c_custkey || '.com'", "NULL")
+_ALSO = L.Literal("id long, alias string", (1, "x.com"), (1, "a.com"), (2, "y.com"), (2, "z.com"), (2, "a.com")).given("orders", "o_custkey + 10", "'a' || (o_orderkey % 50) || '.com'")
 
 
 @query(f"WITH {_KEPT.sql('k')}, {_ALSO.sql('a')}, u AS (SELECT id, domain, unnest(aka_domains) AS x FROM k UNION SELECT a.id, k.domain, alias FROM a JOIN k USING (id)) SELECT k.id, k.domain, (SELECT string_agg(x, ',' ORDER BY x) FROM u WHERE u.id = k.id AND x <> u.domain) AS aka FROM k")
 def alias_union(spark, d):
-    return store.add_aliases(_KEPT.df(spark), _ALSO.df(spark)).select("id", "domain", F.array_join("aka_domains", ",").alias("aka"))
+    return store.add_aliases(_KEPT.df(spark, d), _ALSO.df(spark, d)).select("id", "domain", F.array_join("aka_domains", ",").alias("aka"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, (SELECT count(*) FROM customer WHERE c_name ILIKE '%00_7%' OR c_mktsegment ILIKE '%00_7%') AS total FROM customer WHERE c_name ILIKE '%00_7%' OR c_mktsegment ILIKE '%00_7%' ORDER BY c_acctbal DESC, c_custkey OFFSET 2 LIMIT 50")
@@ -431,9 +433,9 @@ def incremental_since(spark, d):
     return reads.since(_t(spark, d, "orders"), 1000, "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query(f"WITH {L.RUNS.sql('r')} SELECT id, CASE WHEN status = 'completed' THEN CASE WHEN conclusion = 'success' THEN 'completed_success' ELSE 'completed_failure' END WHEN status = 'in_progress' THEN 'in_progress' ELSE 'queued' END AS state, coalesce(status IN ('queued','requested','waiting','pending','in_progress'), FALSE) AS active, (SELECT id - 1 FROM r WHERE status IN ('queued','requested','waiting','pending','in_progress') ORDER BY list_pos LIMIT 1) AS after FROM r")
+@query(f"WITH {L.GIVEN_RUNS.sql('r')} SELECT id, CASE WHEN status = 'completed' THEN CASE WHEN conclusion = 'success' THEN 'completed_success' ELSE 'completed_failure' END WHEN status = 'in_progress' THEN 'in_progress' ELSE 'queued' END AS state, coalesce(status IN ('queued','requested','waiting','pending','in_progress'), FALSE) AS active, (SELECT id - 1 FROM r WHERE status IN ('queued','requested','waiting','pending','in_progress') ORDER BY list_pos LIMIT 1) AS after FROM r")
 def run_state_latest(spark, d):
-    r = L.RUNS.df(spark)
+    r = L.GIVEN_RUNS.df(spark, d)
     return r.select("id", reads.run_state(F.col("status"), F.col("conclusion")).alias("state"), reads.is_active(F.col("status")).alias("active")).join(reads.run_cursor(r).select("after"))
 
 
@@ -458,7 +460,7 @@ def novelty_by_batch(spark, d):
 @query("WITH t AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS turn FROM orders) SELECT o_orderkey, turn::INTEGER AS turn, row_number() OVER (PARTITION BY o_orderstatus ORDER BY turn, o_orderpriority, o_orderkey)::INTEGER AS place FROM t")
 def review_round_robin(spark, d):
     """Analogue: orders of a status, dealt by priority."""
-    return reads.review_queue(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority", "o_orderkey").select("o_orderkey", "turn", "place")
+    return reads.review_queue(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority", "o_orderkey").select("o_orderkey", F.col("turn").cast("int").alias("turn"), F.col("place").cast("int").alias("place"))
 
 
 _NOWS = L.Literal("k int, now string", (1, "2024-01-15 12:00:00"), (2, "2024-06-01 00:00:00"), (3, "2026-03-01 00:00:00"), (4, "2023-08-01 00:00:00"), (5, "2021-01-01 00:00:00"))

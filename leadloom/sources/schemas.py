@@ -15,6 +15,8 @@ LEADS = (
     "contact_priority_score int, contact_priority string, contact_priority_reasons string, instagram_followers long, has_email boolean, has_phone boolean, "
     "has_whatsapp boolean, dominant_share double, lebanon_signal_tier string, industry string, city string, hreflang_count long, has_sentry boolean, has_store_locator boolean"
 )
+#: The least id of a lead that has an identifier; key is its kind and value.
+IDENTIFIERS = "key string, id long"
 REJECTED = "domain string, result string, checked_at timestamp"
 MIRRORED = (
     "domain", "business_name", "instagram_url", "website_url", "created_at", "contact_priority_score", "contact_priority", "contact_priority_reasons",

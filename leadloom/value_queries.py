@@ -16,22 +16,22 @@ from .sources.schemas import CANDIDATES, LEADS, REJECTED
 _LEADS = L.Literal(
     "id int, domain string, business_name string, website string, has_email int, has_phone int, has_whatsapp int, has_sentry int, has_store_locator int, lead_score int, created_at int",
     (1, "a.com", "Alpha", "https://a.com", 1, 0, None, 0, 1, 7, 5), (2, "b.com", "Beta 50%", None, None, 1, 1, None, None, None, 9), (3, "c.com", "Gamma_x", "https://c.com", 0, 0, 0, 0, 0, 10, 9), (4, "d.com", None, "w", 1, 1, 1, 1, 1, 1, 2),
-)
+).given("customer", "c_custkey + 10", "'d' || c_custkey || '.com'", "c_name", "CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END", "c_custkey % 2", "c_nationkey % 2", "NULL", "CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 4 % 2 END", "0", "CASE WHEN c_custkey % 6 > 0 THEN c_custkey % 10 END", "c_nationkey")
 _JUDGED = L.Literal(
     "domain string, status string, opportunity_category string, opportunity_observation string, opportunity_evidence string, opportunity_confidence double, outreach_angle string, message string, fallback_message string, fallback_category string, pages_fetched int",
     ("a.com", "success", "nav", "o", "e", 0.5, "ask", "hello", "fb", "general", 3), ("b.com", "failed", None, None, None, None, None, "m", "fb", "general", 0), ("c.com", "insufficient_evidence", "nav", "o", "e", 1.0, None, "m", "fb", "catalogue", 1),
     ("z.com", "success", None, None, None, None, None, None, None, None, 2),
-)
+).given("customer", "'d' || c_custkey || '.com'", "CASE c_custkey % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' ELSE 'no_strong_opportunity' END", "c_mktsegment", "c_name", "c_mktsegment", "c_nationkey / 32.0", "c_mktsegment", "c_name", "c_name", "c_mktsegment", "c_custkey % 4", where="c_custkey % 4 > 0")
 
 
 @query(f"WITH {_LEADS.sql('l')} SELECT * FROM l WHERE domain = 'b.com' LIMIT 1")
 def lead_lookup(spark, d):
-    return reads.lead_by_domain(_LEADS.df(spark), "  B.com ")
+    return reads.lead_by_domain(_LEADS.df(spark, d), "  B.com ")
 
 
 @query(f"WITH {_LEADS.sql('l')}, {_JUDGED.sql('j')} SELECT l.domain, business_name, j.status, j.message, j.pages_fetched FROM l LEFT JOIN (SELECT * FROM j WHERE status <> 'failed') j USING (domain)")
 def lead_with_analysis(spark, d):
-    x = reads.with_analysis(_LEADS.df(spark), _JUDGED.df(spark))
+    x = reads.with_analysis(_LEADS.df(spark, d), _JUDGED.df(spark, d))
     return x.select("domain", "business_name", "analysis.status", "analysis.message", "analysis.pages_fetched")
 
 
@@ -39,13 +39,13 @@ def lead_with_analysis(spark, d):
  CASE WHEN ok THEN opportunity_evidence END AS evidence, CASE WHEN ok THEN opportunity_confidence END AS confidence, outreach_angle, CASE WHEN ok THEN message END AS message, CASE WHEN NOT ok THEN fallback_message END AS fallback_message,
  CASE WHEN NOT ok THEN fallback_category END AS fallback_category, FALSE AS fallback_verified, pages_fetched FROM k""")
 def stored_analysis_view(spark, d):
-    return reads.stored_view(_JUDGED.df(spark)).select("domain", "status", "opportunity.*", "outreach_angle", "message", "fallback_message", "fallback_category", "fallback_verified", "pages_fetched")
+    return reads.stored_view(_JUDGED.df(spark, d)).select("domain", "status", "opportunity.*", "outreach_angle", "message", "fallback_message", "fallback_category", "fallback_verified", "pages_fetched")
 
 
 @query(f"""WITH {_LEADS.sql('l')} SELECT domain, lead_score, created_at, CASE WHEN lead_score IS NULL THEN 'not scored' ELSE lead_score || '/10' END AS shown, lead_score - id AS delta FROM l ORDER BY created_at DESC, domain LIMIT 50""")
 def refreshed_leads(spark, d):
     """The first page again, as large as what was loaded but 50 rows at least; unknown scores are not zero."""
-    page, _ = reads.refreshed(_LEADS.df(spark), 2)
+    page, _ = reads.refreshed(_LEADS.df(spark, d), 2)
     return page.select("domain", "lead_score", "created_at", reads.shown_score(F.col("lead_score")).alias("shown"), reads.delta(F.col("id"), F.col("lead_score")).alias("delta"))
 
 
@@ -59,48 +59,48 @@ def refreshed_customers(spark, d):
 @query(f"""WITH {_LEADS.sql('l')} SELECT domain, business_name, website AS website_url, has_email::BOOLEAN AS has_email, has_phone::BOOLEAN AS has_phone, has_whatsapp::BOOLEAN AS has_whatsapp, has_sentry::BOOLEAN AS has_sentry, has_store_locator::BOOLEAN AS has_store_locator FROM l""")
 def mirrored_flags(spark, d):
     """The mirrored columns of a row, flags as booleans that stay null where they are unknown."""
-    x = _LEADS.df(spark)
+    x = _LEADS.df(spark, d)
     missing = {c: F.lit(None).cast("string") for c in reads.MIRRORED if c not in (*x.columns, "website_url")}
     return reads.mirror_payload(x.withColumns(missing)).select("domain", "business_name", "website_url", "has_email", "has_phone", "has_whatsapp", "has_sentry", "has_store_locator")
 
 
 @query(f"WITH {_LEADS.sql('l')} SELECT to_json({{'id': id, 'business_name': business_name, 'lead_score': lead_score}})::VARCHAR AS payload FROM l")
 def dry_run_payload(spark, d):
-    return reads.dry_run(_LEADS.df(spark).select("id", "business_name", "lead_score"))
+    return reads.dry_run(_LEADS.df(spark, d).select("id", "business_name", "lead_score"))
 
 
-_CODES = L.Literal("id int, code string", *enumerate([*reads.FAILURES, "odd", None]))
+_CODES = L.Literal("id int, code string", *enumerate([*reads.FAILURES, "odd", None])).given("events", "event_id + 100", "CASE event_id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'no_budget' ELSE event_type END")
 
 
 @query(f"WITH {_CODES.sql('c')} SELECT id, CASE {' '.join(f'''WHEN code = '{k}' THEN '{v}' ''' for k, v in reads.FAILURES.items())} ELSE 'Could not analyze this lead right now.' END AS said FROM c")
 def failure_texts(spark, d):
-    return _CODES.df(spark).select("id", reads.failure_text(F.col("code")).alias("said"))
+    return _CODES.df(spark, d).select("id", reads.failure_text(F.col("code")).alias("said"))
 
 
-_LISTED = L.Literal("id long, branch string, status string, conclusion string", *[(900 + i, "main" if i % 3 else "other", "completed" if i < 28 else "queued", ("success", "failure", None)[i % 3]) for i in range(45)])
+_LISTED = L.Literal("id long, branch string, status string, conclusion string", *[(900 + i, "main" if i % 3 else "other", "completed" if i < 28 else "queued", ("success", "failure", None)[i % 3]) for i in range(45)]).given("events", "event_id + 1000", "CASE event_id % 3 WHEN 0 THEN 'other' ELSE 'main' END", "CASE event_id % 7 WHEN 0 THEN 'queued' ELSE 'completed' END", "CASE event_id % 2 WHEN 0 THEN 'success' ELSE event_type END")
 
 
 @query(f"WITH {_LISTED.sql('r')} SELECT id, status, conclusion, row_number() OVER (ORDER BY id DESC)::INTEGER AS list_pos FROM r WHERE branch = 'main' ORDER BY id DESC LIMIT 20")
 def run_listing(spark, d):
-    return reads.listed_runs(_LISTED.df(spark), "main")
+    return reads.listed_runs(_LISTED.df(spark, d), "main")
 
 
 @query(f"""WITH {_LISTED.sql('r')}, t AS (SELECT * FROM r WHERE id > 920 ORDER BY id DESC LIMIT 1) SELECT CASE WHEN status = 'completed' THEN CASE WHEN conclusion = 'success' THEN 'completed_success' ELSE 'completed_failure' END WHEN status = 'in_progress' THEN 'in_progress' ELSE 'queued' END AS state, id AS run_id FROM t""")
 def newest_run_state(spark, d):
-    return reads.newest_run(_LISTED.df(spark), 920)
+    return reads.newest_run(_LISTED.df(spark, d), 920)
 
 
 # --- catalogue -------------------------------------------------------------
 
 _BODIES = L.Literal(
     "site string, body string", ("s", '{"products": [{"vendor": " B "}, {"vendor": "A"}, {"vendor": ""}, {"vendor": "A"}, {"vendor": "B"}, {"title": "x"}]}'), ("t", "not json"), ("u", '{"products": 5}'), ("v", None), ("w", '{"products": []}'), ("x", '{"products": [{"vendor": null}, {"vendor": "Zed"}]}'),
-)
+).given("part", "'part' || p_partkey", """'{"products": [{"vendor": "' || p_brand || '"}, {"vendor": "' || p_type || '"}]}'""")
 
 
 @query(f"""WITH {_BODIES.sql('b')}, p AS (SELECT site, json_extract(body, '$.products') AS ps FROM b WHERE json_valid(body)), n AS (SELECT site, unnest(range(0, json_array_length(ps)::BIGINT)) AS pos, ps FROM p WHERE json_type(ps) = 'ARRAY')
 SELECT site, pos::INTEGER AS pos, json_extract_string(ps, '$[' || pos || '].vendor') AS vendor FROM n""")
 def catalogue_products(spark, d):
-    return catalogue.parse_products(_BODIES.df(spark), "site", "body")
+    return catalogue.parse_products(_BODIES.df(spark, d), "site", "body")
 
 
 @query("""WITH x AS (SELECT l_suppkey AS site, p_brand AS vendor FROM lineitem JOIN part ON l_partkey = p_partkey), c AS (SELECT site, vendor, count(*) AS n FROM x GROUP BY 1, 2)
@@ -124,12 +124,12 @@ def phone_whatsapp(spark, d):
     return x.select("id", contacts.phone(F.col("body")).alias("phone"), contacts.whatsapp(F.col("body")).alias("whatsapp"))
 
 
-_FIRMS = L.Literal("id int, body string", (1, "Azadea Group S.A.L. Holdings, a franchisee"), (2, "two holdings, two holdings"), (3, "nothing"), (4, "GROUP OF COMPANIES and s.a.r.l"), (5, ""))
+_FIRMS = L.Literal("id int, body string", (1, "Azadea Group S.A.L. Holdings, a franchisee"), (2, "two holdings, two holdings"), (3, "nothing"), (4, "GROUP OF COMPANIES and s.a.r.l"), (5, "")).given("documents", "doc_id + 100", "text")
 
 
 @query(rf"WITH {_FIRMS.sql('f')} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(body), '{fixed.CORPORATE_TERMS}', 1))), '|') AS terms FROM f")
 def corporate_terms(spark, d):
-    return _FIRMS.df(spark).select("id", F.array_join(contacts.corporate_terms(F.col("body")), "|").alias("terms"))
+    return _FIRMS.df(spark, d).select("id", F.array_join(contacts.corporate_terms(F.col("body")), "|").alias("terms"))
 
 
 @query(f"""WITH {L.URLS.sql('u')}, x AS (SELECT id::BIGINT AS id, url FROM u UNION ALL SELECT page_id + 1000, url FROM pages), h AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), '^.*@', ''), ':.*$', '') AS host FROM x)
@@ -139,12 +139,12 @@ def display_names(spark, d):
     return u.select("id", urls.display_host(F.col("url")).alias("shown"), urls.display_handle(F.col("url")).alias("handle"))
 
 
-_SURE = L.Literal("id int, x double", (1, 0.4), (2, 1.7), (3, -2.0), (4, None), (5, 0.0))
+_SURE = L.Literal("id int, x double", (1, 0.4), (2, 1.7), (3, -2.0), (4, None), (5, 0.0)).given("customer", "c_custkey + 100", "c_acctbal / 4096")
 
 
 @query(f"WITH {_SURE.sql('s')} SELECT id, CASE WHEN x IS NOT NULL AND isfinite(x) THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)) END AS confidence FROM (SELECT * FROM s UNION ALL SELECT 6, 'nan'::DOUBLE UNION ALL SELECT 7, 'inf'::DOUBLE)")
 def confidence_clamp(spark, d):
-    x = _SURE.df(spark).union(spark.createDataFrame([(6, float("nan")), (7, float("inf"))], "id int, x double"))
+    x = _SURE.df(spark, d).union(spark.createDataFrame([(6, float("nan")), (7, float("inf"))], "id int, x double"))
     return x.select("id", copycheck.confidence(F.col("x")).alias("confidence"))
 
 
@@ -181,13 +181,13 @@ _KNOWN = "SELECT id, kind, value FROM k WHERE value IS NOT NULL AND value <> ''"
 @query(f"{_IDS}, v AS ({_KNOWN}) SELECT y.id, min(x.id) AS lead_id FROM v x JOIN v y USING (kind, value) WHERE x.id % 2 = 1 AND y.id % 2 = 0 GROUP BY y.id")
 def first_matching_lead(spark, d):
     """Records against all leads: of those with an identifier in common the one with the least id."""
-    r = L.RECORDS.df(spark)
+    r = L.GIVEN_RECORDS.df(spark, d)
     return identity.first_match(r.filter("id % 2 = 0"), r.filter("id % 2 = 1"), by_name=False)
 
 
 @query(f"""WITH {_LEADS.sql('l')}, x AS (SELECT 'https://' || domain || '/x' AS url FROM l UNION ALL SELECT url FROM pages) SELECT url, {_HOST} AS host, ends_with({_NET}, '.net') AS is_net FROM x""")
 def hosts_of_leads(spark, d):
-    x = _LEADS.df(spark).select(F.concat(F.lit("https://"), "domain", F.lit("/x")).alias("url")).union(_t(spark, d, "pages").select("url"))
+    x = _LEADS.df(spark, d).select(F.concat(F.lit("https://"), "domain", F.lit("/x")).alias("url")).union(_t(spark, d, "pages").select("url"))
     return x.select("url", urls.clean_host(F.col("url")).alias("host"), urls.host_in(F.regexp_extract("url", "://([^/?#]*)", 1), ("net",)).alias("is_net"))
 
 
@@ -200,7 +200,7 @@ z AS (SELECT unnest(seen) AS u FROM f ORDER BY n DESC LIMIT (SELECT count(*) FRO
 SELECT id, cluster FROM w WHERE cluster IN (SELECT cluster FROM w GROUP BY 1 HAVING count(*) > 1)""")
 def identifier_clusters(spark, d):
     """Clusters by strong identifiers alone: a record joins the first cluster with a match."""
-    return identity.duplicate_clusters(L.RECORDS.df(spark), by_name=False)
+    return identity.duplicate_clusters(L.GIVEN_RECORDS.df(spark, d), by_name=False)
 
 
 _BY_SITE = " AND kind IN ('domain', 'instagram')"
@@ -211,20 +211,20 @@ _BY_SITE = " AND kind IN ('domain', 'instagram')"
 SELECT id, kept_id FROM f WHERE n > 0""")
 def kept_by_order(spark, d):
     """Records compared, in order, only with those kept before them."""
-    return identity.kept_and_aliases(L.RECORDS.df(spark).select("id", "domain", "instagram"))
+    return identity.kept_and_aliases(L.GIVEN_RECORDS.df(spark, d).select("id", "domain", "instagram"))
 
 
 _DIGITS = "nullif(CASE WHEN starts_with({c}, '961') THEN {c} ELSE '961' || regexp_replace({c}, '^0+', '') END, '')"
 
 
-@query(rf"""WITH {L.RECORDS.sql('r')}, g AS (SELECT *, nullif(regexp_replace(phone, '[^0-9]', '', 'g'), '') AS p, nullif(regexp_replace(whatsapp, '[^0-9]', '', 'g'), '') AS w FROM r)
+@query(rf"""WITH {L.GIVEN_RECORDS.sql('r')}, g AS (SELECT *, nullif(regexp_replace(phone, '[^0-9]', '', 'g'), '') AS p, nullif(regexp_replace(whatsapp, '[^0-9]', '', 'g'), '') AS w FROM r)
 SELECT id, coalesce('domain:' || CASE WHEN len(string_split(domain, '.')) <= 2 OR ends_with(domain, '.myshopify.com') THEN domain ELSE array_to_string(string_split(domain, '.')[-2:], '.') END,
  'instagram:' || replace(regexp_replace(lower(instagram), '^.*instagram\.com/', ''), '.', ''), 'email:' || lower(email), 'phone:' || {_DIGITS.format(c='p')}, 'whatsapp:' || {_DIGITS.format(c='w')}, 'name:' || lower(business_name)) AS identity_key FROM g""")
 def first_identifiers(spark, d):
-    return identity.identifiers(L.RECORDS.df(spark)).select("id", identity.identity_key().alias("identity_key"))
+    return identity.identifiers(L.GIVEN_RECORDS.df(spark, d)).select("id", identity.identity_key().alias("identity_key"))
 
 
-_SHELVES = L.Literal("id int, n_products int, n_nav int, n_collections int", (1, 6, 3, 0), (2, 5, 9, 9), (3, 6, 1, 2), (4, 6, 1, 1), (5, 0, 0, 0), (6, 0, 0, 1), (7, 12, 15, 10))
+_SHELVES = L.Literal("id int, n_products int, n_nav int, n_collections int", (1, 6, 3, 0), (2, 5, 9, 9), (3, 6, 1, 2), (4, 6, 1, 1), (5, 0, 0, 0), (6, 0, 0, 1), (7, 12, 15, 10)).given("lineitem", "l_orderkey * 10 + l_linenumber", "l_partkey % 13", "l_suppkey % 4", "l_orderkey % 3")
 
 
 @query(f"WITH {_SHELVES.sql('s')} SELECT id, n_products >= 6 AND n_nav + n_collections >= 3 AS sufficient, n_products + n_nav + n_collections > 0 AS has_evidence FROM s")
@@ -232,16 +232,16 @@ def page_sufficiency(spark, d):
     """Is the home page enough, and is there any evidence at all?"""
     full = lambda n: F.array_repeat(F.lit("x"), F.col(n))
     page = F.struct(full("n_products").alias("products"), full("n_nav").alias("nav_labels"), full("n_collections").alias("collections"))
-    return _SHELVES.df(spark).select("id", evidence.is_sufficient(page).alias("sufficient"), evidence.has_evidence(F.array(page)).alias("has_evidence"))
+    return _SHELVES.df(spark, d).select("id", evidence.is_sufficient(page).alias("sufficient"), evidence.has_evidence(F.array(page)).alias("has_evidence"))
 
 
-_HANDLED = L.Literal("id int, raw string", (1, "/curlysquare/"), (2, "p"), (3, " shop.lb?x=1 "), (4, ""), (5, "explore/tags"), (6, "instagram"), (7, "Shop_LB/reels"), (8, "a#b"))
+_HANDLED = L.Literal("id int, raw string", (1, "/curlysquare/"), (2, "p"), (3, " shop.lb?x=1 "), (4, ""), (5, "explore/tags"), (6, "instagram"), (7, "Shop_LB/reels"), (8, "a#b")).given("customer", "c_custkey + 100", "CASE c_custkey % 4 WHEN 0 THEN '/' || c_name WHEN 1 THEN lower(c_mktsegment) || '?hl=' || c_custkey WHEN 2 THEN 'stories/' || c_custkey ELSE lower(c_mktsegment) || '.' || c_custkey || '/reels' END")
 
 
 @query(f"""WITH {_HANDLED.sql('h')}, x AS (SELECT id, regexp_extract(regexp_replace(trim(raw), '^/+|/+$', '', 'g'), '^([^/?#]*)', 1) AS n FROM h)
 SELECT id, CASE WHEN n <> '' AND lower(n) NOT IN {(*fixed.IGNORED_INSTAGRAM_PATHS, *fixed.PLATFORM_HANDLES)!r} THEN n END AS handle FROM x""")
 def cleaned_handles(spark, d):
-    return _HANDLED.df(spark).select("id", contacts.clean_handle(F.col("raw")).alias("handle"))
+    return _HANDLED.df(spark, d).select("id", contacts.clean_handle(F.col("raw")).alias("handle"))
 
 
 # --- names and page parts --------------------------------------------------
