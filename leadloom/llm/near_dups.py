@@ -277,12 +277,13 @@ def near_duplicates(docs: DataFrame, least_share: tuple[int, int] = LEAST_SHARE)
     named = sigs.filter("name IS NOT NULL AND doc_id IS NOT NULL")
     first = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = durable(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
+    # aggregates are written before they are joined: only then can Spark split a hot bucket or component
+    bands = durable(nodes.select("node", "sketch").mapInArrow(_bands, "key long, node long"), "bands")
     pivots = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("p")).filter("c > 1")
-    members = durable(bands.join(pivots.select("key", "c", F.col("p.node").alias("pivot")), "key"), "members")
+    members = durable(bands.join(durable(pivots.select("key", "c", F.col("p.node").alias("pivot")), "pivots"), "key"), "members")
     labels = _link(rows, nodes, members, least_share)
     least = nodes.select("node", "least")
-    of_label = labels.join(least, "node").groupBy("label").agg(F.min("least").alias("component"))
+    of_label = durable(labels.join(least, "node").groupBy("label").agg(F.min("least").alias("component")), "of-label")
     moved = durable(labels.join(of_label, "label").select("node", "component"), "components")
     ids = durable(nodes.select("name", "node", "least").join(moved, "node", "left").select("name", F.coalesce("component", "least").alias("component")), "ids")
     out = sigs.join(ids, "name", "left")
@@ -308,6 +309,7 @@ def _link(rows: DataFrame, nodes: DataFrame, members: DataFrame, least_share: tu
     labels = components(links)
     own = durable(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    mixed = durable(mixed, "mixed-keys")
     own = durable(own.join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node"), "mixed")
     deal = lambda x, f, schema: _dealt(x).groupBy("key", "i", "j", "kind").applyInArrow(f, schema)
     some = durable(deal(own, lambda t: _with_partner(t, least_share), "key long, node long").distinct(), "plausible")
@@ -326,7 +328,7 @@ def _dealt(own: DataFrame) -> DataFrame:
     sums = parts.groupBy("key").agg(F.max(F.struct("c", "label", "b")).alias("top"), F.sum("c").alias("c"), F.sum("b").alias("b"))
     slices = lambda c, b: F.greatest(F.ceil(c / SLICE), F.ceil(b / SLICE_BYTES), F.lit(1)).cast("int")
     sums = sums.select("key", F.col("top.label").alias("top"), slices(F.col("top.c"), F.col("top.b")).alias("p_top"), slices(F.col("c") - F.col("top.c"), F.col("b") - F.col("top.b")).alias("p"))
-    own = own.join(sums, "key").withColumn("is_top", F.col("label") == F.col("top"))
+    own = own.join(durable(sums, "bucket-sizes"), "key").withColumn("is_top", F.col("label") == F.col("top"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("p_top")).otherwise(F.col("p"))).cast("int")
     own = own.withColumn("mine", mine)
     turn = lambda i, j, kind, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(kind).alias("kind"), side.cast("int").alias("side"))

@@ -206,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int
     # at most twice TRAIN_ROWS keys, so they may go to every task
     text = F.coalesce(docs["text"], F.lit(""))
     own = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    own = own.filter(F.octet_length("text") <= most // 16)  # a text that would leave no room for others is no example
     up_to = F.sum(F.octet_length("text")).over(W.orderBy(turn, "doc_id", "quality"))  # over the chosen rows
     own = own.withColumn("up_to", up_to).filter(F.col("up_to") <= most).collect()
     own.sort(key=lambda x: (x.doc_id, x.quality))

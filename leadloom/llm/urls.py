@@ -108,6 +108,7 @@ def path_templates(urls: DataFrame) -> DataFrame:
         done = done.unionByName(grown.filter("ends").select(names))
         open_, d = grown.filter("NOT ends").select(names), d + 1
     stats = done.groupBy("host", "tmpl").agg(F.sum("n").alias("t_rows"), F.sum("lab").alias("t_labelled"), F.sum("blk").alias("t_blocked"))
+    stats = durable(stats, "url-stats")  # as for nodes: a hot template is split only if both sides are plain tables
     return done.join(stats, ["host", "tmpl"]).select("host", F.array_join("segs", "/").alias("shape"), F.col("tmpl").alias("template"), "t_rows", "t_labelled", "t_blocked")
 
 

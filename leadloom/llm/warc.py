@@ -66,7 +66,8 @@ def revisits(headers: DataFrame, least: int = 0) -> DataFrame:
     """page_id, digest, refers_to and its url of the records that repeat a payload; from (page_id, url, digest, n)."""
     known = headers.filter(F.col("page_id").isNotNull() & (F.col("n") >= least))
     groups = known.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.min("page_id").alias("lo")).filter("lo < top.page_id")
-    found = known.select("page_id", "digest").join(groups.select("digest", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")), "digest")
+    groups = durable(groups.select("digest", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")), "warc-groups")  # so that a hot payload's headers can be split
+    found = known.select("page_id", "digest").join(groups, "digest")
     return found.filter("page_id < refers_to").distinct()
 
 

@@ -124,6 +124,47 @@ def test_a_hot_conversation_lies_in_several_pieces(spark):
     assert {got[0]: got[1:]} == brute_repair(rows, lambda s: conversations.solve(s)[:2])
 
 
+# --- 4, 10 ---------------------------------------------------------------
+
+def test_one_huge_text_does_not_empty_the_training_set(spark):
+    from leadloom.llm import quality
+
+    g = np.random.default_rng(3)
+    rows = [(i, "".join(g.choice(list("ab " if i % 2 else "xyz,"), 300)) if i else "q" * 200_000) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    assert not isinstance(quality.train(docs, labels, most=100_000), float)
+
+
+def test_long_runs_of_one_byte_are_few_rows():
+    from leadloom.llm import substring_dedup
+
+    texts = ["a" * 300_000, "a" * 150_000 + "b" + "a" * 150_000, "xyz" * 90_000]
+    batch = pa.record_batch([pa.array(range(3), pa.int64()), pa.array(range(3), pa.int64()), pa.array(texts)], names=["key", "id", "text"])
+    found = pa.Table.from_batches(list(substring_dedup._find(iter([batch]), 1, np.empty(0, "u8"))))
+    assert sum(map(len, found.column("blob").to_pylist())) < 100_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_periodic_texts_agree_with_brute_force(spark, seed):
+    from test_llm_operators import brute_removed
+
+    from leadloom.llm import anchors, substring_dedup
+
+    g = np.random.default_rng(seed)
+
+    def text():
+        units = ["".join(g.choice(list("ab"), g.integers(1, int(g.choice([2, 4, 40, 90]))))) for _ in range(g.integers(1, 5))]
+        return "".join(u * int(g.integers(1, max(2, 300 // len(u)))) for u in units)
+
+    rows = [(int(i), text()) for i in g.permutation(10)]
+    rows += [(10, rows[0][1] + "b" + rows[1][1]), (11, "a" * 4000), (12, "a" * 2000 + "b" + "a" * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    grams = np.unique(np.concatenate([h >> np.uint64(16) for _, _, h, _, _ in anchors.anchors([t.encode() for _, t in rows])]))
+    for common in (None, grams):
+        assert Counter(map(tuple, substring_dedup.remove_repeats(df, common=common).collect())) == brute_removed(rows)
+
+
 # --- 12 ------------------------------------------------------------------
 
 def brute_phrases(rows, least):
