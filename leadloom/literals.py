@@ -122,3 +122,8 @@ GIVEN_RECORDS = RECORDS.given(
     "CASE WHEN c_custkey % 7 = 0 THEN '03 ' || (100000 + c_custkey % 903) END", "NULL", "CASE WHEN c_custkey % 3 = 0 THEN 'u' || (c_custkey % 800) END", "c_mktsegment", "NULL",
 )
 GIVEN_RUNS = RUNS.given("events", "event_id + 10", "event_id + 1000", "CASE event_id % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'waiting' ELSE event_type END", "CASE event_id % 4 WHEN 0 THEN 'success' ELSE event_type END")
+GIVEN_STORES = STORES.given(
+    "customer", "c_custkey + 100", "CASE c_custkey % 13 WHEN 0 THEN 'Lacoste Lebanon' WHEN 1 THEN 'My Store' ELSE c_custkey || ' ' || lower(c_mktsegment) END", "'d' || c_custkey || '.com'",
+    "c_custkey % 7 <> 0", "c_custkey % 11 <> 0", "split('lb_domain', ',')", "split('lebanon_in_domain', ',')", "split('a,b', ',')", "c_custkey % 2 = 0",
+    "CASE c_custkey % 5 WHEN 0 THEN 'Apple' WHEN 1 THEN 'Lacoste' ELSE c_mktsegment END", "(c_custkey % 65) / 64.0", "c_custkey * 97",
+)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,16 +70,38 @@ def lead_keys(leads: DataFrame) -> DataFrame:
     return leads.select("id", "domain", F.col("instagram_url").alias("instagram"))
 
 
+def _until_enough(fresh: DataFrame, judge: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame], DataFrame], target: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decided, qualified, kept) of candidates in order of discovery, as many as ``target`` new leads take.
+
+    Candidates are judged in windows. All windows together double from round to round, from ``target``
+    on, and no fewer than ``target`` are ever needed: at most twice as many pages are analysed as the stop needs.
+    """
+    at, size, parts = -1, target, []
+    while True:
+        some = cut(fresh.filter(F.col("row_id") > at).orderBy("row_id").limit(size))
+        last, n = some.agg(F.max("row_id"), F.count("*")).first()
+        parts.append(cut(judge(some)))
+        decided = reduce(DataFrame.unionByName, parts)
+        good = decided.filter("qualified")
+        # only the keys that a lead row carries are compared; leads come before all candidates
+        after = cut(good.select(F.col("row_id").alias("id"), "domain", F.col("instagram_url").alias("instagram")))
+        if n < size or after.count() >= target:  # before that there cannot be enough
+            before = index(identity.identifiers(after)).select("key", (F.col("id") - F.lit(1 << 40)).alias("id"))
+            kept = cut(identity.kept_and_aliases(after, known=before))
+            if n < size or kept.filter("id = kept_id").count() >= target:
+                return decided, good, kept
+        at, size = last, target << (len(parts) - 1)
+
+
 def lead_run(results: DataFrame, pages: DataFrame, products: DataFrame, profiles: DataFrame, brands: DataFrame, leads: DataFrame, rejected: DataFrame, now: Column, target: int = fixed.MAX_NEW_LEADS, known: Callable[[DataFrame], DataFrame] | None = None) -> Run:
-    """known finds the (key, id) of leads for new records with identifiers; without it all leads are looked through."""
+    """known finds the (key, id) of leads for new records with identifiers; without it all leads are looked through.
+
+    ``decided`` holds the candidates that were analysed, which end soon after the stop.
+    """
     found = cut(discover.candidates(results).withColumn("row_id", discovery_id()))
     fresh = cut(discover.unknown_only(found, leads, rejected))
-    decided = cut(qualify.decide(analyse(fresh, pages, products, profiles), brands))
-    good = decided.filter("qualified")
-    # only the keys that a lead row carries are compared; leads come before all candidates
-    after = cut(good.select(F.col("row_id").alias("id"), "domain", F.col("instagram_url").alias("instagram")))
-    index = known(identity.identifiers(after)) if known else identity.identifier_index(identity.identifiers(lead_keys(leads)))
-    kept = cut(identity.kept_and_aliases(after, known=index.select("key", (F.col("id") - F.lit(1 << 40)).alias("id"))))
+    index = known or (lambda rows: identity.identifier_index(identity.identifiers(lead_keys(leads))))
+    decided, good, kept = _until_enough(fresh, lambda some: qualify.decide(analyse(some, pages, products, profiles), brands), index, target)
     new = good.join(kept.filter("id = kept_id").select(F.col("id").alias("row_id")), "row_id")
     taken = cut(new.orderBy("row_id").limit(target))
     last = taken.agg(F.max("row_id"), F.count("*")).first()

@@ -324,11 +324,11 @@ def fuzzy_brand_match(spark, d):
     return brands.match_brands(p, b, "p_name", None)
 
 
-def _stores(spark):
-    return L.STORES.df(spark).withColumn("lebanon_signals", F.struct("strong", "claim", "medium", "us_conflict")).drop("strong", "claim", "medium", "us_conflict")
+def _stores(spark, d):
+    return L.GIVEN_STORES.df(spark, d).withColumn("lebanon_signals", F.struct("strong", "claim", "medium", "us_conflict")).drop("strong", "claim", "medium", "us_conflict")
 
 
-_RULES = f"""WITH {L.STORES.sql('s')}, b AS (SELECT *, ' ' || trim(regexp_replace(lower(coalesce(business_name, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n, ' ' || trim(regexp_replace(lower(coalesce(dominant_vendor, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS v FROM s),
+_RULES = f"""WITH {L.GIVEN_STORES.sql('s')}, b AS (SELECT *, ' ' || trim(regexp_replace(lower(coalesce(business_name, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n, ' ' || trim(regexp_replace(lower(coalesce(dominant_vendor, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS v FROM s),
 m AS (SELECT *, CASE WHEN contains(n, ' lacoste ') THEN 'Lacoste' WHEN contains(n, ' mike sport ') OR starts_with(domain, 'mikesport.') THEN 'Mike Sport' WHEN domain = 'mango.com' THEN 'Mango' END AS brand, CASE WHEN contains(v, ' apple ') THEN 'Apple' WHEN contains(v, ' lacoste ') THEN 'Lacoste' END AS vb FROM b),
 r AS (SELECT row_id, CASE WHEN NOT is_shopify THEN 'not_shopify' WHEN NOT coalesce(is_available, TRUE) THEN 'store_closed' WHEN NOT CASE WHEN len(strong) > 0 THEN TRUE WHEN us_conflict THEN FALSE WHEN len(claim) > 0 THEN TRUE ELSE len(medium) >= 2 END THEN 'outside_lebanon'
  WHEN lower(trim(coalesce(business_name, ''))) IN {fixed.PLACEHOLDER_NAMES!r} THEN 'placeholder_store' WHEN brand IS NOT NULL OR (dominant_vendor <> '' AND coalesce(dominant_share, 0) >= 0.8 AND vb IS NOT NULL) OR instagram_followers > 100000 THEN 'large_brand' END AS reason,
@@ -337,13 +337,13 @@ r AS (SELECT row_id, CASE WHEN NOT is_shopify THEN 'not_shopify' WHEN NOT coales
 
 @query(_RULES + " SELECT row_id, reason IS NULL AS qualified, reason, CASE WHEN reason = 'large_brand' THEN large END AS brand_detail FROM r")
 def rule_first_failure(spark, d):
-    x = qualify.decide(_stores(spark), our_brands(spark))
+    x = qualify.decide(_stores(spark, d), our_brands(spark))
     return x.select("row_id", "qualified", "reason", F.when(F.col("reason") == "large_brand", F.col("detail")).alias("brand_detail"))
 
 
 @query(_RULES + ", w AS (SELECT unnest(['not_shopify', 'store_closed', 'outside_lebanon', 'placeholder_store', 'large_brand']) AS reason) SELECT w.reason, count(r.row_id) AS n FROM w LEFT JOIN r USING (reason) GROUP BY 1")
 def rejection_counts(spark, d):
-    return qualify.rejection_counts(qualify.decide(_stores(spark), our_brands(spark)))
+    return qualify.rejection_counts(qualify.decide(_stores(spark, d), our_brands(spark)))
 
 
 _PRIORITY = """SELECT {id}, least(reach + rel + aud, 100) AS total FROM x"""

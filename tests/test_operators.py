@@ -116,6 +116,15 @@ def test_lead_run_stops_at_the_target(spark):
     assert run.counts.first().discovered == 2
 
 
+def test_a_run_analyses_little_beyond_its_stop(spark):
+    sites = {f"s{i:03}.com.lb": f"cdn.shopify.com <title>Name{i} Things</title>" if i % 4 == 0 else "<p>no shop</p>" for i in range(60)}
+    none = lambda schema: spark.createDataFrame([], schema)
+    run = lead_run.lead_run(*_acquired(spark, sites), brand_table(spark, BRANDS), none(LEADS), none(REJECTED), F.lit("2024-01-01"), target=3)
+    assert [r.domain for r in run.saved.orderBy("row_id").collect()] == ["s000.com.lb", "s004.com.lb", "s008.com.lb"]
+    c = run.counts.first()
+    assert (c.discovered, c.analysed, c.not_shopify, c.saved) == (9, 9, 6, 3) and run.decided.count() == 12
+
+
 def test_streamed_ingest_is_idempotent(spark, tmp_path):
     from leadloom.streaming.ingest import ingest
 
