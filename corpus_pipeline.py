@@ -8,6 +8,13 @@ segments    each text is encoded as two sampled SentencePiece segmentations
 
 Every stage works on all that the one before it kept, and all but the last return the
 columns of documents. Rows that the mix repeats are encoded each time they occur.
+
+Null ids: such rows are scored, redacted, mixed and encoded like others, and are near
+duplicates of nothing. Null texts count as empty: the network judges them as it judges empty texts, they
+link with nothing, hold no secrets and stay null, have no words for the mix to take (which leaves them in once), and have one
+segmentation without pieces. Rows that repeat an id and text: one of them stays. Ties fall by
+id, then by hash of the text. Long texts are read whole in every stage. An empty table gives no rows.
+Further columns are carried through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
