@@ -150,3 +150,29 @@ def test_the_quality_stage_keeps_what_the_network_keeps(spark, tmp_path):
     net = quality.train(docs, labels)
     assert kept == {i for (i, t, *_), s in zip(rows, quality.scores(net, [r[1].encode() for r in rows]), strict=True) if s >= quality.THRESHOLD} == {i for i in range(90) if i % 3}
     assert corpus_pipeline.keep_good(spark, docs.filter(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_stages_meet_awkward_rows_clashing_names_and_nothing(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(None, "a row without an id and with some words"), (None, None), (1, None), (2, ""), (3, " \n"), (4, long), (5, long), (6, "tie one two three four five six"), (6, "tie one two three four five six"), (7, "token = abcdefgh12345 in a text")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, size long, key string, node long"
+    docs = spark.createDataFrame([(i, t, None, None, len(t or ""), "k", "s", 1, "x", 2) for i, t in rows], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    nothing = docs.limit(0)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs.write.parquet(f"{tmp_path}/{n}")
+        docs = stage(spark, spark.read.parquet(f"{tmp_path}/{n}"), str(tmp_path))
+        assert docs.columns == nothing.columns and stage(spark, nothing, str(tmp_path)).count() == 0, name
+        got = [(r.doc_id, r.text) for r in docs.collect()]
+        assert {r.kept for r in docs.collect()} == {"k"}, name
+        if name == "quality":
+            assert len(got) == len(rows)
+        if name == "near_dups":
+            assert Counter(i for i, _ in got) == {None: 2, 1: 1, 2: 1, 3: 1, 4: 1, 6: 1, 7: 1}
+        if name == "secrets":
+            assert (1, None) in got and "abcdefgh12345" not in dict(got)[7]
+        if name == "mixing":
+            assert {(1, None), (2, ""), (None, None)} <= set(got)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert all(r.round_trip for r in out) and {r.n_pieces for r in out if r.doc_id in (1, 2)} == {0}
+    assert corpus_pipeline.STAGES[-1][1](spark, nothing, str(tmp_path)).count() == 0
