@@ -12,11 +12,7 @@ from .order import numbered
 
 PAGE_SIZE = 50
 RUNS_LISTED = 20
-FAILURES = {
-    "unreachable": "Could not reach this website.", "timeout": "The website took too long to respond.", "rate_limited": "Analysis is rate-limited right now. Try again in a minute.",
-    "not_configured": "Analysis is not configured on the server.", "unavailable": "Could not analyze this lead right now.", "invalid_json": "Could not analyze this lead right now.",
-    "timed_out": "Analysis took too long. Try again.", "no_budget": "Analysis took too long. Try again.",
-}
+FAILURES = fixed.FAILURES
 
 
 def text_search(df: DataFrame, term: str, *columns: str) -> DataFrame:
