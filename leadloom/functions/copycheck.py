@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import any_of, first_of, word_count
+from .text import any_of, ascii_words, first_of, word_count
+
+_DEFICIENCIES = tuple(map(ascii_words, fixed.DEFICIENCIES))
 
 
 def _pattern(c: Column, patterns: tuple[str, ...], prefix: str = "") -> Column:
     """The first pattern found, as text, or null."""
-    return first_of(c, patterns, lambda x, p: x.rlike(prefix + p))
+    return first_of(c, patterns, lambda x, p: x.rlike(prefix + ascii_words(p)))
 
 
 def leak(text: Column, field: str) -> Column:
@@ -25,7 +27,7 @@ def not_a_problem(observation: Column) -> Column:
     text = F.lower(observation)
     praise = _pattern(text, fixed.PRAISES)
     return (
-        F.when(~any_of(text, fixed.DEFICIENCIES), "observation describes something that exists and works rather than something missing, hidden, unclear or broken - the presence of a good feature is not an opportunity")
+        F.when(~any_of(text, _DEFICIENCIES), "observation describes something that exists and works rather than something missing, hidden, unclear or broken - the presence of a good feature is not an opportunity")
         .when(praise.isNotNull(), F.concat(F.lit("observation reads as a compliment ("), praise, F.lit(") rather than a problem")))
     )
 
@@ -52,8 +54,8 @@ def fallback_fault(message: Column) -> Column:
     low = F.lower(message)
     return F.coalesce(
         message_fault(message),
-        F.when(low.rlike(fixed.NOTICING) & any_of(low, fixed.DEFICIENCIES), "fallback asserts a specific website problem; a fallback must claim nothing about the site it has not verified")
-        .when(low.rlike(fixed.WEAKNESS), "fallback describes a specific weakness it has not verified"),
+        F.when(low.rlike(ascii_words(fixed.NOTICING)) & any_of(low, _DEFICIENCIES), "fallback asserts a specific website problem; a fallback must claim nothing about the site it has not verified")
+        .when(low.rlike(ascii_words(fixed.WEAKNESS)), "fallback describes a specific weakness it has not verified"),
     )
 
 

@@ -137,3 +137,11 @@ def test_relative_time(spark):
     df = spark.sql("SELECT * FROM VALUES ('2024-01-01 00:00:00'), ('2024-01-03 23:59:30'), ('2024-01-03 12:00:00'), ('2024-01-02 20:00:00'), ('2025-06-04 00:00:00'), (NULL) t(x)")
     got = [r[0] for r in df.select(scoring.relative_time(F.col("x").cast("timestamp"), F.lit("2024-01-04").cast("timestamp"))).collect()]
     assert got == ["3 days ago", "30 seconds ago", "12 hours ago", "yesterday", "next year", "—"]
+
+
+def test_words_of_validators_end_at_letters_that_are_not_ascii(spark):
+    """As in the web part's patterns, so "no" stands alone in "noñco"; a compliment or a deficiency next to ASCII letters does not."""
+    got = run(spark, ["ciónja noñco la", "ciónja nonco la", "noñco, great design", "éhas_search"], copycheck.not_a_problem)
+    good = "observation describes something that exists and works"
+    assert [x and x[:53] for x in got] == [None, good, "observation reads as a compliment (\\b(great|excellent"[:53], good]
+    assert run(spark, ["éhas_search"], lambda c: copycheck.leak(c, "message"))[0].startswith("message exposes")
