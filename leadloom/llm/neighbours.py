@@ -32,6 +32,7 @@ from .vectors import search
 
 TREES, BITS, SEED = 96, 16, 9
 EXPECTED = 0.8
+QUERIES = 1024  # so many queries at once: their strings and ranges take some 40 MB
 FIRST = 64  # so many rows for each that is asked for in the ranges from which the first bound is taken
 #: What a row costs in a prefix range, in multiplications.
 RANGE_COST = 4.0
@@ -88,6 +89,13 @@ def _near(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def forest_search(qids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, extra: bytes, k: int, at_most: np.ndarray, expected: float = EXPECTED, looked: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, id, distance) of each query's k nearest among the candidates of this shard; ``looked`` gets numbers of candidates."""
+    if len(x) > QUERIES:
+        parts = []
+        for a in range(0, len(x), QUERIES):
+            own = slice(a, a + QUERIES)
+            at, found, dist = forest_search(qids[own], x[own], ids, y, extra, k, at_most[own], expected, looked)
+            parts.append((at + a, found, dist))
+        return tuple(np.concatenate(z) for z in zip(*parts, strict=True))
     x, y = x.astype("f8"), y.astype("f8")
     dim = y.shape[1]
     n = (len(extra) - 8 * dim) // (6 * TREES)
@@ -107,7 +115,7 @@ def forest_search(qids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarra
 
     def ranges(at: int, q: int) -> np.ndarray:
         lo, hi, _ = level(at)
-        return np.concatenate([order[t, a:b] for t, (a, b) in enumerate(zip(lo[q].tolist(), hi[q].tolist(), strict=True)) if b > a])
+        return np.concatenate([order[0, :0], *(order[t, a:b] for t, (a, b) in enumerate(zip(lo[q].tolist(), hi[q].tolist(), strict=True)) if b > a)])
 
     def longest(q: int, rows: int) -> int:
         """The longest prefix whose ranges hold so many rows, or 0."""

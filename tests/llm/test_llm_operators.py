@@ -376,6 +376,20 @@ def test_exact_products_beyond_doubles():
     assert topk._products(x, x)[0, 0] == 2**63 - 1 and topk._products(x, np.array([[1.0, 1.0]]))[0, 0] == 2**40 + 1
 
 
+def test_neighbours_of_a_shard_that_holds_none_within_the_bound(monkeypatch):
+    """A copy in another shard bounds the distance by 0: no prefix range of this shard need hold a row."""
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, 16)).astype("f4"), rng.normal(size=(200, 16)).astype("f4")
+    y[:5] = x[45:]
+    ids, extra = np.arange(200) + 1000, neighbours.plant(y)
+    ask = lambda bound: neighbours.forest_search(np.arange(50), x, ids, y, extra, 3, np.full(50, bound))
+    at, found, dist = ask(0.0)
+    assert at.tolist() == [45, 46, 47, 48, 49] and found.tolist() == ids[:5].tolist() and not dist.any()
+    whole = ask(np.inf)
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    assert [z.tolist() for z in ask(np.inf)] == [z.tolist() for z in whole] and len(whole[0]) == 150
+
+
 def test_neighbours_recall_and_ties(spark):
     df, x = vectors(spark)
     got = {}
