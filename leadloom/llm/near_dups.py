@@ -57,7 +57,7 @@ RATE, BASE = 20.0, 1.1
 MARGIN = 5.0
 SURELY_LESS = 0.5  # with fewer registers alike no estimate comes near the threshold
 SLICE, SLICE_BYTES = 512, 24 << 20
-WORDS_KEPT = 500_000
+WORDS_KEPT = 50_000  # some 10 MB in every Python worker, idle ones too
 SMALL_SIDE = 500_000
 
 _RNG = np.random.default_rng(31)

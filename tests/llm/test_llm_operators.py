@@ -11,6 +11,7 @@ import hashlib
 import itertools
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -698,3 +699,10 @@ def test_contexts_with_the_same_high_bits_of_hash_are_told_apart(monkeypatch):
     found = pa.Table.from_batches(list(substring_dedup._find(iter([batch]), 1, none)))
     got = substring_dedup._settle(found, none).to_pylist()
     assert any(r["want"] for r in got) and not any(r["full"] for r in got)
+
+
+def test_words_that_a_worker_keeps_take_few_bytes():
+    near_dups._words.clear()
+    found = near_dups.shingles(" ".join(f"word{i}" for i in range(300_000)))
+    held = sum(sys.getsizeof(x) for pair in near_dups._words.items() for x in pair) + sys.getsizeof(near_dups._words)
+    assert len(found) == 299_996 and held < 12 << 20
